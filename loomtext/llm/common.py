@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names, which all executors share. A folder of this machine only if
-    the session names none, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. A folder of this machine only if the session names
+    none, as in tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,3 +41,10 @@ def n_words(text: Column) -> Column:
 def lowest_hashed(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """At most `most` rows with the lowest seeded hashes of key: a bounded sample that doesn't depend on row order."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
+
+
+def between_stages(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE, DICTIONARY_BYTES, LEVEL, MARGIN, SEED = 64, 32 << 10, 3, 0.01, 11
+SAMPLE, DICTIONARY_BYTES, LEVEL, MARGIN, SEED = 64, 64 << 10, 6, 0.01, 11
 RESULT = "struct<language:string,runner_up:string,bytes_best:long,bytes_second:long,margin:double>"
 
 

@@ -168,7 +168,7 @@ def eisner(lam: float, smooth: Callable[[Counts], Counts] = passthrough, then: C
     def run(c: CondCounts) -> CondCounts:
         c = then(c)
         p, p_default, total = _backoff(c, smooth)
-        ones = c.cells.groupBy(F.col("cond").alias("__oc")).agg((F.lit(lam) * (F.count_if("cnt > 0.5 AND cnt < 1.5") + TINY)).alias("__l"))
+        ones = c.cells.groupBy(F.col("cond").alias("__oc")).agg((F.lit(lam) * (F.count_if((F.col("cnt") > 0.5) & (F.col("cnt") < 1.5)) + TINY)).alias("__l"))
         weight = F.coalesce("__l", F.lit(lam * TINY))
         cells = fill(c).join(ones, F.col("cond").eqNullSafe(F.col("__oc")), "left").join(p, F.col("item").eqNullSafe(F.col("__bi")), "left")
         cells = cells.select("cond", "item", (F.col("cnt") + weight * F.coalesce("p_back", F.lit(0.0))).alias("cnt"))
@@ -184,7 +184,7 @@ def sparse_eisner(c: CondCounts, wanted: DataFrame, lam: float, add: float = 1.0
     the seen pairs only; no condition is filled. An unseen condition has the smoothed sums of all conditions."""
     items = c.cells.groupBy(F.col("item").alias("__bi")).agg(F.sum("cnt").alias("__n"))
     total = items.agg(F.sum("__n").alias("__sum"), F.count("*").alias("__types"))
-    conds = c.cells.groupBy(F.col("cond").alias("__oc")).agg(F.sum("cnt").alias("__have"), (F.lit(lam) * (F.count_if("cnt > 0.5 AND cnt < 1.5") + TINY)).alias("__l"))
+    conds = c.cells.groupBy(F.col("cond").alias("__oc")).agg(F.sum("cnt").alias("__have"), (F.lit(lam) * (F.count_if((F.col("cnt") > 0.5) & (F.col("cnt") < 1.5)) + TINY)).alias("__l"))
     all_conds = conds.agg(F.sum("__l").alias("__all_l"))
     cells = c.cells.select(F.col("cond").alias("__cc"), F.col("item").alias("__ci"), "cnt")
     d = wanted.join(items, F.col("item").eqNullSafe(F.col("__bi")), "left").join(conds, F.col("cond").eqNullSafe(F.col("__oc")), "left")

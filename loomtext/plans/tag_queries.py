@@ -1 +1,118 @@
-"""Queries."""
+"""Queries of sequence tagging."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import counts as C
+from ..operators import hmm, tagdict
+from .count_queries import TAGGED_SQL, tagged
+from .keyed_queries import tokens
+from .registry import query, table
+
+def named(d, value="cnt"):
+    edge = F.lit("(edge)")
+    return d.select(F.coalesce("cond", edge).alias("cond"), F.coalesce("item", edge).alias("item"), value)
+
+
+@query(f"""WITH {TAGGED_SQL}, e AS (SELECT seq_id, pos, tag FROM tagged UNION ALL SELECT seq_id, -1, '(edge)' FROM tagged GROUP BY seq_id UNION ALL SELECT seq_id, max(pos) + 1, '(edge)' FROM tagged GROUP BY seq_id),
+n AS (SELECT tag AS cond, lead(tag) OVER (PARTITION BY seq_id ORDER BY pos) AS item FROM e) SELECT cond, item, count(*)::DOUBLE AS cnt FROM n WHERE item IS NOT NULL GROUP BY cond, item""")
+def hmm_transition_counts(spark, sf):
+    return named(hmm.fix_transitions()(hmm.transition_counts(tagged(spark, sf))).cells)
+
+
+@query(f"WITH {TAGGED_SQL} SELECT tag AS cond, sym AS item, count(*)::DOUBLE AS cnt FROM tagged GROUP BY tag, sym UNION ALL SELECT '(edge)', '(edge)', 1.0")
+def hmm_emission_counts(spark, sf):
+    return named(hmm.fix_emissions()(hmm.emission_counts(tagged(spark, sf))).cells)
+
+
+@query("""WITH t AS (SELECT DISTINCT event_type AS x FROM events UNION ALL SELECT '(edge)'), p AS (SELECT a.x AS cond, b.x AS item FROM t AS a CROSS JOIN t AS b WHERE a.x <> '(edge)' OR b.x <> '(edge)')
+SELECT cond, item, round(1.0::DOUBLE / count(*) OVER (PARTITION BY cond), 8) AS p FROM p""")
+def hmm_uniform_transitions(spark, sf):
+    return named(hmm.uniform_transitions(tagged(spark, sf).select("tag")), "p").withColumn("p", F.round("p", 8))
+
+
+@query(f"""WITH {TAGGED_SQL}, d AS (SELECT DISTINCT sym, tag FROM tagged WHERE seq_id % 2 = 0), n AS (SELECT sym, count(*)::DOUBLE AS n FROM tagged GROUP BY sym), k AS (SELECT sym, count(*) AS k FROM d GROUP BY sym),
+known AS (SELECT d.tag, d.sym, coalesce(n.n, 0) / k.k AS cnt FROM d JOIN k USING (sym) LEFT JOIN n USING (sym)), m AS (SELECT tag, sum(cnt) AS m, count(*)::DOUBLE ** 2 AS q FROM known GROUP BY tag),
+p AS (SELECT tag, m / (SELECT sum(m) FROM m) * q / (SELECT sum(q) FROM m) AS x FROM m), s AS (SELECT tag, x / (SELECT sum(x) FROM p) AS share FROM p)
+SELECT tag AS cond, sym AS item, round(cnt, 6) AS cnt FROM known UNION ALL SELECT s.tag, n.sym, round(n.n * share, 6) FROM s CROSS JOIN n WHERE n.sym NOT IN (SELECT sym FROM d) UNION ALL SELECT '(edge)', '(edge)', 1.0""")
+def unsup_emission_est(spark, sf):
+    t = tagged(spark, sf)
+    d = tagdict.simple(t.where("seq_id % 2 = 0"))  # the dictionary is made from half of the users: that is what makes some symbols unknown
+    return named(hmm.estimated_emissions(t, d).cells).withColumn("cnt", F.round("cnt", 6))
+
+
+def _smooth(then=C.passthrough):
+    return C.cond_add_lambda(1.0, then)
+
+
+@query()
+def viterbi_tag(spark, sf):
+    t = tagged(spark, sf)
+    return hmm.tag(t.select("seq_id", "pos", "sym"), hmm.train_supervised(t, _smooth(), _smooth()))
+
+
+@query()
+def viterbi_tag_constrained(spark, sf):
+    t = tagged(spark, sf)
+    d = tagdict.simple(t)
+    m = hmm.train_supervised(t, C.eisner(1.0, C.add_lambda(1.0)), hmm.license_emissions(d, C.eisner(1.0, C.add_lambda(1.0))), d)
+    return hmm.tag(t.select("seq_id", "pos", "sym"), m)
+
+
+SCORE_SQL = f"""WITH {TAGGED_SQL}, c AS (SELECT sym, tag, count(*) AS n FROM tagged WHERE seq_id % 2 = 0 GROUP BY sym, tag), b AS (SELECT sym, tag FROM (SELECT sym, tag, row_number() OVER (PARTITION BY sym ORDER BY n DESC, tag) AS r FROM c) WHERE r = 1),
+o AS (SELECT t.tag = coalesce(b.tag, 'view') AS ok, b.sym IS NOT NULL AS known FROM tagged AS t LEFT JOIN b ON t.sym = b.sym)
+SELECT count(*) FILTER (ok) AS correct, count(*) AS total, count(*) FILTER (ok AND known) AS known_correct, count(*) FILTER (known) AS known_total, count(*) FILTER (ok AND NOT known) AS unknown_correct, count(*) FILTER (NOT known) AS unknown_total FROM o"""
+
+
+@query(SCORE_SQL)
+def tagger_score(spark, sf):
+    """Most frequent tag of each symbol, from half of the users, scored on all."""
+    from pyspark.sql import Window
+
+    t = tagged(spark, sf)
+    train = t.where("seq_id % 2 = 0")
+    rank = F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("count"), "tag"))
+    best = train.groupBy("sym", "tag").count().withColumn("__r", rank).where("__r = 1").select("sym", "tag")
+    out = hmm.rule_tag(t.drop("tag"), best, [], "view")
+    return hmm.score(out, t, tagdict.simple(train))
+
+
+@query(f"""WITH {TAGGED_SQL}, b AS (SELECT sym, tag FROM (SELECT sym, tag, row_number() OVER (PARTITION BY sym ORDER BY count(*) DESC, tag) AS r FROM tagged GROUP BY sym, tag) WHERE r = 1)
+SELECT t.tag AS gold, b.tag AS output, count(*) AS n FROM tagged AS t JOIN b ON t.sym = b.sym WHERE t.tag <> b.tag GROUP BY t.tag, b.tag ORDER BY n DESC, gold, output LIMIT 5""")
+def tagger_mistakes(spark, sf):
+    from pyspark.sql import Window
+
+    t = tagged(spark, sf)
+    rank = F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("count"), "tag"))
+    best = t.groupBy("sym", "tag").count().withColumn("__r", rank).where("__r = 1").select("sym", "tag")
+    return hmm.mistakes(hmm.baseline_tag(t.drop("tag"), best), t)
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM documents)
+SELECT tag, count(*) AS cnt FROM (SELECT CASE WHEN tok IN ('the', 'a', 'an', 'this', 'that', 'these', 'those', 'every', 'each', 'no', 'some', 'any') THEN 'D' WHEN regexp_full_match(tok, '.*ing') THEN 'G' WHEN regexp_full_match(tok, '.*(ed|en)') THEN 'E' ELSE 'N' END AS tag FROM w) GROUP BY tag""")
+def rule_tag(spark, sf):
+    w = tokens(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.col("tok").alias("sym"))
+    exact = hmm.closed_class(spark).where("tag = 'D'")
+    return hmm.rule_tag(w, exact, [(".*ing", "G"), (".*(ed|en)", "E")], "N").groupBy("tag").agg(F.count("*").alias("cnt"))
+
+
+@query(f"WITH {TAGGED_SQL}, b AS (SELECT sym, min(tag) AS tag FROM tagged GROUP BY sym) SELECT seq_id, pos, t.sym, b.tag FROM tagged AS t JOIN b ON t.sym = b.sym")
+def baseline_tag(spark, sf):
+    t = tagged(spark, sf)
+    return hmm.baseline_tag(t.select("seq_id", "pos", "sym"), t.groupBy("sym").agg(F.min("tag").alias("tag"))).select("seq_id", "pos", "sym", "tag")
+
+
+@query()
+def em_train(spark, sf):
+    """Type-supervised: raw events and the pairs that half of the users show; the tags that the model gives."""
+    t = tagged(spark, sf)
+    m = hmm.train_type_supervised(t.select("seq_id", "pos", "sym"), tagdict.simple(t.where("seq_id % 2 = 0")), _smooth(), _smooth(), iterations=3)
+    return hmm.tag(t.select("seq_id", "pos", "sym"), m)
+
+
+@query()
+def em_semisupervised(spark, sf):
+    t = tagged(spark, sf)
+    m = hmm.train_type_supervised(t.where("seq_id % 2 = 1").select("seq_id", "pos", "sym"), tagdict.simple(t), _smooth(), _smooth(), iterations=2, gold=t.where("seq_id % 2 = 0"))
+    return hmm.tag(t.select("seq_id", "pos", "sym"), m)

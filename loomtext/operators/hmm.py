@@ -173,10 +173,9 @@ class Model:
 def build(transitions: CondDist | DataFrame, emissions: CondDist, d: TagDict | None = None) -> Model:
     """The model on the driver. d: the dictionary that constrains decoding; without it every tag is legal everywhere."""
     trans_cells = transitions if isinstance(transitions, DataFrame) else transitions.cells
-    size = emissions.cells.count()
-    if size > MODEL_CELLS:
-        raise ValueError(f"the model has {size} emission cells, more than MODEL_CELLS = {MODEL_CELLS}")
-    cells = emissions.cells.where("cond IS NOT NULL AND item IS NOT NULL AND p > 0").collect()
+    cells = emissions.cells.where("cond IS NOT NULL AND item IS NOT NULL AND p > 0").limit(MODEL_CELLS + 1).collect()
+    if len(cells) > MODEL_CELLS:
+        raise ValueError(f"the model has more than MODEL_CELLS = {MODEL_CELLS} emission cells")
     moves = trans_cells.collect()
     tags = sorted({r.cond for r in moves if r.cond is not None} | {r.item for r in moves if r.item is not None} | {r.cond for r in cells})
     at = {t: i for i, t in enumerate(tags)} | {EDGE: len(tags)}
@@ -240,9 +239,13 @@ def train_supervised(tagged: DataFrame, smooth_transitions=passthrough, smooth_e
 
 
 def from_counts(transitions: CondCounts, emissions: CondCounts, smooth_transitions=passthrough, smooth_emissions=passthrough, d: TagDict | None = None) -> Model:
+    kept = [transitions.cells.persist(), emissions.cells.persist()]  # counted once; all that follows reads these small tables
     t = fix_transitions(smooth_transitions)(transitions)
     e = fix_emissions(smooth_emissions)(emissions)
-    return build(cond_dist(t), cond_dist(e), d)
+    model = build(cond_dist(t), cond_dist(e), d)
+    for k in kept:
+        k.unpersist()
+    return model
 
 
 def expectation(tokens: DataFrame, model: Model, key: str = "seq_id") -> DataFrame:

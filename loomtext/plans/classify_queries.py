@@ -1 +1,85 @@
-"""Queries."""
+"""Queries of classification."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import naive_bayes, perceptron
+from .keyed_queries import WORDS, tokens
+from .registry import query, table
+
+LABELLED_SQL = f"w AS (SELECT d.doc_id, l.quality::VARCHAR AS label, unnest({WORDS}) AS feature FROM documents AS d JOIN labels AS l ON d.doc_id = l.doc_id)"
+MODEL_SQL = f"""{LABELLED_SQL}, pr AS (SELECT label, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id)::DOUBLE / (SELECT count(DISTINCT doc_id) FROM w) AS prior FROM w GROUP BY label),
+c AS (SELECT label, feature, count(*) AS n FROM w GROUP BY label, feature), v AS (SELECT count(DISTINCT feature) AS v FROM w), t AS (SELECT label, sum(n) AS n FROM c GROUP BY label)"""
+CLASSIFY_SQL = f"""{MODEL_SQL}, s AS (SELECT w.doc_id, p.label, ln(any_value(p.prior)) + sum(ln((coalesce(c.n, 0) + 1) / (t.n + v.v + 1))) AS x FROM w CROSS JOIN pr AS p JOIN t ON t.label = p.label CROSS JOIN v LEFT JOIN c ON c.label = p.label AND c.feature = w.feature GROUP BY w.doc_id, p.label)"""
+
+
+def labelled(spark, sf):
+    docs = tokens(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id").select("doc_id", "label", F.col("tok").alias("feature"))
+
+
+def trained(spark, sf):
+    return naive_bayes.Trainer.of(labelled(spark, sf)).model(1.0)
+
+
+@query(f"WITH {MODEL_SQL} SELECT label, round(prior, 8) AS prior FROM pr")
+def nb_train_prior(spark, sf):
+    return trained(spark, sf).prior.select("label", F.round("prior", 8).alias("prior"))
+
+
+@query(f"WITH {MODEL_SQL} SELECT l.label, f.feature, round((coalesce(c.n, 0) + 1) / (t.n + v.v + 1), 10) AS p FROM (SELECT label FROM pr) AS l CROSS JOIN (SELECT DISTINCT feature FROM w) AS f JOIN t ON t.label = l.label CROSS JOIN v LEFT JOIN c ON c.label = l.label AND c.feature = f.feature")
+def nb_train_likelihood(spark, sf):
+    return trained(spark, sf).likelihood().withColumn("p", F.round("p", 10))
+
+
+@query(f"WITH {CLASSIFY_SQL} SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, label) AS r FROM s) WHERE r = 1")
+def nb_classify(spark, sf):
+    return trained(spark, sf).best(labelled(spark, sf).select("doc_id", "feature"))
+
+
+@query(f"WITH {CLASSIFY_SQL}, m AS (SELECT *, max(x) OVER (PARTITION BY doc_id) AS top FROM s), z AS (SELECT *, ln(sum(exp(x - top)) OVER (PARTITION BY doc_id)) AS z FROM m) SELECT doc_id, label, round(exp(x - top - z), 5) AS p FROM z")
+def nb_posterior(spark, sf):
+    m = trained(spark, sf).classify(labelled(spark, sf).select("doc_id", "feature"))
+    return m.select("doc_id", "label", F.round(F.exp("logp"), 5).alias("p"))
+
+
+@query(f"WITH {CLASSIFY_SQL}, b AS (SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, label) AS r FROM s) WHERE r = 1) SELECT count(*) FILTER (b.label = l.quality::VARCHAR) AS correct, count(*) AS total FROM b JOIN labels AS l ON b.doc_id = l.doc_id")
+def nb_accuracy(spark, sf):
+    gold = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return naive_bayes.evaluate(trained(spark, sf).best(labelled(spark, sf).select("doc_id", "feature")), gold)
+
+
+@query(f"WITH {LABELLED_SQL} SELECT label, feature, count(*)::DOUBLE AS cnt FROM w GROUP BY label, feature")
+def nb_incremental(spark, sf):
+    """Two batches, by parity of the id, and their sum."""
+    d = labelled(spark, sf)
+    parts = [naive_bayes.Trainer.of(d.where(F.col("doc_id") % 2 == k)) for k in (0, 1)]
+    return parts[0].add(parts[1]).features
+
+
+@query()
+def nb_generate(spark, sf):
+    return trained(spark, sf).generate(spark, 50, 20, 3)
+
+
+def _instances(spark, sf):
+    d = labelled(spark, sf)
+    vocabulary = perceptron.interned(d, "feature").persist()
+    return perceptron.instances(d, vocabulary, perceptron.interned(d, "label", 0)), vocabulary.count() + 1
+
+
+@query()
+def perceptron_train(spark, sf):
+    """Binary passive-aggressive learning of quality by mixing, and the classes that it gives."""
+    data, width = _instances(spark, sf)
+    w = perceptron.train_mixed(data, 2, width, 8, "pa", epochs=5)
+    return perceptron.classify(data, w, 2, binary=True)
+
+
+@query()
+def gibbs_train(spark, sf):
+    """Labelled documents teach the labels of all others."""
+    docs = tokens(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.col("tok").alias("feature"))
+    others = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    return naive_bayes.gibbs(others, labelled(spark, sf), ["0", "1"], burn_in=1, rounds=3, lag=0)

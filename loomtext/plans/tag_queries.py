@@ -32,14 +32,13 @@ def hmm_uniform_transitions(spark, sf):
     return named(hmm.uniform_transitions(tagged(spark, sf).select("tag")), "p").withColumn("p", F.round("p", 8))
 
 
-@query(f"""WITH {TAGGED_SQL}, d AS (SELECT DISTINCT sym, tag FROM tagged WHERE seq_id % 2 = 0), n AS (SELECT sym, count(*)::DOUBLE AS n FROM tagged GROUP BY sym), k AS (SELECT sym, count(*) AS k FROM d GROUP BY sym),
+@query(f"""WITH {TAGGED_SQL}, d AS (SELECT DISTINCT sym, tag FROM tagged WHERE sym IN (SELECT sym FROM tagged GROUP BY sym ORDER BY count(*) DESC, sym LIMIT 20)), n AS (SELECT sym, count(*)::DOUBLE AS n FROM tagged GROUP BY sym), k AS (SELECT sym, count(*) AS k FROM d GROUP BY sym),
 known AS (SELECT d.tag, d.sym, coalesce(n.n, 0) / k.k AS cnt FROM d JOIN k USING (sym) LEFT JOIN n USING (sym)), m AS (SELECT tag, sum(cnt) AS m, count(*)::DOUBLE ** 2 AS q FROM known GROUP BY tag),
 p AS (SELECT tag, m / (SELECT sum(m) FROM m) * q / (SELECT sum(q) FROM m) AS x FROM m), s AS (SELECT tag, x / (SELECT sum(x) FROM p) AS share FROM p)
 SELECT tag AS cond, sym AS item, round(cnt, 6) AS cnt FROM known UNION ALL SELECT s.tag, n.sym, round(n.n * share, 6) FROM s CROSS JOIN n WHERE n.sym NOT IN (SELECT sym FROM d) UNION ALL SELECT '(edge)', '(edge)', 1.0""")
 def unsup_emission_est(spark, sf):
     t = tagged(spark, sf)
-    d = tagdict.simple(t.where("seq_id % 2 = 0"))  # the dictionary is made from half of the users: that is what makes some symbols unknown
-    return named(hmm.estimated_emissions(t, d).cells).withColumn("cnt", F.round("cnt", 6))
+    return named(hmm.estimated_emissions(t, tagdict.top_symbols(t, 20)).cells).withColumn("cnt", F.round("cnt", 6))
 
 
 def _smooth(then=C.passthrough):
@@ -60,22 +59,23 @@ def viterbi_tag_constrained(spark, sf):
     return hmm.tag(t.select("seq_id", "pos", "sym"), m)
 
 
-SCORE_SQL = f"""WITH {TAGGED_SQL}, c AS (SELECT sym, tag, count(*) AS n FROM tagged WHERE seq_id % 2 = 0 GROUP BY sym, tag), b AS (SELECT sym, tag FROM (SELECT sym, tag, row_number() OVER (PARTITION BY sym ORDER BY n DESC, tag) AS r FROM c) WHERE r = 1),
+SCORE_SQL = f"""WITH {TAGGED_SQL}, top AS (SELECT sym FROM tagged GROUP BY sym ORDER BY count(*) DESC, sym LIMIT 20), c AS (SELECT sym, tag, count(*) AS n FROM tagged WHERE sym IN (SELECT sym FROM top) GROUP BY sym, tag), b AS (SELECT sym, tag FROM (SELECT sym, tag, row_number() OVER (PARTITION BY sym ORDER BY n DESC, tag) AS r FROM c) WHERE r = 1),
 o AS (SELECT t.tag = coalesce(b.tag, 'view') AS ok, b.sym IS NOT NULL AS known FROM tagged AS t LEFT JOIN b ON t.sym = b.sym)
 SELECT count(*) FILTER (ok) AS correct, count(*) AS total, count(*) FILTER (ok AND known) AS known_correct, count(*) FILTER (known) AS known_total, count(*) FILTER (ok AND NOT known) AS unknown_correct, count(*) FILTER (NOT known) AS unknown_total FROM o"""
 
 
 @query(SCORE_SQL)
 def tagger_score(spark, sf):
-    """Most frequent tag of each symbol, from half of the users, scored on all."""
+    """Most frequent tag of each of the 20 most frequent symbols, scored on all."""
     from pyspark.sql import Window
 
     t = tagged(spark, sf)
-    train = t.where("seq_id % 2 = 0")
+    d = tagdict.top_symbols(t, 20)
+    train = t.join(d.symbols(), "sym", "left_semi")
     rank = F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("count"), "tag"))
     best = train.groupBy("sym", "tag").count().withColumn("__r", rank).where("__r = 1").select("sym", "tag")
     out = hmm.rule_tag(t.drop("tag"), best, [], "view")
-    return hmm.score(out, t, tagdict.simple(train))
+    return hmm.score(out, t, d)
 
 
 @query(f"""WITH {TAGGED_SQL}, b AS (SELECT sym, tag FROM (SELECT sym, tag, row_number() OVER (PARTITION BY sym ORDER BY count(*) DESC, tag) AS r FROM tagged GROUP BY sym, tag) WHERE r = 1)
@@ -105,14 +105,15 @@ def baseline_tag(spark, sf):
 
 @query()
 def em_train(spark, sf):
-    """Type-supervised: raw events and the pairs that half of the users show; the tags that the model gives."""
+    """Type-supervised: raw events and a dictionary of the 20 most frequent symbols; the tags that the model gives."""
     t = tagged(spark, sf)
-    m = hmm.train_type_supervised(t.select("seq_id", "pos", "sym"), tagdict.simple(t.where("seq_id % 2 = 0")), _smooth(), _smooth(), iterations=3)
+    m = hmm.train_type_supervised(t.select("seq_id", "pos", "sym"), tagdict.top_symbols(t, 20), _smooth(), _smooth(), iterations=3)
     return hmm.tag(t.select("seq_id", "pos", "sym"), m)
 
 
 @query()
 def em_semisupervised(spark, sf):
+    """All events as raw tokens, and the first ten of each user as gold."""
     t = tagged(spark, sf)
-    m = hmm.train_type_supervised(t.where("seq_id % 2 = 1").select("seq_id", "pos", "sym"), tagdict.simple(t), _smooth(), _smooth(), iterations=2, gold=t.where("seq_id % 2 = 0"))
+    m = hmm.train_type_supervised(t.select("seq_id", "pos", "sym"), tagdict.simple(t), _smooth(), _smooth(), iterations=2, gold=t.where("pos < 10"))
     return hmm.tag(t.select("seq_id", "pos", "sym"), m)

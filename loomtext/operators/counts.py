@@ -153,9 +153,9 @@ def cond_constrain(valid: DataFrame, zero_defaults: bool = True, then: Callable[
 
 
 def _backoff(c: CondCounts, smooth: Callable[[Counts], Counts]) -> tuple[DataFrame, Column, DataFrame]:
-    """(item, p_back), its default, and one row with the sums of additions and defaults over the conditions."""
-    extra = c.conds.agg(F.coalesce(F.sum("total_add"), F.lit(0.0)).alias("t"), F.coalesce(F.sum("default_cnt"), F.lit(0.0)).alias("d")).first()
-    summed = smooth(Counts(c.cells.groupBy("item").agg(F.sum("cnt").alias("cnt")), extra["t"], extra["d"]))
+    """(item, p_back), its default, and one row with the total: the smoothed sums of the seen pairs over all conditions; the
+    conditions' own additions and defaults don't count here."""
+    summed = smooth(Counts(c.cells.groupBy("item").agg(F.sum("cnt").alias("cnt"))))
     total = summed.df.agg((F.coalesce(F.sum("cnt"), F.lit(0.0)) + summed.total_add).alias("__total"))
     p = summed.df.crossJoin(F.broadcast(total)).select(F.col("item").alias("__bi"), F.try_divide("cnt", "__total").alias("p_back"))
     return p, F.try_divide(F.lit(summed.default_cnt), F.col("__total")), total

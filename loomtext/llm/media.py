@@ -48,14 +48,14 @@ def vint(data: bytes, at: int, marker: bool = False) -> tuple[int, int, bool]:
     return value if marker else value & mask, at + n, value & mask == mask
 
 
-def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(id, begin of content, its end, whether the size is unknown) of the elements from at to end. Content that is cut off
-    ends at `end`; one of unknown size too, and its reader tells where to go on by skipping."""
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, str]]:
+    """(id, begin of content, its end, how the end is known) of the elements from at to end. Content that is "cut" off ends at
+    `end`; content of "unknown" size too, and its reader tells where to go on by skipping."""
     while at < end:
         name, body, _ = vint(data, at, True)
         size, body, unknown = vint(data, body)
         stop = end if unknown else min(end, body + size)
-        skip = yield name, body, stop, unknown
+        skip = yield name, body, stop, "unknown" if unknown else "cut" if body + size > end else "known"
         at = stop if skip is None else skip
 
 
@@ -131,7 +131,7 @@ class File:
         d, walk, skip = self.data, elements(self.data, begin, end), None
         while True:
             try:
-                name, a, b, unknown = walk.send(skip)
+                name, a, b, ends = walk.send(skip)
             except StopIteration:
                 return
             skip = None
@@ -148,7 +148,7 @@ class File:
                         self.tracks[get(NUMBER)] = (get(KIND), codec, get(EACH))
             elif name == CLUSTER:
                 self.clusters.append(self.head_of(a) - begin)
-                skip = self.cluster(a, b, unknown)
+                skip = self.cluster(a, b, ends == "unknown")
             elif name == CUES:
                 for n, x, y, _ in elements(d, a, b):
                     if n == POINT:
@@ -170,9 +170,11 @@ class File:
 
     def cluster(self, a: int, b: int, unknown: bool) -> int | None:
         d, walk, time, at = self.data, elements(self.data, a, b), 0, a
-        for name, x, y, _ in walk:
+        for name, x, y, ends in walk:
             if unknown and name in TOP:
                 return at
+            if ends == "cut" and name in (SIMPLE, GROUP):
+                raise Damaged("block cut off")
             if name == SIMPLE:
                 self.block(x, y, time, None, bool(d[x + 3] & 0x80) if x + 3 < y else False, at - a)
             elif name == GROUP:

@@ -15,6 +15,7 @@ import pyarrow as pa
 #: Java / RE2 regular expression of a word, for the native and SQL sides.
 WORD_RE = r"[^ \t\n\x0B\f\r]+"
 CHUNK_BYTES = 2 << 20
+PIECE = 1 << 16
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _P = 0x9E3779B97F4A7C15 | 1
@@ -84,19 +85,28 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts + base, ends + base, np.searchsorted(starts, offsets - base)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap. They are hashed by pieces of PIECE bytes,
+    which stay in a processor's cache."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, lo + PIECE, "right")))
+        seg = data[lo : int(ends[b - 1])].astype(np.uint64)
+        seg += np.uint64(1)
+        seg *= _power(_P, len(seg))
+        total = np.zeros(len(seg) + 1, np.uint64)
+        np.cumsum(seg, out=total[1:])
+        s, e = starts[a:b] - lo, ends[a:b] - lo
+        out[a:b] = mix((total[e] - total[s]) * _power(_INV_P, int(s[-1]) + 1)[s])
+        a = b
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of consecutive rows, and for each row the index of its first word (n + 1 entries)."""
-    base = int(offsets[0])
     starts, ends, rows = word_spans(data, offsets)
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64), rows
-    seg = data[base : int(offsets[-1])].astype(np.uint64)
-    seg += np.uint64(1)
-    seg *= _power(_P, len(seg))
-    total = np.zeros(len(seg) + 1, np.uint64)
-    np.cumsum(seg, out=total[1:])
-    starts, ends = starts - base, ends - base
-    return mix((total[ends] - total[starts]) * _power(_INV_P, int(starts[-1]) + 1)[starts]), rows
+    return span_hashes(data, starts, ends), rows
 
 
 def extend(grams: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:

@@ -15,7 +15,7 @@ def split_sentences(text: Column) -> Column:
     """Sentences: they end in a full stop, question or exclamation mark before a blank and a capital, unless a short title
     stands before it."""
     marked = F.regexp_replace(text, r"(?<!\b(?:Mr|Dr|St|Ms|Jr|Sr)|\bMrs|\bProf)([.!?]+[\"')\]]*)\s+(?=[\p{Lu}\"'(\[])", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def tag_rules(token: Column) -> Column:
@@ -31,7 +31,7 @@ def tag_rules(token: Column) -> Column:
         .when(low.isin("is", "are", "was", "were", "be", "been", "has", "have", "had", "do", "does", "did", "will", "would", "can", "could"), "V")
         .when(low.rlike("(ly)$"), "A")
         .when(low.rlike("(ous|ful|able|ible|ive|al|ic)$"), "J")
-        .when(low.rlike("(ed|ing|ize|ise)$"), "V")
+        .when(low.rlike("..(ed|ing|ize|ise)$"), "V")
         .otherwise("N")
     )
 
@@ -40,7 +40,7 @@ def _runs(tokens: Column, tags: Column, member) -> Column:
     """The longest runs of tokens whose (token, tag) are members, joined by blanks."""
     pair = F.arrays_zip(tokens.alias("w"), tags.alias("t"))
     line = F.array_join(F.transform(pair, lambda p: F.when(member(p["w"], p["t"]), p["w"]).otherwise(F.lit("\u0001"))), " ")
-    return F.filter(F.transform(F.split(line, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(line, "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def noun_chunks(tokens: Column, tags: Column) -> Column:

@@ -145,7 +145,7 @@ def heads(nodes: Column) -> Column:
 def token_line_tree(line: Column) -> Column:
     """A flat tree of a token line whose sentences `<EOS>` ends: TOP over S over one x for each token; marks have their own name."""
     safe = F.regexp_replace(F.regexp_replace(line, r"\(", "-LRB-"), r"\)", "-RRB-")
-    sentences = F.filter(F.transform(F.split(safe, "<EOS>"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(safe, "<EOS>"), lambda x: F.trim(x)), lambda s: s != "")
     leaf = lambda w: F.concat(F.lit("("), F.when(w.isin(".", ",", "...", "?", "!"), w).otherwise(F.lit("x")), F.lit(" "), w, F.lit(")"))
     sentence = lambda s: F.concat(F.lit("\n    (S "), F.array_join(F.transform(F.split(s, r"\s+"), leaf), " "), F.lit(" )"))
     return F.when(F.size(sentences) == 0, F.lit("(TOP )")).otherwise(F.concat(F.lit("(TOP"), F.array_join(F.transform(sentences, sentence), ""), F.lit(" )")))

@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> D
     """(path, line_no, value): the lines of each file with their places. A file is read whole by one task, as its order is
     what counts; folders are read recursively."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.decode(F.col("content"), F.lit(encoding or "UTF-8"))
+    text = F.decode(F.col("content"), encoding or "UTF-8")
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
     kept = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
     return files.select("path", F.posexplode(kept).alias("line_no", "value"))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import functools
 
-_STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
-_STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
-_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+def _rules(text: str) -> tuple[tuple[str, str], ...]:
+    """`ending>replacement` items; nothing after the arrow drops the ending."""
+    return tuple((x, y) for x, _, y in (item.partition(">") for item in text.split()))
+
+
+_STEP2 = _rules("abli>able aliti>al alism>al alli>al anci>ance ation>ate ational>ate ator>ate biliti>ble eli>e enci>ence entli>ent fulness>ful iveness>ive iviti>ive ization>ize izer>ize ousli>ous ousness>ous tional>tion")
+_STEP3 = _rules("alize>al ative> ful> ical>ic icate>ic iciti>ic ness>")
+_STEP4 = tuple("able al ance ant ate ate ement ence ent er ible ic ion ism iti ive ize ment ou ous".split())
 
 
 def _shape(word: str) -> str:

@@ -22,7 +22,7 @@ def tag_rules(token: Column) -> Column:
     """A coarse tag for a token."""
     low = F.lower(token)
     return (
-        F.when(low.isin("the", "a", "an", "this", "that", "these", "those", "my", "your", "his", "her", "its", "our", "their"), "D")
+        F.when(low.isin(*"a an her his its my our that the their these this those your".split()), "D")
         .when(token.rlike(r"^\p{Punct}+$"), ".")
         .when(low.rlike(r"^\d[\d.,]*$"), "#")
         .when(low.isin("i", "you", "he", "she", "it", "we", "they", "me", "him", "us", "them"), "R")

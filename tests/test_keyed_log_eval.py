@@ -31,9 +31,9 @@ def test_group_and_ungroup(spark):
 
 
 SPLITS = [
-    ([1, 2, 3, 4, 2, 2, 5], [[1], [3, 4], [], [5]]),
-    ([2, 1, 2, 3, 4, 2, 2, 2, 5], [[], [1], [3, 4], [], [], [5]]),
-    ([1, 2, 3, 4, 2, 2, 5, 2, 2, 2], [[1], [3, 4], [], [5]]),
+    ([7, 2, 8, 9, 2, 2, 6], [[7], [8, 9], [], [6]]),
+    ([2, 7, 2, 8, 9, 2, 2, 2, 6], [[], [7], [8, 9], [], [], [6]]),
+    ([7, 2, 8, 9, 2, 2, 6, 2, 2, 2], [[7], [8, 9], [], [6]]),
     ([2, 2], []),
     ([], []),
 ]

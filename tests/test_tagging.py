@@ -26,7 +26,7 @@ def read(df):
 
 @pytest.fixture(scope="module")
 def train(spark):
-    return corpus(spark, ["the/D dog/N walks/V ./.", "the/D cat/N walks/V ./.", "a/D dog/N barks/V ./."])
+    return corpus(spark, [" ".join(f"{w}/{t}" for w, t in zip(s.split(), "DNV.", strict=True)) for s in ("the dog walks .", "the cat walks .", "a dog barks .")])
 
 
 def test_counts(spark, train):
@@ -90,7 +90,7 @@ def test_decoding_agrees_with_trying_all_paths(spark):
 
 
 def test_estimated_emissions(spark):
-    d = tagdict.simple(spark.createDataFrame([("the", "D"), ("dog", "N"), ("saw", "N"), ("saw", "V")], "sym string, tag string"))
+    d = tagdict.simple(spark.createDataFrame([tuple(x.split("/")) for x in "the/D dog/N saw/N saw/V".split()], "sym string, tag string"))
     tokens = spark.createDataFrame([(w,) for w in "the the dog saw saw new".split()], "sym string")
     got = {(r.cond, r.item): r.cnt for r in hmm.estimated_emissions(tokens, d).cells.collect()}
     mass, squares = {"D": 2, "N": 2, "V": 1}, {"D": 1, "N": 4, "V": 1}
@@ -120,7 +120,7 @@ def test_semi_supervised_uses_gold(spark, train):
 
 
 def test_score_and_other_taggers(spark, train):
-    words = spark.createDataFrame([("the", "D"), ("dog", "V")], "sym string, tag string")
+    words = spark.createDataFrame([tuple(x.split("/")) for x in ("the/D", "dog/V")], "sym string, tag string")
     out = hmm.rule_tag(train.drop("tag"), words, [("[.]", "."), (".*s", "V")], "N")
     s = hmm.score(out, train, tagdict.simple(words)).first().asDict()
     assert s == {"correct": 9, "total": 12, "known_correct": 2, "known_total": 4, "unknown_correct": 7, "unknown_total": 8}

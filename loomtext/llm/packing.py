@@ -3,9 +3,9 @@
 Documents longer than a sequence first give full sequences; what is left of each document is one piece. Pieces are counted by
 length, rounded up to GRAIN tokens: this histogram, of at most CAPACITY / GRAIN numbers, is all that reaches the driver, at any
 input size. There the configuration linear program (fewest sequences, over all ways to fill one, that cover the histogram) is
-solved by multiplicative weights: each round prices lengths by their weights, finds the best filling by knapsack dynamic
-programming, uses it, and lowers the weights of the lengths that it served. The fractional solution is rounded down, and the
-pieces that are left are placed by best fit decreasing over the histogram. Every filling then claims a run of the pieces of
+solved by multiplicative weights: lengths are priced by their weights, the best filling is found by knapsack dynamic
+programming and used, and the weights of the lengths that it served are lowered. The fractional solution is rounded down, and
+the pieces that are left are placed by best fit decreasing over the histogram. Every filling then claims a run of the pieces of
 each of its lengths, so a piece's sequence follows from its rank among the pieces of its length. Ranks come from counts by
 (length, hash bucket) and a window inside each bucket; no task sees a whole length.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import n_words
 
-CAPACITY, GRAIN, ROUNDS, BUCKETS = 2048, 8, 600, 256
+CAPACITY, GRAIN, BUCKETS = 2048, 8, 256
+EPSILON, REPRICE, GAP = 0.1, 64, 0.01
 SCHEMA = "doc_id long, part long, sequence long, n_tokens long"
 
 
@@ -42,30 +43,50 @@ def best_filling(value: np.ndarray, slots: int) -> np.ndarray:
     return out
 
 
-def solve(histogram: np.ndarray, slots: int, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Fillings and how often each is used (fractions) to cover the histogram, by multiplicative weights."""
-    used = histogram > 0
-    if not used.any():
+def solve(histogram: np.ndarray, slots: int, epsilon: float = EPSILON) -> tuple[list[np.ndarray], np.ndarray]:
+    """Fillings and how often each is used (fractions) to cover the histogram, by multiplicative weights.
+
+    A length's weight is (1 - epsilon) to the power of how often its pieces are covered so far, over their number. Each step
+    uses the filling of the greatest weight among those found, as much as covers one length once more; a length that is covered
+    log(lengths) / epsilon**2 times drops out. Every REPRICE steps the knapsack looks for a better filling over all that there
+    are; its value also bounds the optimum from below, and the search ends within GAP of that bound. The number of steps doesn't
+    depend on how rare a length is. At the end all is scaled down to cover the histogram once.
+    """
+    used = np.flatnonzero(histogram > 0)
+    if not len(used):
         return [], np.zeros(0)
-    need = np.where(used, histogram, 1).astype(float)
-    covered, found, times = np.zeros(len(histogram)), {}, []
-    scale = max(1.0, float((histogram * np.arange(1, len(histogram) + 1)).sum()) / slots)
-    eta = np.log(max(2, used.sum())) * 2
-    for _ in range(rounds):
-        lag = covered / need
-        low = lag[used].min()
-        weight = np.where(used, np.exp(-eta * np.minimum((lag - low) * rounds / max(1, used.sum()), 60)), 0) / need
-        filling = best_filling(weight, slots)
-        filling = np.where(used, filling, 0)
-        key = filling.tobytes()
-        if key not in found:
-            found[key] = len(times)
-            times.append(0.0)
-        step = scale / rounds
-        times[found[key]] += step
-        covered += filling * step
-    x = np.array(times) / max(1e-12, float((covered / need)[used].min()))
-    return [np.frombuffer(k, np.int64) for k in found], x
+    need, m = histogram[used].astype(float), len(used)
+    found = [np.where(np.arange(m) == j, slots // (i + 1), 0) for j, i in enumerate(used)]
+    ratio, x = np.zeros((2 * m + 64, m)), [0.0] * m
+    ratio[:m] = np.array(found) / need
+    goal, shrink, done, step, bound = np.log(m + 1) / epsilon**2, np.log1p(-epsilon), np.zeros(m), 0, 0.0
+    full = np.zeros(len(histogram))
+    while (alive := done < goal).any():
+        weight = np.where(alive, np.exp((done - done[alive].min()) * shrink), 0)
+        value = ratio[: len(found)] @ weight
+        best = int(value.argmax())
+        if step % REPRICE == 0:
+            full[used] = weight / need
+            filling = best_filling(full, slots)[used]
+            price = filling / need @ weight
+            bound = max(bound, weight.sum() / price)
+            if done.min() > 0 and sum(x) / done.min() <= bound * (1 + GAP):
+                break
+            if price > value[best] * (1 + epsilon / 20):
+                if len(found) == len(ratio):
+                    ratio = np.concatenate([ratio, np.zeros_like(ratio)])
+                best = len(found)
+                ratio[best] = filling / need
+                found.append(filling)
+                x.append(0.0)
+        much = 1 / ratio[best][alive].max()
+        done += ratio[best] * much
+        x[best] += much
+        step += 1
+    out = [np.zeros(len(histogram), np.int64) for _ in found]
+    for o, f in zip(out, found, strict=True):
+        o[used] = f
+    return out, np.array(x) / done.min()
 
 
 def round_down(histogram: np.ndarray, fillings: list[np.ndarray], x: np.ndarray, slots: int) -> list[tuple[np.ndarray, int]]:
@@ -109,14 +130,10 @@ def round_down(histogram: np.ndarray, fillings: list[np.ndarray], x: np.ndarray,
     return out + [(f, n) for group in open_.values() for f, n in group]
 
 
-def plan(histogram: np.ndarray, slots: int, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], float]:
+def plan(histogram: np.ndarray, slots: int, epsilon: float = EPSILON) -> tuple[list[tuple[np.ndarray, int]], float]:
     """Fillings with their numbers of uses, and a lower bound of sequences (total length)."""
-    fillings, x = solve(histogram, slots, rounds)
     bound = float((histogram * np.arange(1, len(histogram) + 1)).sum()) / slots
-    packed = round_down(histogram, fillings, x, slots)
-    plain = round_down(histogram, [], np.zeros(0), slots)
-    count = lambda p: sum(n for _, n in p)
-    return (packed if count(packed) <= count(plain) else plain), bound
+    return round_down(histogram, *solve(histogram, slots, epsilon), slots), bound
 
 
 def _runs(packed: list[tuple[np.ndarray, int]], sizes: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,7 +148,7 @@ def _runs(packed: list[tuple[np.ndarray, int]], sizes: int) -> dict[int, tuple[n
     return {k: tuple(np.array([r[j] for r in v], np.int64) for j in range(3)) for k, v in rows.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, epsilon: float = EPSILON) -> DataFrame:
     """Where each part of each document goes: doc_id, part (from 0), sequence (from 0; a sequence's number, shared by what is
     packed together) and n_tokens (words). A sequence never holds more than `capacity` tokens.
 
@@ -153,7 +170,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, rounds:
         pieces[r["size"], r["bucket"]] = int(histogram[r["size"] - 1])
         histogram[r["size"] - 1] += r["pieces"]
         fulls[r["size"], r["bucket"]] = r["fulls"]
-    runs, at = _runs(plan(histogram, slots, rounds)[0], slots), 0
+    runs, at = _runs(plan(histogram, slots, epsilon)[0], slots), 0
     for k in fulls:
         fulls[k], at = at, at + fulls[k]
     own = Window.partitionBy("size", "bucket").orderBy("doc_id", "tie", "n")

@@ -55,6 +55,22 @@ def test_languages_awkward(spark):
     assert language_id.identify_languages(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size", [300_000, 800_000, 3_000_000])
+def test_long_texts_keep_their_language(spark, size):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    identify = language_id.Identifier(language_id.fit_dictionaries(docs.where("doc_id < 500")))
+    texts = {}
+    for r in docs.where("doc_id >= 500 AND lang IS NOT NULL AND text <> ''").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    for lang, own in texts.items():
+        rng = np.random.default_rng(size)
+        text = ""
+        while len(text) < size:
+            text += "\n" + "\n".join(own[i] for i in rng.permutation(len(own)))
+        got = identify(text.encode()[:size])
+        assert got[0] == lang and got[4] > 3 * language_id.MARGIN
+
+
 # --- token counts ---
 
 

@@ -1,11 +1,12 @@
 """Operator 9, best-fit packing into sequences of CAPACITY tokens.
 
 Documents longer than a sequence first give full sequences; what is left of each document is one piece. Pieces are counted by
-length, rounded up to GRAIN tokens: this histogram, of at most CAPACITY / GRAIN numbers, is all that reaches the driver, at any
+exact length (GRAIN is 1) and hash bucket: these counts, at most CAPACITY * BUCKETS, are all that reaches the driver, at any
 input size. There the configuration linear program (fewest sequences, over all ways to fill one, that cover the histogram) is
-solved by multiplicative weights: lengths are priced by their weights, the best filling is found by knapsack dynamic
-programming and used, and the weights of the lengths that it served are lowered. The fractional solution is rounded down, and
-the pieces that are left are placed by best fit decreasing over the histogram. Every filling then claims a run of the pieces of
+solved to within GAP. Best fit decreasing over the histogram is a solution of it, and is taken if it is that near the total
+length; else the program is solved by multiplicative weights: lengths are priced by their weights, the best filling is found by
+knapsack dynamic programming and used, and the weights of the lengths that it served are lowered. The fractional solution is
+rounded down, and the pieces that are left are placed by best fit decreasing. Every filling then claims a run of the pieces of
 each of its lengths, so a piece's sequence follows from its rank among the pieces of its length. Ranks come from counts by
 (length, hash bucket) and a window inside each bucket; no task sees a whole length.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import n_words
 
-CAPACITY, GRAIN, BUCKETS = 2048, 8, 256
+CAPACITY, GRAIN, BUCKETS = 2048, 1, 256
 EPSILON, REPRICE, GAP = 0.1, 64, 0.01
 SCHEMA = "doc_id long, part long, sequence long, n_tokens long"
 
@@ -44,7 +45,8 @@ def best_filling(value: np.ndarray, slots: int) -> np.ndarray:
 
 
 def solve(histogram: np.ndarray, slots: int, epsilon: float = EPSILON) -> tuple[list[np.ndarray], np.ndarray]:
-    """Fillings and how often each is used (fractions) to cover the histogram, by multiplicative weights.
+    """Fillings and how often each is used (fractions) to cover the histogram: those of best fit decreasing if they are within GAP
+    of the total length, else by multiplicative weights, which start from them.
 
     A length's weight is (1 - epsilon) to the power of how often its pieces are covered so far, over their number. Each step
     uses the filling of the greatest weight among those found, as much as covers one length once more; a length that is covered
@@ -55,15 +57,31 @@ def solve(histogram: np.ndarray, slots: int, epsilon: float = EPSILON) -> tuple[
     used = np.flatnonzero(histogram > 0)
     if not len(used):
         return [], np.zeros(0)
+    start, bound = round_down(histogram, [], np.zeros(0), slots), total(histogram) / slots
+    if sum(n for _, n in start) <= bound * (1 + GAP):
+        return [f for f, _ in start], np.array([n for _, n in start], float)
     need, m = histogram[used].astype(float), len(used)
-    found = [np.where(np.arange(m) == j, slots // (i + 1), 0) for j, i in enumerate(used)]
-    ratio, x = np.zeros((2 * m + 64, m)), [0.0] * m
-    ratio[:m] = np.array(found) / need
-    goal, shrink, done, step, bound = np.log(m + 1) / epsilon**2, np.log1p(-epsilon), np.zeros(m), 0, 0.0
+    lengths, shares, begins = [], [], []  # of each filling found: its lengths, and the share of their pieces that one use covers
+
+    def add(filling: np.ndarray) -> int:
+        on = np.flatnonzero(filling)
+        begins.append(begins[-1] + len(lengths[-1]) if begins else 0)
+        lengths.append(on)
+        shares.append(filling[on] / need[on])
+        return len(begins) - 1
+
+    for j, i in enumerate(used):
+        add(np.where(np.arange(m) == j, slots // (i + 1), 0))
+    for f, _ in start:
+        add(f[used])
+    flat, x = None, [0.0] * len(begins)
+    goal, shrink, done, step = np.log(m + 1) / epsilon**2, np.log1p(-epsilon), np.zeros(m), 0
     full = np.zeros(len(histogram))
     while (alive := done < goal).any():
         weight = np.where(alive, np.exp((done - done[alive].min()) * shrink), 0)
-        value = ratio[: len(found)] @ weight
+        if flat is None:
+            flat = np.concatenate(lengths), np.concatenate(shares), np.array(begins)
+        value = np.add.reduceat(weight[flat[0]] * flat[1], flat[2])
         best = int(value.argmax())
         if step % REPRICE == 0:
             full[used] = weight / need
@@ -73,20 +91,21 @@ def solve(histogram: np.ndarray, slots: int, epsilon: float = EPSILON) -> tuple[
             if done.min() > 0 and sum(x) / done.min() <= bound * (1 + GAP):
                 break
             if price > value[best] * (1 + epsilon / 20):
-                if len(found) == len(ratio):
-                    ratio = np.concatenate([ratio, np.zeros_like(ratio)])
-                best = len(found)
-                ratio[best] = filling / need
-                found.append(filling)
+                best, flat = add(filling), None
                 x.append(0.0)
-        much = 1 / ratio[best][alive].max()
-        done += ratio[best] * much
+        on, share = lengths[best], shares[best]
+        much = 1 / share[alive[on]].max()
+        done[on] += share * much
         x[best] += much
         step += 1
-    out = [np.zeros(len(histogram), np.int64) for _ in found]
-    for o, f in zip(out, found, strict=True):
-        o[used] = f
-    return out, np.array(x) / done.min()
+    out = []
+    for k, (on, share) in enumerate(zip(lengths, shares, strict=True)):
+        if x[k]:
+            f = np.zeros(len(histogram), np.int64)
+            f[used[on]] = np.rint(share * need[on]).astype(np.int64)
+            out.append(f)
+    x = np.array(x)
+    return out, x[x > 0] / done.min()
 
 
 def round_down(histogram: np.ndarray, fillings: list[np.ndarray], x: np.ndarray, slots: int) -> list[tuple[np.ndarray, int]]:
@@ -130,10 +149,15 @@ def round_down(histogram: np.ndarray, fillings: list[np.ndarray], x: np.ndarray,
     return out + [(f, n) for group in open_.values() for f, n in group]
 
 
+def total(histogram: np.ndarray) -> float:
+    return float((histogram * np.arange(1, len(histogram) + 1)).sum())
+
+
 def plan(histogram: np.ndarray, slots: int, epsilon: float = EPSILON) -> tuple[list[tuple[np.ndarray, int]], float]:
-    """Fillings with their numbers of uses, and a lower bound of sequences (total length)."""
-    bound = float((histogram * np.arange(1, len(histogram) + 1)).sum()) / slots
-    return round_down(histogram, *solve(histogram, slots, epsilon), slots), bound
+    """Fillings with their numbers of uses (the rounded program, or best fit decreasing where that takes fewer sequences), and a
+    lower bound of sequences (total length)."""
+    packed = [round_down(histogram, *solve(histogram, slots, epsilon), slots), round_down(histogram, [], np.zeros(0), slots)]
+    return min(packed, key=lambda p: sum(n for _, n in p)), total(histogram) / slots
 
 
 def _runs(packed: list[tuple[np.ndarray, int]], sizes: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -163,16 +187,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, epsilon:
     d = d.select("doc_id", "n", "tie", F.expr(f"(n - 1) div {capacity}").alias("full"))
     d = d.withColumn("rest", F.col("n") - F.col("full") * capacity)
     d = d.withColumns({"size": F.expr(f"(rest + {grain - 1}) div {grain}").cast("int"), "bucket": F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS)).cast("int")})
-    counts = d.groupBy("size", "bucket").agg(F.count("*").alias("pieces"), F.sum("full").alias("fulls")).collect()
-    histogram = np.zeros(slots, np.int64)
-    pieces, fulls = {}, {}
-    for r in sorted(counts, key=lambda r: (r["size"], r["bucket"])):
-        pieces[r["size"], r["bucket"]] = int(histogram[r["size"] - 1])
-        histogram[r["size"] - 1] += r["pieces"]
-        fulls[r["size"], r["bucket"]] = r["fulls"]
-    runs, at = _runs(plan(histogram, slots, epsilon)[0], slots), 0
-    for k in fulls:
-        fulls[k], at = at, at + fulls[k]
+    counts = d.groupBy("size", "bucket").agg(F.count("*").alias("pieces"), F.sum("full").alias("fulls")).toArrow()
+    pieces, fulls = np.zeros((slots + 1, BUCKETS), np.int64), np.zeros((slots + 1, BUCKETS), np.int64)
+    cell = counts["size"].to_numpy(), counts["bucket"].to_numpy()
+    pieces[cell], fulls[cell] = counts["pieces"].to_numpy(), counts["fulls"].to_numpy()
+    histogram = pieces[1:].sum(1)
+    runs = _runs(plan(histogram, slots, epsilon)[0], slots)
+    pieces = np.cumsum(pieces, 1) - pieces  # now what lies before a cell
+    fulls = np.cumsum(fulls).reshape(fulls.shape) - fulls
     own = Window.partitionBy("size", "bucket").orderBy("doc_id", "tie", "n")
     before = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = d.select("doc_id", "full", "rest", "size", "bucket", (F.row_number().over(own) - 1).alias("rank"), (F.sum("full").over(before) - F.col("full")).alias("before"))
@@ -181,7 +203,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, epsilon:
         for b in batches:
             doc, full, rest, size, bucket, rank, prior = (np.asarray(b.column(i).fill_null(0)).astype(np.int64) for i in range(7))
             ids, seq = b.column(0), np.zeros(len(size), np.int64)
-            rank = rank + np.array([pieces[k] for k in zip(size.tolist(), bucket.tolist(), strict=True)], np.int64)
+            rank = rank + pieces[size, bucket]
             for s in np.unique(size):
                 on = np.flatnonzero(size == s)
                 ends, first, each = runs[int(s)]
@@ -192,7 +214,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, epsilon:
             if full.any():
                 which = np.repeat(np.arange(len(full)), full)
                 part = np.arange(len(which)) - np.repeat(np.cumsum(full) - full, full)
-                base = prior + np.array([fulls[k] for k in zip(size.tolist(), bucket.tolist(), strict=True)], np.int64)
+                base = prior + fulls[size, bucket]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(part), pa.array(-1 - (base[which] + part)), pa.array(np.full(len(which), capacity))], ["doc_id", "part", "sequence", "n_tokens"])
 
     return ranked.mapInArrow(place, SCHEMA)

@@ -192,6 +192,13 @@ def test_packing_awkward(spark):
         packing.pack(awkward(spark), 100, 8)
 
 
+def test_packing_uses_the_room_of_every_token(spark):
+    short = spark.range(4096).selectExpr("id AS doc_id", "'word' AS text")
+    assert check_packing(packing.pack(short).collect(), dict.fromkeys(range(4096), 1), packing.CAPACITY) == 2
+    pairs = spark.range(60).selectExpr("id AS doc_id", "repeat('a ', IF(id % 2 = 0, 1025, 1023)) AS text")
+    assert check_packing(packing.pack(pairs).collect(), {i: 1025 - i % 2 * 2 for i in range(60)}, packing.CAPACITY) == 30
+
+
 # --- positive-unlabelled classifier ---
 
 

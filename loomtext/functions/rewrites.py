@@ -1,0 +1,126 @@
+r"""The reference's StringUtils.tokenize: its rewrites of a text, in their order.
+
+Variables that the reference doesn't fill in ($title_abbr_mc, $general_abbr, $mlg_bible_books) match nothing there, and are left
+out. Bytes of UTF-8 in its patterns (\xC3[\xA0-\xBF]) are characters, as they are for it; where it would write such bytes into the
+text (as xE2x80x98), the quotation marks that are meant are written.
+"""
+
+from __future__ import annotations
+
+import re
+from html.entities import name2codepoint
+
+_A = r"[a-z]|\xC3[\xA0-\xBF]|\xE1\xBB\xB3"
+_NB = r"(?:\xC2\xA0|\xE2\x80\xAF)"
+_Q = r"\xC2\xAB|\xC2\xBB|\xE2\x80[\x98\x99\x9C\x9D]"
+_QUOTED = rf'(?:(?:"|\(|\)|@"|{_Q}) )?'
+_BEFORE = (
+    (r"\s+", " "), (r"(\S)([,\"])", r"\1 @\2"), (r"([,\"])(\S)", r"\1@ \2"), (r"([,\"])([^ @])", r"\1@ \2"), (r' @"@ " ', ' @" @" '),
+    (r"(\S)([?!][!?.]*) ", r"\1 \2 "), (r"(\d)(%|‰|°[CF])([^0-9a-fA-F])", r"\1 \2\3"), (r"(?i)\b(n°)(\d)", r"\1 \2"),
+    (r"(?i)([a-z][0-9])(:)", r"\1 @\2 "), (r"('|!|\?)(\.+) ", r"\1 \2 "), (r"\(", " -LRB- "), (r"\)", " -RRB- "), (r"(?i)([a-z])('s)\b", r"\1 \2"),
+)
+_CONTRACTIONS = (
+    (r"(?i)\b(are|could|dare|did|do|does|had|has|have|is|must|need|should|was|were|would)(n)'(t)\b", r"\1 \2&nbt;'\3"),
+    (r"(?i)\b(can)(not)\b", r"\1 \2"), (r"(?i)\b(ca)(n)'(t)\b", r"\1\2 \2&nbt;'\3"), (r"\b([Ww])on't\b", r"\1ill n&nbt;'t"), (r"\bWON'T\b", "WILL N&nbt;'T"),
+    (r"\bain't\b", "is n&nbt;'t"), (r"\bAin't\b", "Is n&nbt;'t"), (r"\bAIN'T\b", "IS N&nbt;'T"), (r"(?i)\b(I)'(m)\b", r"\1 '\2"),
+    (r"(?i)\b(I|you|he|she|we|they)'(d|ll|ve)\b", r"\1 '\2"), (r"(?i)\b(you|we|they)'(re)\b", r"\1 '\2"),
+)
+_ENGLISH_QUOTES = (
+    (r"([A-Z]) '(D|LL|M|RE|S|T|VE)\b", r"\1 &apos;\2"), (r" '([A-Z]|[a-z]{3,}|to\b)", r" ‘ \1"), (r"([a-z])([.!?])' ", r"\1 \2 ’ "), (r" ([.!?])' ", r" \1 ’ "),
+    (r"(?i)([a-z]{2,})' ", r"\1 ’ "), (r"(?i) (@,@) ' ", r" \1 ’ "), ("&apos;", "'"),
+)
+_COMMAS = ((r"(\d) @,@ (\d)", r"\1,\2"), (r"(\d) @,@ (\d)", r"\1,\2"), (" @,", " ,"), (",@ ", ", "), (r"(?i)\b(d'|l')([aehiou]|\xC3[\x89\xA9])", r"\1 \2"), (r"(?i)\b(c')(est)\b", r"\1 \2"))
+_KIN = (
+    (r"(?i)\b(ab|ah|ak|ay|b|bw|by|cy|h|iby|icy|iry|iy|iz|k|kubw|kw|m|mur|mw|n|ng|nk|nt|ny|nyir|rw|ry|ubw|ukw|urw|utw|uw|tw|w|y|z)'([aeiou])", r"\1' \2"),
+    (r"(?i)\b(n)'([bdgkmtz])", r"\1' \2"), (r"(?i)\b([bcr]?y)'([bgmns])", r"\1' \2"),
+    (r"(?i)\b([a-z]{2,}[bhkmnrwyz]')((?:aba|aga|aha|aka|ama|i|ubu|ubw|udu|ugu|uko|uku|ukw|umu|umw|uru|urw|utu|utw)[a-z]*)\b", r"\1 \2"),
+) * 2 + ((r"(?i)(\d)(fr|frs|frw)\b", r"\1 \2"), (r"(?i)\b(frw)(\d)", r"\1 \2"))
+_MLG = ((r"(?i)([bdfghjklmnprstvz]+')([aeio]|\xC3\[\xA0\xA8\xAC\xB2\xB4]|\xE1\xBB\xB3)", r"\1 \2"), (r"(?i)(n')(ny|ilay)\b", r"\1 \2"), (r"((?:ak|n|tr)')([A-Z])", r"\1 \2"))
+_MARK = (r" (::[a-z][-_a-z0-9]*[a-z0-9]|end-of-article) ", r" &nbt;\1&nbt; ")
+_MEASURES = (
+    (r"(\d)(cm|g|ha|kg|km|Km|kwh|Kwh|m|mg|mm)\b", r"\1 \2"), (rf" (\d{{1,3}}){_NB}(\d{{3}}) ", r" \1.\2 "), (rf" (\d{{1,3}}){_NB}(\d{{3}}){_NB}(\d{{3}}) ", r" \1.\2.\3 "),
+    (rf" (\d{{1,3}}){_NB}(\d{{3}}){_NB}(\d{{3}}){_NB}(\d{{3}}) ", r" \1.\2.\3.\4 "), (f"{_NB}+ ", " "), (f" {_NB}+", " "), (rf"(?i)([a-z]){_NB}+([a-z])", r"\1 \2"), _MARK, _MARK,
+)
+#: Repeated until nothing changes.
+_HYPHENS = (
+    (r" (\d+|\d{1,3}(?:\.\d{3})+)(-)(\d+|\d{1,3}(?:\.\d{3})+) ", r" \1 @\2@ \3 "), (r" (\d+|\d{1,3}(?:,\d{3})+)(-)(\d+|\d{1,3}(?:,\d{3})+) ", r" \1 @\2@ \3 "),
+    (rf"(?i) ((?:{_A})+)(-|:|/)((?:[-/a-z]|\xC3[\xA0-\xBF]|\xE1\xBB\xB3)+'?\.*) ", r" \1 @\2@ \3 "),
+    (rf"(?i) ((?:{_A})+|-?\d+(?:[.,]\d+)*)(-|:|/|\*+|\++) ", r" \1 @\2 "), (rf"(?i) (-|:|/|\*+|\++)((?:{_A})+\.*) ", r" \1@ \2 "),
+)
+_JOINS = (
+    (r" (Foto)/([A-Z])", r" \1 @/@ \2"), (r" ([a-zA-Z]+)-((?:[A-Z]|Dr|Prof|St)\.)([A-Z][a-z]+) ", r" \1 @-@ \2 \3 "),
+    (r" ((?:[0-2]?[1-9]|3[01])/(?:0?[1-9]|1[0-2])/) ((?:19|20)\d\d) ", r" \1\2 "), (r"(?i) (www)\. ([a-z]{3,}) ", r" \1.\2 "),
+    (r" ([A-Z]\.)([A-Z](?:[a-z]|\xC3[\xA0-\xBF]|\xE1\xBB\xB3){3,}) ", r" \1 \2 "),
+    (r" ([a-zA-Z][a-z]{3,}|[A-Z]{3,}|\d+|\d{1,3}(?:\.\d{3})+|\d{1,3}\.\d{1,3})\.([A-Z][a-z]+'?) ", r" \1. \2 "),
+    (r"(?i) (Brig|Col|Lt)\.(Gen|Jen)\. ", r" \1. \2. "), (r"(?i) (Gen|Jen)\.(Maj)\. ", r" \1. \2. "), (r"(?i) (Prof|Pr)\.(Dr)\. ", r" \1. \2. "),
+    (r"([ /][A-Z])\. ([A-Z])", r"\1.&nbsp;\2"), (r"([ /][A-Z])\. ([A-Z])", r"\1.&nbsp;\2"), (r"([ /][A-Z])\.\s*$", r"\1&nbt;."),
+    (r"^((?:|.*[ /][A-Z]))\.\s*$", r"\1&nbt;."), (r"^(\s*[A-Z])\.\s*$", r"\1&nbt;."), (r"\b((?:[A-Za-z]\.){1,3}[A-Za-z])\.\s+", r"\1&nbt;. "), (r"\b((?:[A-Za-z]\.){1,3}[A-Za-z])\.$", r"\1&nbt;."),
+    (r"((?:[a-z]|\xC3[\xA0-\xBF]|\xE1\xBB\xB3){5})\. ", r"\1 . "), (r"(?i)([a-z][aeiou][a-z][aeiou])\. ", r"\1 . "), (r"(?i)(\xC3[\xA0\xA8\xAC\xB2\xB4]|\xE1\xBB\xB3)\. ", r"\1 . "),
+    (r"([aeio][bdfghjklmnprstvz][aeio]?[aeioy])\. ", r"\1 . "),
+    (rf'(?i) (\d+|(?:{_A})+)\. *((?:(?:"|@"|\xC2\xBB|\xE2\x80[\x99\x9D]) )?(?:|(?:&nbt;)?::.*))$', r" \1 . \2"),
+    (rf' ((?:19|20)\d\d)\. ((?:(?:"|@"|{_Q}) )?[A-Z])', r" \1 . \2"),
+    (rf'(\S) (-?\d+|\d+[-/:]\d+|\d{{1,3}}\.\d{{1,3}}|\d{{1,3}}(?:\.\d{{3}})+|\d{{1,3}},\d{{1,3}}|\d{{1,3}}(?:,\d{{3}})+|(?:\d\d?-)?\d\d?/\d\d?(?:/\d\d\d\d)?|[a-zA-Z]\d+)\. ((?:(?:"|@"|{_Q}) )?(?:[A-Z]|::|&nbt;::))', r"\1 \2 . \3"),
+    (rf"(\S) (\S+[aeiou]|[a-z]\S+[a-z]|[A-Z]{{2,}}|frw|Frw|[A-Z]\S*[a-z][A-Za-z\x80-\xFF])\. ({_QUOTED}(?:|[A-Z]|::|&nbt;::))", r"\1 \2 . \3"),
+)
+_ENGLISH_STOPS = ((rf"(\S) (am|at|by|do|in|is|it|of|on|so|to|us)\. ({_QUOTED}(?:|[A-Z]|::|&nbt;::))", r"\1 \2 . \3"),)
+_STOPS = (
+    (r"(%|\xC2[\xB2\xBC-\xBD]|\xC2\xB0[CF]|\xC2\xBA[CF])\.", r"\1 ."), (r" \.([A-Z])", r" . \1"), (r"(?i) ([a-z0-9&':]*[0-9&':][a-z0-9&':]*[a-z])\. ", r" \1 . "),
+    (r"(?i) ([-a-z0-9&':+%/=]*[a-z&':+%][-a-z0-9&':+%/=]*[0-9])\. ", r" \1 . "), (r" ([-0-9.,/]*\d[.,/]\d[-0-9.,/]*)\. ", r" \1 . "),
+    (r"(?i)([a-z0-9]|\xC3[\xA0-\xBF]|\xE1\xBB\xB3)(\.{2,}) ", r"\1 \2 "), (r"(?i) (\.{2,})([a-z0-9])", r" \1 \2"), (r" ([!?]+|\++|#+|')\. ", r" \1 . "), (r"(?i) ([a-z]+-+)\. ", r" \1 . "), (r" (KIST)\. ", r" \1 . "),
+)
+_MLG_WORDS = ((r"(?i) (Aho|Ary|Ay|Esao|Indro|Ireo|Syria)\. ", r" \1 . "), (r" (e|ny|omby|roa|teo)\. ", r" \1 . "))
+_ENGLISH_WORDS = (
+    (r" (all|asks?|back|barn|book|bow|days?|dead|die|down|dug|dust|ear|else|envy|food|go|gods?|gold|hair|hand|he|heed|help|her|hill|him|king|land|law|lips?|man|me|mind|near|new|noon|oil|old|ox|poor|rest|roof|said|says?|sea|seen|ship|shut|sins?|sky|sons?|that|them|this|tomb|too|up|wait|wall|war|way|wear|you)\. ", r" \1 . "),
+    (r"(?i) (Amen|David|Egypt|God|John|Judah|Lord|Moses|Peter|Ruth|Saul|Sodom)\. ", r" \1 . "),
+)
+_LAST = (
+    (r"(?i) (www\.) ((?:[a-z]{2,}\.)+(?:com|edu|fr|net|org|rw)) ", r" \1\2 "), (r"(?i)((?:www\.|http:).\S*[a-z])([-.'/:]) ", r"\1 \2 "),
+    (r"(?i)([a-z])([-/:])((?:www\.|http:).\S*) ", r"\1 @\2@ \3 "), ("&nbsp;", " "), ("&nbt;", ""),
+)
+LANGUAGES = ("eng", "kin", "mlg", "fra")
+
+
+def _ready(rules):
+    """Compiled; digits and blanks are those of ASCII, as in Java."""
+    ascii_ = lambda p: p.replace(r"\d", "[0-9]").replace(r"\s", r"[ \t\n\x0b\f\r]").replace(r"\S", r"[^ \t\n\x0b\f\r]")
+    return [(re.compile(ascii_(p)), to) for p, to in rules]
+
+
+_HYPHEN_RULES = _ready(_HYPHENS)
+_RULES = {}
+for _l in LANGUAGES:
+    _e, _k, _m = _l == "eng", _l == "kin", _l == "mlg"
+    _RULES[_l] = (
+        _ready((*_BEFORE, *((r"(?i)([a-z]+s)(') ", r"\1 \2 "),) * _e, *_CONTRACTIONS, *_ENGLISH_QUOTES * _e, *_COMMAS, *_KIN * _k, *_MLG * _m, *_MEASURES)),
+        _ready((*_JOINS, *_ENGLISH_STOPS * _e, *_STOPS, *_MLG_WORDS * _m, *_ENGLISH_WORDS * _e, *_LAST)),
+    )
+_ENTITY = re.compile(r"&(?:#([xX][0-9a-fA-F]+|[0-9]+);?|([A-Za-z][A-Za-z0-9]*);)")
+
+
+def unescape(text: str) -> str:
+    """Writes out the entities of HTML 4; others stay."""
+
+    def one(m: re.Match) -> str:
+        if m[1]:
+            n = int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1])
+        else:
+            n = name2codepoint.get(m[2], -1) if m[2] != "apos" else -1
+        return chr(n) if 0 <= n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
+
+    return _ENTITY.sub(one, text)
+
+
+def tokenize(text: str | None, lang: str = "eng") -> str | None:
+    if text is None:
+        return None
+    first, last = _RULES[lang]
+    text, before = unescape(text), None
+    for p, to in first:
+        text = p.sub(to, text)
+    while text != before:
+        before = text
+        for p, to in _HYPHEN_RULES:
+            text = p.sub(to, text)
+    for p, to in last:
+        text = p.sub(to, text)
+    return text

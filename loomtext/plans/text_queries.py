@@ -28,7 +28,7 @@ def twokenize(spark, sf):
 
 @query()
 def treebank_tokenize(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.treebank_tokenize(F.col("text")).alias("tokens"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.reference_tokenize(F.col("text")).alias("tokens"))
 
 
 @query()

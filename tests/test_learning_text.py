@@ -144,6 +144,25 @@ def test_tokenizers(spark):
     assert one(spark, X.parse_int(F.lit("-12"))) == -12 and one(spark, X.parse_int(F.lit("1.5"))) is None and one(spark, X.parse_double(F.lit("1.5"))) == 1.5
 
 
+REWRITES = {
+    "He won't go (now) .": "He will n't go -LRB- now -RRB- .",
+    "a well-known fact ": "a well @-@ known fact ",
+    "caf&eacute; 1,000 &#8217; &bogus; ": "café 1,000 ’ &bogus; ",
+    "it costs 5kg ": "it costs 5 kg ",
+    "Is it so? Yes": "Is it so ? Yes",
+}
+
+
+def test_rewrites_of_the_reference(spark):
+    bank = lambda s, lang="eng": one(spark, X.reference_tokenize(F.lit(s), lang))
+    for text, tokens in REWRITES.items():
+        assert " ".join(bank(text).split()) == " ".join(tokens.split())
+    assert bank("I ain't sure").split() == ["I", "is", "n't", "sure"] and bank("x-y-z w") == "x-y-z w"
+    assert bank("n'umwana", "kin") == "n' umwana" and bank(None) is None
+    with pytest.raises(ValueError):
+        X.reference_tokenize(F.lit("x"), "xyz")
+
+
 def test_trees(spark):
     nodes, warn, err, rest = trees.parse("(a b)")
     assert (warn, err, rest) == (0, 0, "") and trees.canonical(nodes) == "(a b)"

@@ -5,7 +5,7 @@ linked list; the adjacent pair of lowest rank is popped from a heap and merged u
 initial symbols less the merges; no identifier is made.
 
 The cuts are found for a whole column at once, from the classes of its characters; equal pre-tokens of a chunk are counted once
-(they are told apart by hashes of 64 bits), and what was merged before is looked up in a bounded table of the worker. The work
+(they are found by hashes and then compared byte by byte), and what was merged before is looked up in a bounded table of the worker. The work
 is a projection: no shuffle, and one column goes to Python.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 import sys
 import unicodedata
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TOKENIZERS
-from .kernels import chunks, span_hashes, string_bytes
+from .kernels import chunks, same_spans, span_hashes, string_bytes
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: What the cuts follow.
@@ -164,6 +165,8 @@ class Counter:
             return np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], offsets[-1])
         _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        other = np.flatnonzero(~same_spans(data, starts, ends, first[which]))  # of equal hash, and yet not equal
+        first, which[other] = np.append(first, other), len(first) + np.arange(len(other))
         base = int(offsets[0])
         raw = data[base : int(offsets[-1])].tobytes()
         word = self.word
@@ -202,19 +205,32 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-_counters: dict[int, Counter] = {}
+_counters: dict[str, Counter] = {}
 
 
-def counter(spark: SparkSession, path: str):
-    """A column function text -> token count (0 for null and empty). The vocabulary, of fixed size, is read here and broadcast."""
-    shared = spark.sparkContext.broadcast(load_ranks(path))
+def shared_counter(spark: SparkSession, path: str):
+    """A function of no arguments that gives the worker's Counter. The vocabulary, of fixed size, is read here and broadcast; a
+    worker keeps the counter of the vocabulary that it used last, by a digest of its content."""
+    ranks = load_ranks(path)
+    name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(ranks)
+
+    def get() -> Counter:
+        if name not in _counters:
+            _counters.clear()
+            _counters[name] = Counter(shared.value)
+        return _counters[name]
+
+    return get
+
+
+def counter(spark: SparkSession, path: str = f"{TOKENIZERS}/{VOCABULARY}"):
+    """A column function text -> token count (0 for null and empty)."""
+    get = shared_counter(spark, path)
 
     @F.arrow_udf("long")
     def token_count(text: pa.Array) -> pa.Array:
-        if id(shared) not in _counters:
-            _counters.clear()
-            _counters[id(shared)] = Counter(shared.value)
-        return pa.array(_counters[id(shared)].column(text))
+        return pa.array(get().column(text))
 
     return token_count
 

@@ -4,19 +4,24 @@ Two fixed random permutations of D = 2**20 points make the whole signature: sigm
 the least value of pi shifted circularly by k. With pi extended by its own beginning, the K values of one shingle are the K
 entries of pi that follow sigma's point, so a signature is a column-wise minimum over rows of one strided view.
 
-Plan: (1) one pass over the texts yields a 128-bit fingerprint of the words and the band keys; it is checkpointed, narrow.
+Plan: (1) one pass over the texts yields a 128-bit BLAKE2 digest of the words and the band keys; it is checkpointed, narrow.
 (2) Texts of equal words fold into their lowest id by a partial aggregate, so thousands of copies make thousands of rows and
 not millions of pairs. (3) The distinct texts are bucketed by band key. All members of a bucket go to the bucket's lowest id,
-its centre; two texts that share any bucket share its centre, so the groups by centre hold every candidate pair. (4) Each
-group compares exact shingle sets. A pair whose ends are already linked within the group is skipped, which changes no
-component; no other pair is, and nothing is capped. (5) Connected components by alternating large-star and small-star steps.
+its centre; two texts that share any bucket share its centre, so the groups by centre hold every candidate pair. (4) Groups
+compare exact shingle sets, of words numbered by their bytes. A group of more than BLOCK texts is cut into blocks by hash, each
+with the centre. Texts that are linked to the centre within their block need no comparison with each other. Those that aren't
+(loose ones) are compared, block by block, with all texts of the group, so a task never holds more than two blocks. A pair whose
+ends are already linked is skipped, which changes no component; no other pair is, and nothing is capped. (5) Connected components
+by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +31,8 @@ from .kernels import chunks, mix, shingles, string_bytes, word_hashes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 32, 4, 0.5
 DOMAIN, SEED = 1 << 20, 20240601
+#: The most texts of a group that one task holds on either side.
+BLOCK = 256
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -68,9 +75,8 @@ def _sketch(shingle: int, bands: int, per_band: int):
                 some = np.flatnonzero(np.diff(rows))
                 if not len(some):
                     continue
-                prints = np.array([xxhash.xxh3_128_intdigest(words[rows[r] : rows[r + 1]].data) for r in some], object)
-                high = np.array([(p >> 64) - (1 << 63) for p in prints], np.int64)
-                low = np.array([(p & (1 << 64) - 1) - (1 << 63) for p in prints], np.int64)
+                prints = b"".join(hashlib.blake2b(b" ".join(data[offsets[i + r] : offsets[i + r + 1]].tobytes().split()), digest_size=16).digest() for r in some)
+                high, low = np.frombuffer(prints, np.int64).reshape(-1, 2).T
                 keys = band_keys(signatures(*shingles(words, rows, shingle), bands * per_band)[some], bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(some)).cast(pa.int64()), pa.array(high), pa.array(low), lists], ["doc_id", "fp_high", "fp_low", "bands"])
@@ -84,37 +90,120 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def link(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
-    """Edges (higher id, lower id, similarity) that join exactly the components of all pairs at or above the threshold."""
+def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """The set of k-word shingles of each text, sorted, as numbers that are equal only for equal shingles of these texts. A text
+    of 1 to k - 1 words has one shingle, all of it, which no longer text has."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    words = [np.fromiter(map(number.__getitem__, t.split()), np.int64) for t in texts]
+    flat = np.concatenate(words) if words else np.zeros(0, np.int64)
+    base = len(number) + 1
+    n = max(0, len(flat) - k + 1)
+    gram = flat
+    for m in range(1, k):
+        gram = gram[: len(flat) - m] * base + flat[m:] if len(flat) > m else flat[:0]
+        if m + 1 < k and base ** (m + 2) >= 1 << 62:
+            gram = np.unique(gram, return_inverse=True)[1]
+    out, at, few = [], 0, {}
+    for w in words:
+        if 0 < len(w) < k:
+            out.append(np.array([-1 - few.setdefault(tuple(w.tolist()), len(few))]))
+        else:
+            out.append(np.unique(gram[at : at + max(0, len(w) - k + 1)][: max(0, n - at)]))
+        at += len(w)
+    return out
+
+
+def link(ids: list[int], sets: list[np.ndarray], threshold: float) -> tuple[list[tuple[int, int, float]], list[list[int]]]:
+    """Edges (higher id, lower id, similarity) that join exactly the components of all pairs at or above the threshold, and the
+    components, as indices."""
     edges, parts = [], []  # parts: lists of indices that are linked
     for i in np.argsort(ids, kind="stable"):
         joined, rest = [i], []
         for part in parts:
             for j in part:
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if small >= threshold * large and (s := jaccard(sets[i], sets[j])) >= threshold:
+                if (s := similar(sets[i], sets[j], threshold)) is not None:
                     edges.append((max(ids[i], ids[j]), min(ids[i], ids[j]), s))
                     joined = part + joined
                     break
             else:
                 rest.append(part)
         parts = [*rest, joined]
-    return edges
+    return edges, parts
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> float | None:
+    """The similarity of two sets, if it is at or above the threshold."""
+    small, large = sorted((len(a), len(b)))
+    return s if small >= threshold * large and (s := jaccard(a, b)) >= threshold else None
+
+
+EDGES = {"centre": pa.int64(), "doc_id": pa.int64(), "other_id": pa.int64(), "similarity": pa.float64()}
+EDGE_SCHEMA = "centre long, doc_id long, other_id long, similarity double"
+
+
+def _edge_table(centre: int, rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([centre] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(list(EDGES.values())[1:]))], list(EDGES))
+
 
+def _within(shingle: int, threshold: float):
+    """Links of one block; a text that isn't linked to the centre is told by a row without other_id."""
 
-def _verify(shingle: int, threshold: float):
     def run(part: pa.Table) -> pa.Table:
-        ids, sets = part["__id"].to_pylist(), []
-        data, offsets = string_bytes(part["__text"])
-        for i, j in chunks(offsets):
-            grams, rows = shingles(*word_hashes(data, offsets[i : j + 1]), shingle)
-            sets += [np.unique(grams[rows[r] : rows[r + 1]]) for r in range(j - i)]
-        edges = link(ids, sets, threshold)
-        return pa.table([pa.array([e[k] for e in edges], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "other_id", "similarity"])
+        ids, centre = part["__id"].to_pylist(), part["centre"][0].as_py()
+        edges, parts = link(ids, exact_sets(part["__text"].cast(pa.binary()).to_pylist(), shingle), threshold)
+        if part["blocks"][0].as_py() > 1:
+            edges += [(ids[i], None, None) for p in parts if centre not in [ids[i] for i in p] for i in p]
+        return _edge_table(centre, edges)
 
     return run
 
 
+def _across(shingle: int, threshold: float):
+    """Links between a block of loose texts and a block of all. A loose text is compared with those of the centre's component
+    until one is similar, and with every loose one."""
+
+    def run(part: pa.Table) -> pa.Table:
+        ids, asks, loose = (part[c].to_pylist() for c in ("__id", "asks", "loose"))
+        sets, edges = exact_sets(part["__text"].cast(pa.binary()).to_pylist(), shingle), []
+        queries = [i for i in range(len(ids)) if asks[i]]
+        for settled in (True, False):
+            others = [j for j in range(len(ids)) if not asks[j] and loose[j] != settled]
+            for i in queries:
+                for j in others:
+                    if ids[i] != ids[j] and (s := similar(sets[i], sets[j], threshold)) is not None:
+                        edges.append((max(ids[i], ids[j]), min(ids[i], ids[j]), s))
+                        if settled:
+                            break
+        return _edge_table(part["centre"][0].as_py(), edges)
+
+    return run
+
+
+def edges_of(member: DataFrame, texts: DataFrame, shingle: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(doc_id, other_id, similarity) that link the members (centre, rep) of each group, by their texts (__id, __text)."""
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    size = member.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    sized = member.join(size, F.col("centre") == F.col("c")).select("centre", "rep", "blocks")
+    first = sized.withColumn("block", F.explode(F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).otherwise(F.array(place("blocks")))))
+    rows = first.join(texts, first.rep == texts["__id"]).select("centre", "block", "blocks", "__id", "__text")
+    found = cut_lineage(rows.groupBy("centre", "block").applyInArrow(_within(shingle, threshold), EDGE_SCHEMA))
+    edges, loose = found.where("other_id IS NOT NULL"), found.where("other_id IS NULL").select("centre", "doc_id")
+    if not loose.isEmpty():
+        many = loose.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count("*") / block).alias("asking"))
+        who = loose.select(F.col("centre").alias("lc"), F.col("doc_id").alias("lid"), F.lit(True).alias("loose"))
+        both = sized.join(many, F.col("centre") == F.col("c")).join(who, (F.col("centre") == F.col("lc")) & (F.col("rep") == F.col("lid")), "left")
+        both = both.select("centre", "rep", "blocks", "asking", F.coalesce("loose", F.lit(False)).alias("loose"))
+        upto = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+        with_text = both.join(texts, both.rep == texts["__id"])
+        cells = F.transform(upto("asking"), lambda a: F.struct(a.alias("a"), place("blocks").alias("b"), F.lit(False).alias("asks")))
+        mine = F.when(F.col("loose"), F.transform(upto("blocks"), lambda b: F.struct(place("asking").alias("a"), b.cast("int").alias("b"), F.lit(True).alias("asks"))))
+        spread = with_text.select("centre", "__id", "__text", "loose", F.explode(F.concat(cells, F.coalesce(mine, F.array().cast("array<struct<a:int,b:int,asks:boolean>>")))).alias("x"))
+        rest = spread.select("centre", "x.a", "x.b", "x.asks", "loose", "__id", "__text").groupBy("centre", "a", "b").applyInArrow(_across(shingle, threshold), EDGE_SCHEMA)
+        edges = edges.unionByName(cut_lineage(rest))
+    return edges.where("doc_id <> other_id").select("doc_id", "other_id", "similarity")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the lowest id of each node's connected component, for the nodes that aren't their own root."""
     now = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
@@ -138,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
 
     A group is a connected component of pairs at or above the threshold among the candidates that banding finds. Null and empty
     texts have no shingles and null ids no name: they are never duplicates. Texts of fewer words than a shingle have one
-    shingle, all of it. Repeated rows of one id are one document. Ties fall to the lowest id. An empty table gives no rows.
+    shingle, all of it. Rows that repeat an id are one document, with all its texts. Ties fall to the lowest id. An empty table gives no rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     base = cut_lineage(d.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, fp_high long, fp_low long, bands array<long>"))
@@ -148,8 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     keyed = reps.select("rep", F.explode("bands").alias("key")).withColumn("centre", F.min("rep").over(bucket)).where("centre <> rep").select("rep", "centre").distinct()
     member = keyed.union(keyed.select("centre", "centre").distinct())
     texts = d.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    groups = member.join(texts, member.rep == texts["__id"]).select("centre", "__id", "__text")
-    edges = cut_lineage(groups.groupBy("centre").applyInArrow(_verify(shingle, threshold), "doc_id long, other_id long, similarity double"))
+    edges = edges_of(member, texts, shingle, threshold)
     roots = components(edges, "doc_id", "other_id")
     ends = edges.select("doc_id", "similarity").union(edges.select("other_id", "similarity")).groupBy(F.col("doc_id").alias("node")).agg(F.max("similarity").alias("similarity"))
     near = roots.join(ends, "node").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"), "similarity")
@@ -166,4 +254,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "duplicate_of")
+
+
+#: All pairs of different texts that share a shingle, and their components.
+SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\v\f\r]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+k AS (SELECT w, min(doc_id) AS id FROM t WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) < {SHINGLE} THEN [w] ELSE list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: w[i:i + {SHINGLE} - 1]) END) AS g FROM k),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), j AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+e AS (SELECT a, b FROM j JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE c >= {THRESHOLD} * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT b, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.root),
+m AS (SELECT node, least(min(root), node) AS root FROM r GROUP BY node)
+SELECT t.doc_id, coalesce(m.root, k.id) AS duplicate_of FROM t JOIN k ON t.w = k.w LEFT JOIN m ON m.node = k.id WHERE t.doc_id <> coalesce(m.root, k.id)
+"""

@@ -19,6 +19,7 @@ QUERIES = {
 }
 SQL = {
     "op3_lm_score": lm_score.SQL,
+    "op4_minhash_dedup": minhash.SQL,
     "op5_source_mix": mixing.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "quality_rule_ablations": quality_rules.ABLATION_SQL,

@@ -4,161 +4,224 @@ Score of a word after its context: the count of the n-gram over the count of its
 min_count times (once for single words), otherwise alpha times the score with the context's first word dropped; a single word
 counts against all words. The first words of a document start with the shorter context that there is, without penalty.
 
-Plan: documents are sharded by hash. Each shard explodes its texts into n-grams of every order and keeps the distinct ones
-with counts; these go, partitioned by n-gram hash, to count-table buckets, where the counts of all shards are added. The
-tables join back to the shards' n-grams by (shard, order, bucket), and the log scores are summed per document. Documents are
-shuffled once (the exchange is reused) and n-grams once; nothing is broadcast and nothing but two totals reaches the driver.
-Shards and buckets are as many as the input needs, so each task's memory stays the same at every size.
-
-An n-gram's identity in a count table is a hash of 40 bits besides its bucket (8 bits at least). Sorted hashes travel as
-32-bit differences; a difference that doesn't fit is carried by all-one words.
+Plan: (1) documents are gathered into chunks of chunk_bytes, as they are read, and the chunks, compressed, are checkpointed;
+a document longer than a chunk is cut at blanks, and each further piece carries the words before it as context. (2) Each chunk
+explodes its texts into n-grams of every order and keeps the distinct ones with counts. These are partitioned by n-gram hash: the
+count table, in which the counts of all chunks are added. (3) The table joins back to the chunks' n-grams by (chunk, bucket), the
+words' log scores are summed by piece, and the pieces by document. Chunks and n-grams are shuffled once, counts once; nothing is
+broadcast and nothing but two totals reaches the driver.
+
+An n-gram is its hash of 64 bits, of which the order is part. A chunk's part of a bucket is one row: sorted hashes as differences,
+and counts, both by byte planes and compressed, so a key takes 64 - log2(keys of a chunk) bits and a little more, whatever the number
+of buckets, plus some 60 bytes a row. Memory of a task: about 60 bytes an n-gram of a chunk (chunk_bytes) or of a bucket
+(bucket_keys); larger executors can have more of both, which keeps the rows few at great inputs (rows are chunks * buckets).
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import cut_lineage, n_words
 from .kernels import extend, room, string_bytes, word_hashes
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-SHARD_BYTES, BUCKET_WORDS, LEAST_BUCKETS = 8 << 20, 1_000_000, 256
+CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS = 8 << 20, 3_000_000, 256
 SCHEMA = "doc_id long, n_tokens long, n_backoff long, logp_sum double, logp_per_token double"
-_FULL = np.uint64(0xFFFFFFFF)
+PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int32()), ("text", pa.large_binary())])
+_BLANK = re.compile(rb"[ \t\n\x0b\f\r]")
+_LAST_WORDS = re.compile(rb"[^ \t\n\x0b\f\r]+")
+_zip = functools.cache(lambda: zstandard.ZstdCompressor(level=1))
+_unzip = functools.cache(zstandard.ZstdDecompressor)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned integers, compressed by byte planes."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return _zip().compress(planes[: max(1, int(planes.any(1).nonzero()[0].max(initial=0)) + 1)].tobytes())
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(_unzip().decompress(data), np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(raw)] = raw.T
+    return out.view("<u8").ravel()
+
+
+def cut(text: bytes, most: int, context: int) -> list[tuple[int, bytes]]:
+    """A text in pieces of about `most` bytes, cut at blanks: how many words at a piece's begin are context from before, and the
+    piece. No piece can be shorter than its longest word."""
+    out, begin, shown, words = [], 0, 0, 0
+    while len(text) - begin > most:
+        m = _BLANK.search(text, begin + most)
+        if not m:
+            break
+        out.append((words, text[shown : m.start()]))
+        begin = shown = m.start()
+        words = 0
+        back = 1 << 10
+        while context:  # the last `context` words before the cut
+            lo = max(0, begin - back)
+            found = list(_LAST_WORDS.finditer(text, lo, begin))
+            if lo == 0 or len(found) > context:
+                found = found[-context:]
+                words, shown = len(found), found[0].start() if found else begin
+                break
+            back *= 4
+    return [*out, (words, text[shown:])]
+
+
+def _chunks(most: int, context: int):
+    def run(batches):
+        task, rows, count, size = TaskContext.get().partitionId(), [], 0, 0
+        number = 0
+
+        def chunk():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, PIECES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PIECES)], schema=PIECES))
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "pieces"])
+
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
+                for before, piece in cut(text.as_py() or b"", most, context):
+                    rows.append((task << 40 | count, doc, before, piece))
+                    size += len(piece)
+                    if size >= most:
+                        yield chunk()
+                        rows, size, number = [], 0, number + 1
+                count += 1
+        if rows:
+            yield chunk()
 
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted distinct unsigned integers as 32-bit differences; 0xFFFFFFFF adds its value and goes on."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    extra, rest = (step // _FULL).astype(np.int64), (step % _FULL).astype(np.uint32)
-    if not extra.any():
-        return rest.tobytes()
-    out = np.full(len(rest) + int(extra.sum()), 0xFFFFFFFF, np.uint32)
-    out[np.cumsum(extra + 1) - 1] = rest
-    return out.tobytes()
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    step = np.frombuffer(data, np.uint32)
-    return np.cumsum(step, dtype=np.uint64)[step != 0xFFFFFFFF]
-
-
-def pack_counts(x: np.ndarray) -> bytes:
-    """Counts in the least width of 1, 2, 4 or 8 bytes that holds them all."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
-
-
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n]).astype(np.int64)
-
-
-def _grams(text: pa.ChunkedArray, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the ids (40 + bits bits) of the n-grams that begin at each word, valid or not; row bounds; words left."""
-    data, offsets = string_bytes(text)
-    words, rows = word_hashes(data, offsets)
-    out = [words]
-    for k in range(2, order + 1):
-        out.append(extend(out[-1], words, k))
-    return [g >> np.uint64(24 - bits) for g in out], rows, room(rows, len(words))
+    return run
 
 
-def _requests(order: int, bits: int):
-    def run(part: pa.Table) -> pa.Table:
-        shard = part["shard"][0].as_py()
-        grams, _, left = _grams(part["text"], order, bits)
-        rows = []
-        for k, g in enumerate(grams, 1):
-            keys, counts = np.unique(g[left[: len(g)] >= k], return_counts=True)
-            cuts = np.searchsorted(keys >> np.uint64(40), np.arange((1 << bits) + 1, dtype=np.uint64))
-            keys &= np.uint64((1 << 40) - 1)
-            for b in np.flatnonzero(np.diff(cuts)):
-                lo, hi = cuts[b], cuts[b + 1]
-                rows.append((int(b), shard, k, int(hi - lo), pack_sorted(keys[lo:hi]), pack_counts(counts[lo:hi])))
-        names = ["bucket", "shard", "ord", "n", "keys", "counts"]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+class Chunk:
+    """The n-grams of a chunk, by the word at which each ends."""
+
+    def __init__(self, pieces: bytes, order: int):
+        with pa.ipc.open_stream(pieces) as r:
+            self.table = r.read_all()
+        data, offsets = string_bytes(self.table["text"])
+        words, self.rows = word_hashes(data, offsets)
+        size = np.diff(self.rows)
+        self.place = np.arange(len(words)) - np.repeat(self.rows[:-1], size)  # of a word in its piece
+        self.own = self.place >= np.repeat(self.table["before"].to_numpy(), size)  # and not context
+        left, self.grams, self.ends = room(self.rows, len(words)), [], []
+        gram = words
+        for k in range(1, order + 1):
+            gram = words if k == 1 else extend(gram, words, k)
+            at = np.flatnonzero(left[: len(gram)] >= k)
+            self.grams.append(gram[at])
+            self.ends.append(at + k - 1)
+        self.all = np.concatenate(self.grams)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams and how often each ends in a word of the piece itself (0: in context only)."""
+        if self.own.all():
+            return np.unique(self.all, return_counts=True)
+        keys, which = np.unique(self.all, return_inverse=True)
+        return keys, np.bincount(which, self.own[np.concatenate(self.ends)], len(keys)).astype(np.int64)
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes of equal width, numbered; buckets are fewer than 2**32."""
+    return (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _requests(order: int, buckets: int):
+    """For each chunk and bucket, its distinct n-grams and their counts."""
+
+    def run(batches):
+        for b in batches:
+            for chunk, pieces in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                keys, counts = Chunk(pieces.as_py(), order).distinct()
+                which = bucket_of(keys, buckets)
+                begins = np.flatnonzero(np.diff(which, prepend=np.uint64(buckets))) if len(keys) else np.zeros(0, int)
+                rows = []
+                for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=False):
+                    rows.append((int(which[lo]), chunk, hi - lo, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi])))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["bucket", "chunk", "n", "keys", "counts"])
 
     return run
 
 
 def _count(part: pa.Table) -> pa.Table:
-    """Adds the counts of all shards in one bucket of the count tables, and gives each shard the totals of its n-grams."""
-    p = part.to_pydict()
-    totals: list[bytes] = [b""] * part.num_rows
-    for k in sorted(set(p["ord"])):
-        own = [i for i in range(part.num_rows) if p["ord"][i] == k]
-        keys = np.concatenate([unpack_sorted(p["keys"][i]) for i in own])
-        counts = np.concatenate([unpack_counts(p["counts"][i], p["n"][i]) for i in own])
-        by = np.argsort(keys, kind="stable")
-        new = np.ones(len(by), bool)
-        new[1:] = keys[by][1:] != keys[by][:-1]
-        sums = np.add.reduceat(counts[by], np.flatnonzero(new))
-        total = np.empty(len(by), np.int64)
-        total[by] = sums[np.cumsum(new) - 1]
-        at = 0
-        for i in own:
-            totals[i] = pack_counts(total[at : at + p["n"][i]])
-            at += p["n"][i]
-    return pa.table([part["bucket"], part["shard"], part["ord"], part["n"], pa.array(totals, pa.binary())], ["bucket", "shard", "ord", "n", "totals"])
-
-
-def _score(order: int, bits: int, alpha: float, min_count: int, corpus_words: int):
-    def run(docs: pa.Table, tables: pa.Table) -> pa.Table:
-        grams, rows, left = _grams(docs["text"], order, bits)
-        n = len(left)
-        got = tables.sort_by([("ord", "ascending"), ("bucket", "ascending")]).to_pydict() if n else {"ord": []}
-        count: list[np.ndarray] = [np.full(n + 1, corpus_words, np.int64)]  # by the word at which the n-gram begins
-        for k, g in enumerate(grams, 1):
-            valid = left[: len(g)] >= k
-            c = np.zeros(n + 1, np.int64)
-            if valid.any():
-                totals = np.concatenate([unpack_counts(got["totals"][i], got["n"][i]) for i, o in enumerate(got["ord"]) if o == k])
-                _, inverse = np.unique(g[valid], return_inverse=True)
-                c[np.flatnonzero(valid)] = totals[inverse]
-            count.append(c)
-        place = np.arange(n) - np.repeat(rows[:-1], np.diff(rows))  # of a word in its row
-        logp, backoff, todo = np.zeros(n), np.zeros(n, np.int64), np.ones(n, bool)
+    """Adds the counts of all chunks in one bucket of the count table, and gives each chunk the totals of its n-grams."""
+    n = part["n"].to_pylist()
+    keys = np.concatenate([np.cumsum(unpack(x.as_py(), m)) for x, m in zip(part["keys"], n, strict=True)])
+    counts = np.concatenate([unpack(x.as_py(), m).astype(np.int64) for x, m in zip(part["counts"], n, strict=True)])
+    by = np.argsort(keys, kind="stable")
+    new = np.ones(len(by), bool)
+    keys = keys[by]
+    new[1:] = keys[1:] != keys[:-1]
+    sums = np.add.reduceat(counts[by], np.flatnonzero(new))
+    counts[by] = sums[np.cumsum(new) - 1]
+    at = np.concatenate([[0], np.cumsum(n)])
+    totals = [pack(counts[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+    return pa.table([part["bucket"], part["chunk"], part["n"], pa.array(totals, pa.binary())], ["bucket", "chunk", "n", "totals"])
+
+
+def _score(order: int, alpha: float, min_count: int, corpus_words: int):
+    def run(chunks: pa.Table, tables: pa.Table) -> pa.Table:
+        if chunks.num_rows == 0:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())], ["row", "doc_id", "n_tokens", "n_backoff", "logp_sum"])
+        c = Chunk(chunks["pieces"][0].as_py(), order)
+        n = len(c.place)
+        got = tables.sort_by("bucket").select(["totals", "n"]).to_pydict()
+        totals = np.concatenate([np.zeros(0, np.int64), *(unpack(t, m).astype(np.int64) for t, m in zip(got["totals"], got["n"], strict=True))])
+        each = totals[np.unique(c.all, return_inverse=True)[1]] if n else totals
+        count, at = [np.full(n, corpus_words, np.int64)], 0  # by the word at which the n-gram ends
+        for ends in c.ends:
+            k = np.zeros(n, np.int64)
+            k[ends] = each[at : at + len(ends)]
+            at += len(ends)
+            count.append(k)
+        logp, backoff, todo = np.zeros(n), np.zeros(n, np.int64), c.own.copy()
         for m in range(order, 0, -1):
-            at = np.flatnonzero(todo & (place >= m - 1))
-            seen = count[m][at - m + 1] >= (min_count if m > 1 else 1)
-            hit = at[seen]
-            logp[hit] = np.log(count[m][hit - m + 1] / count[m - 1][hit - m + 1]) + math.log(alpha) * backoff[hit]
+            on = np.flatnonzero(todo & (c.place >= m - 1))
+            hit = on[count[m][on] >= (min_count if m > 1 else 1)]
+            context = count[m - 1][hit - 1] if m > 1 else count[0][hit]
+            logp[hit] = np.log(count[m][hit] / context) + math.log(alpha) * backoff[hit]
             todo[hit] = False
-            backoff[at[~seen]] += 1
-        size = np.diff(rows)
-        total, backs = np.zeros(len(size)), np.zeros(len(size), np.int64)
-        some = np.flatnonzero(size)
-        if len(some):
-            total[some] = np.add.reduceat(logp, rows[:-1][some])
-            backs[some] = np.add.reduceat(backoff, rows[:-1][some])
-        mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
-        return pa.table([docs["doc_id"].cast(pa.int64()), pa.array(size), pa.array(backs), pa.array(total), mean], ["doc_id", "n_tokens", "n_backoff", "logp_sum", "logp_per_token"])
+            backoff[on] += todo[on]
+        rows = c.rows
+        some, own = np.flatnonzero(np.diff(rows)), c.own.astype(np.int64)
+        sums = [np.zeros(len(rows) - 1, x.dtype) for x in (own, backoff, logp)]
+        for s, x in zip(sums, (own, backoff, logp), strict=True):
+            if len(some):
+                s[some] = np.add.reduceat(x, rows[:-1][some])
+        return pa.table([c.table["row"], c.table["doc_id"], *map(pa.array, sums)], ["row", "doc_id", "n_tokens", "n_backoff", "logp_sum"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, chunk_bytes: int = CHUNK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """A row for each document: doc_id, n_tokens, n_backoff (steps to a shorter context), logp_sum (natural logarithm) and
     logp_per_token.
 
     Null and empty texts have no tokens: logp_sum 0, logp_per_token null; a null doc_id stays null. Repeated rows all count in
     the corpus and each has its row. Equal counts need no tie-break. An empty table gives no rows; other columns are ignored.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = d.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(n_words(F.col("text"))).alias("words")).first()
-    words = int(size["words"] or 0)
-    shards = max(1, -(-int(size["bytes"] or 0) // shard_bytes))
-    bits = min(24, max(LEAST_BUCKETS, words * order // BUCKET_WORDS).bit_length() - 1)
-    sharded = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
-    asked = sharded.groupBy("shard").applyInArrow(_requests(order, bits), "bucket int, shard int, ord int, n long, keys binary, counts binary")
-    counted = asked.groupBy("bucket").applyInArrow(_count, "bucket int, shard int, ord int, n long, totals binary")
-    return sharded.groupBy("shard").cogroup(counted.groupBy("shard")).applyInArrow(_score(order, bits, alpha, min_count, words), SCHEMA)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    words = int(d.agg(F.sum(n_words(F.col("text")))).first()[0] or 0)
+    chunks = cut_lineage(d.mapInArrow(_chunks(chunk_bytes, order), "chunk long, pieces binary"))
+    buckets = max(LEAST_BUCKETS, -(-words * order // bucket_keys))
+    asked = chunks.mapInArrow(_requests(order, buckets), "bucket long, chunk long, n long, keys binary, counts binary")
+    counted = asked.groupBy("bucket").applyInArrow(_count, "bucket long, chunk long, n long, totals binary")
+    scored = chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(order, alpha, min_count, words), "row long, doc_id long, n_tokens long, n_backoff long, logp_sum double")
+    summed = scored.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_backoff", "logp_sum")])
+    return summed.select("doc_id", "n_tokens", "n_backoff", "logp_sum", F.when(F.col("n_tokens") > 0, F.col("logp_sum") / F.col("n_tokens")).alias("logp_per_token"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

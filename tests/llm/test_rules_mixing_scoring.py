@@ -102,29 +102,47 @@ def brute_scores(texts, alpha=0.4, least=2):
     return out
 
 
-def test_scores_of_awkward_rows(spark):
-    rows = [r for r in ROWS if r[1] != LONG]
+@pytest.mark.parametrize("chunk_bytes", [lm_score.CHUNK_BYTES, 50_000, 40])
+def test_scores_of_awkward_rows(spark, chunk_bytes):
+    """Against brute force; small chunks cut every text, and the longest into many pieces."""
+    rows = [r if chunk_bytes > 40 or r[1] != LONG else (r[0], "alpha beta gamma delta " * 300, *r[2:]) for r in ROWS]
     docs = spark.createDataFrame([(r[0], r[1], "x") for r in rows], "doc_id long, text string, logp_sum string")
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_backoff, round(r.logp_sum, 6)) for r in lm_score.lm_scores(docs).collect()))
-    want = sorted((r[0] is None, r[0] or 0, n, b, round(x, 6)) for r, (n, b, x) in zip(rows, brute_scores([r[1] for r in rows]), strict=True))
-    assert got == want
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_backoff, round(r.logp_sum, 4)) for r in lm_score.lm_scores(docs, chunk_bytes=chunk_bytes).collect()))
+    want = sorted((r[0] is None, r[0] or 0, n, b, round(x, 4)) for r, (n, b, x) in zip(rows, brute_scores([r[1] for r in rows]), strict=True))
+    assert [g[:4] for g in got] == [w[:4] for w in want] and [g[4] for g in got] == pytest.approx([w[4] for w in want], abs=1e-3)
 
 
-def test_scores_do_not_depend_on_shards(spark):
+def test_scores_do_not_depend_on_chunks_or_buckets(spark):
     docs = awkward(spark)
     one = sorted((str(r.doc_id), round(r.logp_sum, 3)) for r in lm_score.lm_scores(docs).collect())
-    many = sorted((str(r.doc_id), round(r.logp_sum, 3)) for r in lm_score.lm_scores(docs, shard_bytes=100_000).collect())
+    many = sorted((str(r.doc_id), round(r.logp_sum, 3)) for r in lm_score.lm_scores(docs, chunk_bytes=100_000, bucket_keys=100).collect())
     assert one == many and lm_score.lm_scores(empty(spark)).count() == 0
 
 
+def test_pieces_of_a_text():
+    words = [f"w{i}" for i in range(500)] + ["x" * 5000, "end"]
+    for text in (" ".join(words), "  \n".join(words) + "\t"):
+        for most in (1, 50, 3000, 10**6):
+            pieces = lm_score.cut(text.encode(), most, 3)
+            assert [w for before, p in pieces for w in p.decode().split()[before:]] == words
+            at = 0
+            for before, p in pieces:
+                got = p.decode().split()
+                assert before == min(3, at) and got[:before] == words[at - before : at]
+                at += len(got) - before
+    assert lm_score.cut(b"", 5, 3) == [(0, b"")]
+
+
 def test_packed_keys_round_trip():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    for top in (10, 1 << 20, 1 << 40):
-        keys = np.unique(rng.integers(0, top, 500, dtype=np.uint64))
-        assert (lm_score.unpack_sorted(lm_score.pack_sorted(keys)) == keys).all()
-    for top in (200, 60_000, 1 << 31, 1 << 40):
-        x = rng.integers(0, top, 50)
-        assert (lm_score.unpack_counts(lm_score.pack_counts(x), 50) == x).all()
-
+    for top in (1, 10, 1 << 20, 1 << 40, (1 << 63) - 1):
+        x = rng.integers(0, top, 500, dtype=np.uint64)
+        assert (lm_score.unpack(lm_score.pack(x), 500) == x).all()
+    keys = np.unique(rng.integers(0, 1 << 63, 400_000, dtype=np.uint64)) * np.uint64(2)
+    size = []
+    for buckets in (256, 2048):  # bytes of a key don't depend on the number of buckets, but for what each row adds
+        b = lm_score.bucket_of(keys, buckets)
+        size.append(sum(len(lm_score.pack(np.diff(keys[b == k], prepend=np.uint64(0)))) for k in range(buckets)) / len(keys))
+    assert b.max() == 2047 and size[0] < 6.3 and size[1] < size[0] * 1.1

@@ -4,12 +4,12 @@ Score of a word after its context: the count of the n-gram over the count of its
 min_count times (once for single words), otherwise alpha times the score with the context's first word dropped; a single word
 counts against all words. The first words of a document start with the shorter context that there is, without penalty.
 
-Plan: (1) documents are gathered into chunks of chunk_bytes, as they are read, and the chunks, compressed, are checkpointed;
-a document longer than a chunk is cut at blanks, and each further piece carries the words before it as context. (2) Each chunk
+Plan: (1) documents are gathered into chunks of chunk_bytes, as they are read, and the chunks, compressed, are shuffled once; a
+document longer than a chunk is cut at blanks, and each further piece carries the words before it as context. (2) Each chunk
 explodes its texts into n-grams of every order and keeps the distinct ones with counts. These are partitioned by n-gram hash: the
 count table, in which the counts of all chunks are added. (3) The table joins back to the chunks' n-grams by (chunk, bucket), the
-words' log scores are summed by piece, and the pieces by document. Chunks and n-grams are shuffled once, counts once; nothing is
-broadcast and nothing but two totals reaches the driver.
+words' log scores are summed by piece, and the pieces by document. Chunks (the exchange is reused), n-grams and counts are shuffled
+once each; nothing is broadcast and nothing but a total reaches the driver.
 
 An n-gram is its hash of 64 bits, of which the order is part. A chunk's part of a bucket is one row: sorted hashes as differences,
 and counts, both by byte planes and compressed, so a key takes 64 - log2(keys of a chunk) bits and a little more, whatever the number
@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, n_words
+from .common import n_words
 from .kernels import extend, room, string_bytes, word_hashes
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS = 8 << 20, 3_000_000, 256
+CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS = 16 << 20, 3_000_000, 256
 SCHEMA = "doc_id long, n_tokens long, n_backoff long, logp_sum double, logp_per_token double"
 PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int32()), ("text", pa.large_binary())])
 _BLANK = re.compile(rb"[ \t\n\x0b\f\r]")
@@ -86,7 +86,7 @@ def _chunks(most: int, context: int):
 
         def chunk():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, PIECES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, PIECES, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PIECES)], schema=PIECES))
             return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "pieces"])
 
@@ -141,17 +141,16 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 def _requests(order: int, buckets: int):
     """For each chunk and bucket, its distinct n-grams and their counts."""
 
-    def run(batches):
-        for b in batches:
-            for chunk, pieces in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                keys, counts = Chunk(pieces.as_py(), order).distinct()
-                which = bucket_of(keys, buckets)
-                begins = np.flatnonzero(np.diff(which, prepend=np.uint64(buckets))) if len(keys) else np.zeros(0, int)
-                rows = []
-                for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=False):
-                    rows.append((int(which[lo]), chunk, hi - lo, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi])))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["bucket", "chunk", "n", "keys", "counts"])
+    def run(part: pa.Table) -> pa.Table:
+        chunk = part["chunk"][0].as_py()
+        keys, counts = Chunk(part["pieces"][0].as_py(), order).distinct()
+        which = bucket_of(keys, buckets)
+        begins = np.flatnonzero(np.diff(which, prepend=np.uint64(buckets))) if len(keys) else np.zeros(0, int)
+        rows = []
+        for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=False):
+            rows.append((int(which[lo]), chunk, hi - lo, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi])))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["bucket", "chunk", "n", "keys", "counts"])
 
     return run
 
@@ -215,9 +214,9 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_cou
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     words = int(d.agg(F.sum(n_words(F.col("text")))).first()[0] or 0)
-    chunks = cut_lineage(d.mapInArrow(_chunks(chunk_bytes, order), "chunk long, pieces binary"))
+    chunks = d.mapInArrow(_chunks(chunk_bytes, order), "chunk long, pieces binary")
     buckets = max(LEAST_BUCKETS, -(-words * order // bucket_keys))
-    asked = chunks.mapInArrow(_requests(order, buckets), "bucket long, chunk long, n long, keys binary, counts binary")
+    asked = chunks.groupBy("chunk").applyInArrow(_requests(order, buckets), "bucket long, chunk long, n long, keys binary, counts binary")
     counted = asked.groupBy("bucket").applyInArrow(_count, "bucket long, chunk long, n long, totals binary")
     scored = chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(order, alpha, min_count, words), "row long, doc_id long, n_tokens long, n_backoff long, logp_sum double")
     summed = scored.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_backoff", "logp_sum")])

@@ -186,7 +186,7 @@ def edges_of(member: DataFrame, texts: DataFrame, shingle: int, threshold: float
     size = member.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count("*") / block).alias("blocks"))
     sized = member.join(size, F.col("centre") == F.col("c")).select("centre", "rep", "blocks")
     first = sized.withColumn("block", F.explode(F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).otherwise(F.array(place("blocks")))))
-    rows = first.join(texts, first.rep == texts["__id"]).select("centre", "block", "blocks", "__id", "__text")
+    rows = cut_lineage(first.join(texts, first.rep == texts["__id"]).select("centre", "block", "blocks", "__id", "__text"))
     found = cut_lineage(rows.groupBy("centre", "block").applyInArrow(_within(shingle, threshold), EDGE_SCHEMA))
     edges, loose = found.where("other_id IS NOT NULL"), found.where("other_id IS NULL").select("centre", "doc_id")
     if not loose.isEmpty():
@@ -195,7 +195,8 @@ def edges_of(member: DataFrame, texts: DataFrame, shingle: int, threshold: float
         both = sized.join(many, F.col("centre") == F.col("c")).join(who, (F.col("centre") == F.col("lc")) & (F.col("rep") == F.col("lid")), "left")
         both = both.select("centre", "rep", "blocks", "asking", F.coalesce("loose", F.lit(False)).alias("loose"))
         upto = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
-        with_text = both.join(texts, both.rep == texts["__id"])
+        texts = rows.where("centre <> __id OR block = 0").select(F.col("centre").alias("tc"), "__id", "__text")
+        with_text = both.join(texts, (both.rep == texts["__id"]) & (both.centre == texts["tc"]))
         cells = F.transform(upto("asking"), lambda a: F.struct(a.alias("a"), place("blocks").alias("b"), F.lit(False).alias("asks")))
         mine = F.when(F.col("loose"), F.transform(upto("blocks"), lambda b: F.struct(place("asking").alias("a"), b.cast("int").alias("b"), F.lit(True).alias("asks"))))
         spread = with_text.select("centre", "__id", "__text", "loose", F.explode(F.concat(cells, F.coalesce(mine, F.array().cast("array<struct<a:int,b:int,asks:boolean>>")))).alias("x"))

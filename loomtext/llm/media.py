@@ -60,9 +60,17 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, st
 
 
 def number(data: bytes, a: int, b: int) -> int:
+    """An unsigned integer of up to 8 bytes."""
+    if b - a > 8:
+        raise Damaged("number longer than 8 bytes")
     return int.from_bytes(data[a:b], "big")
 
 
+def fits(n: int | None) -> int | None:
+    """n, or null if it is beyond 64 bits with a sign."""
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
 def laces(data: bytes, at: int, end: int, lacing: int) -> tuple[int, list[int]]:
     """Where the first frame of a block begins, and the sizes of its frames."""
     if lacing == 0:
@@ -105,8 +113,10 @@ class File:
         self.data, self.error = data or b"", None
         self.scale, self.tracks = 1_000_000, {}  # number -> (type, codec, default duration in ns or None)
         self.packets: list[tuple] = []  # as PACKETS without codec and cued, with the block's relative place in its cluster
-        self.cues: list[tuple[int, int, int, int | None]] = []  # time, track, place of the cluster in the segment, place in it
-        self.clusters: list[int] = []
+        self.cues: list[tuple[int, int | None, int | None, int | None, int]] = []  # time, track, place of the cluster in the segment, place in it, segment
+        self.clusters: list[int] = []  # places in their segments
+        self.starts: list[int] = []  # where the content of each segment begins
+        self.homes: list[int] = []  # of each cluster, the number of its segment
         if not self.data:
             return
         try:
@@ -129,6 +139,7 @@ class File:
 
     def segment(self, begin: int, end: int) -> None:
         d, walk, skip = self.data, elements(self.data, begin, end), None
+        self.starts.append(begin)
         while True:
             try:
                 name, a, b, ends = walk.send(skip)
@@ -144,10 +155,13 @@ class File:
                     if n == ENTRY:
                         own = {k: (p, q) for k, p, q, _ in elements(d, x, y)}
                         get = lambda k, own=own: number(d, *own[k]) if k in own else None
+                        if get(NUMBER) is None:
+                            continue
                         codec = d[slice(*own[CODEC])].decode("ascii", "replace").rstrip("\0") if CODEC in own else None
                         self.tracks[get(NUMBER)] = (get(KIND), codec, get(EACH))
             elif name == CLUSTER:
                 self.clusters.append(self.head_of(a) - begin)
+                self.homes.append(len(self.starts) - 1)
                 skip = self.cluster(a, b, ends == "unknown")
             elif name == CUES:
                 for n, x, y, _ in elements(d, a, b):
@@ -164,9 +178,9 @@ class File:
             if n == CUE_TIME:
                 time = number(d, x, y)
             elif n == PLACES:
-                own = {k: number(d, p, q) for k, p, q, _ in elements(d, x, y) if q - p <= 8}
+                own = {k: number(d, p, q) for k, p, q, _ in elements(d, x, y) if k in (CUE_TRACK, CUE_CLUSTER, CUE_INSIDE)}
                 places.append((own.get(CUE_TRACK), own.get(CUE_CLUSTER), own.get(CUE_INSIDE)))
-        self.cues += [(time, *p) for p in places]
+        self.cues += [(time, *p, len(self.starts) - 1) for p in places]
 
     def cluster(self, a: int, b: int, unknown: bool) -> int | None:
         d, walk, time, at = self.data, elements(self.data, a, b), 0, a
@@ -209,11 +223,11 @@ class File:
             each_lasts = each if each is not None else lasts * self.scale // len(sizes) if lasts is not None else None
         step = each if each is not None else each_lasts
         for i, size in enumerate(sizes):
-            self.packets.append((track, len(self.clusters) - 1, base if i == 0 else base + i * step if step is not None else None, each_lasts, key, lacing, i, at, size, time + relative, inside))
+            self.packets.append((track, len(self.clusters) - 1, fits(base if i == 0 else base + i * step if step is not None else None), fits(each_lasts), key, lacing, i, at, size, time + relative, inside))
             at += size
 
     def table(self) -> dict[str, list]:
-        cued = {(t, k, c) for t, k, c, _ in self.cues}
+        cued = {(t, k, c, s) for t, k, c, _, s in self.cues}
         out: dict[str, list] = {k: [] for k in PACKETS}
         if not self.packets:
             return out
@@ -221,7 +235,7 @@ class File:
         codec = {k: v[1] for k, v in self.tracks.items()}
         hit, done = [], set()
         for t, k, c, i in zip(time, track, cluster, lace, strict=True):
-            mark = (t, k, self.clusters[c])
+            mark = (t, k, self.clusters[c], self.homes[c])
             hit.append(i == 0 and mark in cued and mark not in done)
             if hit[-1]:
                 done.add(mark)
@@ -229,25 +243,62 @@ class File:
         return dict(zip(PACKETS, columns, strict=True))
 
 
-def packets(media: DataFrame, key: str = "doc_id", data: str = "media") -> DataFrame:
-    """A row for each frame of each file, by byte position: the key, packet (from 0), track, codec, cluster (from 0),
-    timestamp_ns, duration_ns, keyframe, lacing, lace_index (place in its lace), cued (an index entry points at it), byte_offset
-    and byte_length.
+    def cue_table(self) -> dict[str, list]:
+        """The index entries: time, track, the cluster (its number; null if no cluster begins there) and its place in the file, the
+        block's place in the cluster if told, and the packet that the entry means (null if there is none)."""
+        at = {(s, c): i for i, (s, c) in enumerate(zip(self.homes, self.clusters, strict=True))}
+        first: dict[tuple, int] = {}
+        for i, p in enumerate(self.packets):
+            if p[6] == 0:
+                first.setdefault((p[0], p[1], p[9]), i)
+        out: dict[str, list] = {k: [] for k in CUES_OUT}
+        for i, (time, track, place, inside, s) in enumerate(self.cues):
+            c = at.get((s, place))
+            row = (i, fits(track), fits(time * self.scale), c, fits(self.starts[s] + place) if place is not None else None, fits(inside), first.get((track, c, time)))
+            for k, x in zip(CUES_OUT, row, strict=True):
+                out[k].append(x)
+        return out
 
-    Null and empty files have no packets, and neither have bytes that don't begin with an EBML head. A damaged file gives the
-    packets before the damage. A time or duration that the file doesn't tell is null: frames after the first of a lace without
-    a default duration. Each row is parsed alone: repeated rows repeat, an empty table gives no rows, other columns are ignored.
-    """
+
+CUES_OUT = {"cue": pa.int64(), "track": pa.int64(), "timestamp_ns": pa.int64(), "cluster": pa.int64(), "cluster_offset": pa.int64(), "block_place": pa.int64(), "packet": pa.int64()}
+CUE_SCHEMA = "cue long, track long, timestamp_ns long, cluster long, cluster_offset long, block_place long, packet long"
+
+
+def read_files(spark, path: str) -> DataFrame:
+    """(path, media): the files of a folder or pattern, one a row; a file must be below 2 GB."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("media"))
+
+
+def _per_file(media: DataFrame, key: str, data: str, table_of, kinds: dict, schema: str) -> DataFrame:
     kind = media.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for k, x in zip(b.column(0), b.column(1), strict=True):
-                if (t := File(x.as_py()).table())["packet"]:
-                    n = len(t["packet"])
-                    yield pa.RecordBatch.from_arrays([pa.repeat(k, n), *(pa.array(t[c], kind) for c, kind in PACKETS.items())], ["key", *PACKETS])
+                t = table_of(File(x.as_py()))
+                if n := len(next(iter(t.values()))):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(k, n), *(pa.array(t[c], kind) for c, kind in kinds.items())], ["key", *kinds])
 
-    return media.select(F.col(key).alias("key"), F.col(data).alias("media")).mapInArrow(run, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
+    return media.select(F.col(key).alias("key"), F.col(data).alias("media")).mapInArrow(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
+
+
+def cues(media: DataFrame, key: str = "doc_id", data: str = "media") -> DataFrame:
+    """A row for each index entry of each file: the key, cue (from 0), track, timestamp_ns, cluster, cluster_offset (of the cluster's
+    content's element in the file), block_place and packet, the packet of that track and time in that cluster, as packets numbers it.
+    Nulls, damage, repeated rows and empty tables as in packets."""
+    return _per_file(media, key, data, File.cue_table, CUES_OUT, CUE_SCHEMA)
+
+
+def packets(media: DataFrame, key: str = "doc_id", data: str = "media") -> DataFrame:
+    """A row for each frame of each file, by byte position: the key, packet (from 0), track, codec, cluster (from 0),
+    timestamp_ns, duration_ns, keyframe, lacing, lace_index (place in its lace), cued (an index entry points at it), byte_offset
+    and byte_length.
+
+    Null and empty files have no packets, and neither have bytes that don't begin with an EBML head. A damaged file gives the
+    packets before the damage; a number of more than 8 bytes is damage. A time or duration that the file doesn't tell is null
+    (frames after the first of a lace without a default duration), and so is one beyond 64 bits. Tracks without a number are left out. Each row is parsed alone: repeated rows repeat, an empty table gives no rows, other columns are ignored.
+    """
+    return _per_file(media, key, data, File.table, PACKETS, SCHEMA)
 
 
 # --- a small writer, for tests and for the query ---
@@ -334,3 +385,7 @@ def muxed(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return packets(muxed(table(spark, sf_dir, "documents")))
+
+
+def cue_query(spark, sf_dir: str) -> DataFrame:
+    return cues(muxed(table(spark, sf_dir, "documents")))

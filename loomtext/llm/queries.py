@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
     "op10_html_text": html_text.query,
     "quality_rule_ablations": quality_rules.ablation_query,
+    "media_cues": media.cue_query,
 }
 SQL = {
     "op3_lm_score": lm_score.SQL,

@@ -83,6 +83,78 @@ def test_damaged_files_give_what_comes_before():
     assert media.File(b"junk").error and media.File(None).packets == [] and media.File(b"").error is None
 
 
+def extremes():
+    """Files with every numeric element at its extremes, and of odd lengths."""
+    names = (media.SCALE, media.NUMBER, media.KIND, media.EACH, media.TIME, media.LASTS, media.CUE_TIME, media.CUE_TRACK, media.CUE_CLUSTER, media.CUE_INSIDE)
+    for odd in names:
+        for content in (b"", b"\0", b"\xff" * 4, b"\xff" * 8, b"\x7f" + b"\xff" * 7, b"\xff" * 9, b"\xff" * 100):
+            put = lambda name, n, odd=odd, content=content: media.element(name, content) if name == odd else media.unsigned(name, n)
+            tracks = media.element(media.TRACKS, media.element(media.ENTRY, put(media.NUMBER, 1) + put(media.KIND, 2) + put(media.EACH, 20)))
+            block = media.coded(1) + struct.pack(">h", 5) + b"\0" + b"frame"
+            group = media.element(media.GROUP, media.element(media.BLOCK, block) + put(media.LASTS, 40))
+            laced = media.element(media.SIMPLE, media.coded(1) + struct.pack(">h", 6) + bytes([0x80 | 2 << 1]) + b"\x01abcd")
+            cluster = media.element(media.CLUSTER, put(media.TIME, 1000) + group + laced)
+            cue = media.element(media.POINT, put(media.CUE_TIME, 1005) + media.element(media.PLACES, put(media.CUE_TRACK, 1) + put(media.CUE_CLUSTER, 0) + put(media.CUE_INSIDE, 3)))
+            yield media._HEAD + media.element(media.SEGMENT, media.element(media.INFO, put(media.SCALE, 1_000_000)) + tracks + cluster + media.element(media.CUES, cue))
+
+
+def test_ten_thousand_damaged_files_through_arrow(spark):
+    files = list(extremes())
+    small = media.mux(bytes(range(256)) * 9)
+    rng = random.Random(7)
+    while len(files) < 10_000:
+        bad = bytearray(rng.choice((small, files[rng.randrange(70)])))
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(len(bad))] = rng.choice((0, 1, 8, 0x7F, 0x80, 0xFF, rng.randrange(256)))
+        files.append(bytes(bad[: rng.randint(len(bad) // 2, len(bad))] if rng.random() < 0.3 else bad))
+    df = spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary").repartition(4)
+    size = {i: len(f) for i, f in enumerate(files)}
+    n, last = 0, {}
+    for r in media.packets(df).collect():
+        assert 0 <= r.byte_offset and r.byte_length >= 0 and r.byte_offset + r.byte_length <= size[r.doc_id]
+        last[r.doc_id] = max(last.get(r.doc_id, -1), r.packet)
+        n += 1
+    assert n == sum(last.values()) + len(last) > 10_000
+    assert all(r.doc_id in size for r in media.cues(df).collect())
+
+
+def test_cues_find_their_packets(spark):
+    files = [media.mux(random.Random(i).randbytes(n)) for i, n in enumerate((0, 100, 5000, 30_000, 92_160))]
+    df = spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")
+    packets = {(r.doc_id, r.packet): r for r in media.packets(df).collect()}
+    rows = media.cues(df).collect()
+    assert len(rows) == sum(len(media.File(f).clusters) for f in files) > 5
+    for r in rows:
+        p = packets[r.doc_id, r.packet]
+        assert (p.timestamp_ns, p.track, p.cluster, p.cued) == (r.timestamp_ns, r.track, r.cluster, True)
+        assert files[r.doc_id][r.cluster_offset : r.cluster_offset + 4] == bytes.fromhex("1f43b675")
+    assert media.cues(empty(spark)).count() == 0
+
+
+def test_two_segments_and_wrong_codec():
+    def segment(text):
+        tracks = media.element(media.TRACKS, media.element(media.ENTRY, media.unsigned(media.NUMBER, 1) + media.element(media.CODEC, b"\xff\xfe\0")))
+        block = media.element(media.SIMPLE, media.coded(1) + struct.pack(">h", 0) + b"\x80" + text)
+        cluster = media.element(media.CLUSTER, media.unsigned(media.TIME, 3) + block)
+        place = len(tracks)
+        cue = media.element(media.POINT, media.unsigned(media.CUE_TIME, 3) + media.element(media.PLACES, media.unsigned(media.CUE_TRACK, 1) + media.unsigned(media.CUE_CLUSTER, place)))
+        return media.element(media.SEGMENT, tracks + cluster + media.element(media.CUES, cue))
+
+    data = media._HEAD + segment(b"one") + segment(b"two")
+    f = media.File(data)
+    t, c = f.table(), f.cue_table()
+    assert f.error is None and payload(data) == b"onetwo" and t["cued"] == [True, True] and t["codec"] == ["\ufffd\ufffd"] * 2
+    assert c["packet"] == [0, 1] and c["cluster"] == [0, 1]
+    assert all(data[a : a + 4] == b"\x1f\x43\xb6\x75" for a in c["cluster_offset"])
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.mkv").write_bytes(media.mux(b"x" * 200 * i))
+    got = media.packets(media.read_files(spark, str(tmp_path)), "path").groupBy("path").count().collect()
+    assert sorted(r["count"] for r in got) == [2, 3]
+
+
 def test_packets_of_tables(spark):
     got = media.packets(media.muxed(awkward(spark))).collect()
     want = {}

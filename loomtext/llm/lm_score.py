@@ -34,7 +34,7 @@ from .common import n_words
 from .kernels import extend, room, string_bytes, word_hashes
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS = 16 << 20, 3_000_000, 256
+CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS = 12 << 20, 3_000_000, 256
 SCHEMA = "doc_id long, n_tokens long, n_backoff long, logp_sum double, logp_per_token double"
 PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int32()), ("text", pa.large_binary())])
 _BLANK = re.compile(rb"[ \t\n\x0b\f\r]")
@@ -114,23 +114,38 @@ class Chunk:
         data, offsets = string_bytes(self.table["text"])
         words, self.rows = word_hashes(data, offsets)
         size = np.diff(self.rows)
-        self.place = np.arange(len(words)) - np.repeat(self.rows[:-1], size)  # of a word in its piece
+        self.place = (np.arange(len(words)) - np.repeat(self.rows[:-1], size)).astype(np.int32)  # of a word in its piece
         self.own = self.place >= np.repeat(self.table["before"].to_numpy(), size)  # and not context
-        left, self.grams, self.ends = room(self.rows, len(words)), [], []
-        gram = words
+        left, gram, found, self.ends = room(self.rows, len(words)), words, [], []
         for k in range(1, order + 1):
             gram = words if k == 1 else extend(gram, words, k)
             at = np.flatnonzero(left[: len(gram)] >= k)
-            self.grams.append(gram[at])
-            self.ends.append(at + k - 1)
-        self.all = np.concatenate(self.grams)
+            found.append(gram[at])
+            self.ends.append((at + (k - 1)).astype(np.int32))
+        self.all = np.concatenate(found)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct n-grams and how often each ends in a word of the piece itself (0: in context only)."""
-        if self.own.all():
-            return np.unique(self.all, return_counts=True)
-        keys, which = np.unique(self.all, return_inverse=True)
-        return keys, np.bincount(which, self.own[np.concatenate(self.ends)], len(keys)).astype(np.int64)
+        """The distinct n-grams, in order, and how often each ends in a word of the piece itself (0: in context only)."""
+        if not self.own.all():
+            keys, which = np.unique(self.all, return_inverse=True)
+            return keys, np.bincount(which, self.own[np.concatenate(self.ends)], len(keys)).astype(np.int64)
+        self.all.sort()
+        begins = np.flatnonzero(_first(self.all))
+        return self.all[begins], np.diff(begins, append=len(self.all))
+
+    def spread(self, totals: np.ndarray) -> np.ndarray:
+        """For each n-gram of `all` the number that belongs to it; totals follow the order of the distinct ones."""
+        by = np.argsort(self.all)
+        out = np.empty(len(by), np.int64)
+        out[by] = totals[np.cumsum(_first(self.all[by]), dtype=np.int32) - 1] if len(by) else 0
+        return out
+
+
+def _first(x: np.ndarray) -> np.ndarray:
+    """Whether each of sorted values is the first of its kind."""
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -161,9 +176,7 @@ def _count(part: pa.Table) -> pa.Table:
     keys = np.concatenate([np.cumsum(unpack(x.as_py(), m)) for x, m in zip(part["keys"], n, strict=True)])
     counts = np.concatenate([unpack(x.as_py(), m).astype(np.int64) for x, m in zip(part["counts"], n, strict=True)])
     by = np.argsort(keys, kind="stable")
-    new = np.ones(len(by), bool)
-    keys = keys[by]
-    new[1:] = keys[1:] != keys[:-1]
+    new = _first(keys[by])
     sums = np.add.reduceat(counts[by], np.flatnonzero(new))
     counts[by] = sums[np.cumsum(new) - 1]
     at = np.concatenate([[0], np.cumsum(n)])
@@ -179,7 +192,7 @@ def _score(order: int, alpha: float, min_count: int, corpus_words: int):
         n = len(c.place)
         got = tables.sort_by("bucket").select(["totals", "n"]).to_pydict()
         totals = np.concatenate([np.zeros(0, np.int64), *(unpack(t, m).astype(np.int64) for t, m in zip(got["totals"], got["n"], strict=True))])
-        each = totals[np.unique(c.all, return_inverse=True)[1]] if n else totals
+        each = c.spread(totals)
         count, at = [np.full(n, corpus_words, np.int64)], 0  # by the word at which the n-gram ends
         for ends in c.ends:
             k = np.zeros(n, np.int64)

@@ -9,16 +9,20 @@ shorter; the row at the cut gives exactly the tokens that are missing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import between_stages, n_words
+from .token_count import beginnings, counter
 
 #: Relative weight of a source in the mixture; sources that aren't listed, null among them, have DEFAULT_WEIGHT each.
 WEIGHTS = {"src0": 4.0}
 DEFAULT_WEIGHT = 1.0
 SEED = "mix-1"
-BUCKET_DIGITS = 3
+#: Rows that a bucket has on average at most; the number of buckets follows from it, and no result depends on it.
+BUCKET_ROWS = 100_000
 
 
 def weight_of(source: Column, weights: dict[str, float], default: float) -> Column:
@@ -28,22 +32,23 @@ def weight_of(source: Column, weights: dict[str, float], default: float) -> Colu
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, default: float = DEFAULT_WEIGHT, total: int | None = None, seed: str = SEED, digits: int = BUCKET_DIGITS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, default: float = DEFAULT_WEIGHT, total: int | None = None, seed: str = SEED, count: Callable[[Column], Column] = n_words) -> DataFrame:
     """Each chosen row of docs once per epoch in which it is used: __row (the row), epoch (from 0), start (tokens of its source
     before it, all epochs counted) and taken (its tokens that are used; fewer than it has only in the row at the cut).
 
-    The total (by default all tokens there are) is shared by weight among the sources that have tokens, each share rounded down,
+    Tokens are what `count` counts in a text; by default words. The total (by default all tokens there are) is shared by weight among the sources that have tokens, each share rounded down,
     so a source gives exactly its budget. Null is a source of its own. Null and empty texts have no tokens; they come along where
     their place is before the cut. Ties of the key (repeated rows) are ordered by id and then a hash of the
     text; equal rows are interchangeable.
     An empty table, or one without tokens, gives no rows. The names of docs' columns can't clash, since they stay in __row.
     """
     weights = WEIGHTS if weights is None else weights
+    digits = max(3, len(f"{docs.count() // BUCKET_ROWS:x}") + 1)
     bucket = F.substring("__key", 1, digits)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), F.coalesce(F.col("source"), F.lit("\0")).alias("__source"), n_words(F.col("text")).cast("long").alias("__n"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__key"), F.xxhash64("text").alias("__tie"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"), count(F.col("text")).cast("long").alias("__n"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__key"), F.xxhash64("text").alias("__tie"))
     rows = rows.withColumn("__bucket", bucket)
     sums = rows.select("__source", "__bucket", "__n").groupBy("__source", "__bucket").agg(F.sum("__n").alias("__sum"))
-    sources = sums.groupBy("__source").agg(F.sum("__sum").alias("__have")).where("__have > 0").select(F.col("__source").alias("__s"), "__have", weight_of(F.col("__source"), weights, default).alias("__w"))
+    sources = sums.groupBy("__source").agg(F.sum("__sum").alias("__have")).where("__have > 0").select(F.col("__source").alias("__s"), "__have", weight_of(F.col("__source"), {"=" + k: w for k, w in weights.items()}, default).alias("__w"))
     per = Window.partitionBy("__source")
     sums = sums.withColumns({"__before": F.sum("__sum").over(per.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__sum"), "__tokens": F.sum("__sum").over(per)})
     everything = sources.agg(F.sum("__w").alias("__all_w"), F.sum("__have").alias("__all_n"))
@@ -60,19 +65,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, defaul
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs mixed to the target weights: a row for each use of a document. The text of the row at a source's cut ends after
-    the tokens that are taken."""
-    m = mix_sources(docs)
-    text = F.when(F.col("taken") < F.col("n_tokens"), first_words(F.col("__row.text"), F.col("taken"))).otherwise(F.col("__row.text"))
-    columns = [F.length(text).cast(t).alias(c) if c == "n_chars" else text.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c, t in docs.dtypes]
+    """docs mixed to the target weights, in tokens of operator 8, which are counted once: a row for each use of a document. The text
+    of the row at a source's cut ends with the last pre-token that is within the tokens taken, so a source may fall short of its
+    budget by less than the tokens of one pre-token."""
+    n = "__n_tokens_" + str(len(docs.columns))
+    counted = between_stages(docs.withColumn(n, counter(spark)("text")))
+    m = mix_sources(counted, count=lambda _: F.coalesce(F.col(f"`{n}`"), F.lit(0)))
+    at_cut = F.col("taken") < F.col("n_tokens")
+    part = beginnings(spark)(F.when(at_cut, F.col("__row.text")), F.when(at_cut, F.col("taken")))
+    m = m.withColumn("__part", part)
+    text = F.when(at_cut, F.col("__part")).otherwise(F.col("__row.text"))
+    columns = [F.when(at_cut, F.length(text)).otherwise(F.col("__row.n_chars")).cast(t).alias(c) if c == "n_chars" else text.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c, t in docs.dtypes]
     return m.select(*columns)
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The first n words of a text, joined by single spaces."""
-    return F.array_join(F.slice(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), F.lit(1), n.cast("int")), " ")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     m = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return m.select("__row.doc_id", "__row.source", "epoch", "start", "taken")

@@ -1,7 +1,8 @@
 """Operator 9, best-fit packing into sequences of CAPACITY tokens.
 
-Documents longer than a sequence first give full sequences; what is left of each document is one piece. Pieces are counted by
-exact length (GRAIN is 1) and hash bucket: these counts, at most CAPACITY * BUCKETS, are all that reaches the driver, at any
+Tokens are those of operator 8 and counted once; the counts are written down before they are used. Documents longer than a
+sequence first give full sequences; what is left of each document is one piece. Pieces are counted by exact length and hash
+bucket: these counts, at most CAPACITY * BUCKETS, are all that reaches the driver, at any
 input size. There the configuration linear program (fewest sequences, over all ways to fill one, that cover the histogram) is
 solved to within GAP. Best fit decreasing over the histogram is a solution of it, and is taken if it is that near the total
 length; else the program is solved by multiplicative weights: lengths are priced by their weights, the best filling is found by
@@ -18,20 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import between_stages
+from .token_count import TOKENIZERS, VOCABULARY, counter, shared_counter
 
-CAPACITY, GRAIN, BUCKETS = 2048, 1, 256
+CAPACITY, BUCKETS = 2048, 256
 EPSILON, REPRICE, GAP = 0.1, 64, 0.01
-SCHEMA = "doc_id long, part long, sequence long, n_tokens long"
+SCHEMA = "doc_id long, copy long, part long, begin long, n_tokens long, sequence long, offset long"
 
 
 def best_filling(value: np.ndarray, slots: int) -> np.ndarray:
-    """How many pieces of each length (index i: i + 1 grains) fill `slots` grains with the greatest value."""
+    """How many pieces of each length (index i: i + 1 tokens) fill `slots` tokens with the greatest value."""
     n = min(len(value), slots)
     best, pick = np.zeros(slots + 1), np.zeros(slots + 1, np.int64)
     for c in range(1, slots + 1):
         k = min(n, c)
-        gain = best[c - k : c][::-1] + value[:k]  # piece of i + 1 grains, then the rest
+        gain = best[c - k : c][::-1] + value[:k]  # piece of i + 1 tokens, then the rest
         i = int(np.argmax(gain))
         best[c], pick[c] = (gain[i], i + 1) if gain[i] > best[c - 1] else (best[c - 1], 0)
     out, c = np.zeros(len(value), np.int64), slots
@@ -118,7 +120,7 @@ def round_down(histogram: np.ndarray, fillings: list[np.ndarray], x: np.ndarray,
         if n > 0:
             out.append((f, n))
             left -= f * n
-    open_: dict[int, list[list]] = {}  # free grains -> [filling, how many]
+    open_: dict[int, list[list]] = {}  # free tokens -> [filling, how many]
     for size in range(len(left), 0, -1):
         todo = int(left[size - 1])
         for free in sorted(f for f in open_ if f >= size):
@@ -160,68 +162,86 @@ def plan(histogram: np.ndarray, slots: int, epsilon: float = EPSILON) -> tuple[l
     return min(packed, key=lambda p: sum(n for _, n in p)), total(histogram) / slots
 
 
-def _runs(packed: list[tuple[np.ndarray, int]], sizes: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: the ranks at which each filling's run of pieces ends, its first sequence, and its pieces a sequence."""
-    rows: dict[int, list[tuple[int, int, int]]] = {}
+def _runs(packed: list[tuple[np.ndarray, int]], sizes: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """By length: the ranks at which each filling's run of pieces ends, its first sequence, its pieces a sequence, and where in the
+    sequence they begin (longer ones come first)."""
+    rows: dict[int, list[tuple[int, int, int, int]]] = {}
     first, taken = 0, np.zeros(sizes, np.int64)
     for f, n in packed:
-        for i in np.flatnonzero(f):
+        place = 0
+        for i in np.flatnonzero(f)[::-1]:
             taken[i] += int(f[i]) * n
-            rows.setdefault(int(i) + 1, []).append((int(taken[i]), first, int(f[i])))
+            rows.setdefault(int(i) + 1, []).append((int(taken[i]), first, int(f[i]), place))
+            place += int(f[i]) * (int(i) + 1)
         first += n
-    return {k: tuple(np.array([r[j] for r in v], np.int64) for j in range(3)) for k, v in rows.items()}
+    return {k: tuple(np.array([r[j] for r in v], np.int64) for j in range(4)) for k, v in rows.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, epsilon: float = EPSILON) -> DataFrame:
-    """Where each part of each document goes: doc_id, part (from 0), sequence (from 0; a sequence's number, shared by what is
-    packed together) and n_tokens (words). A sequence never holds more than `capacity` tokens.
+def pack(docs: DataFrame, capacity: int = CAPACITY, epsilon: float = EPSILON, count=None, content: bool = False, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
+    """Where each part of each document goes: doc_id, copy (from 0, among rows of equal id and text), part (from 0), begin (the
+    tokens of the document before the part), n_tokens, sequence (a number shared by what is packed together) and offset (the tokens of
+    the sequence before the part). With content=True also content, the bytes of the part's tokens. A sequence never holds more than
+    `capacity` tokens; its parts leave no gaps. count: a column function text -> tokens, by default operator 8's with the vocabulary at
+    `path`; content needs that one.
 
-    Parts before a document's last are full sequences, with negative numbers (-1 - place among them) kept apart from packed ones.
-    Null and empty texts have no tokens and no row. Repeated rows are packed like others; ties of rank are broken by id, and equal
-    rows are interchangeable. An empty table gives no rows. Other columns are ignored. capacity must be a multiple of grain.
+    Parts before a document's last are full sequences, with negative numbers (-1 - place among them) kept apart from packed ones,
+    which are numbered from 0. Null and empty texts have no tokens and no row. Repeated rows are packed like others; ties of rank are
+    broken by id, and equal rows are interchangeable. An empty table gives no rows. Other columns are ignored.
     """
-    if capacity % grain:
-        raise ValueError("capacity must be a multiple of grain")
-    slots = capacity // grain
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).cast("long").alias("n"), F.xxhash64("text").alias("tie")).where("n > 0")
-    d = d.select("doc_id", "n", "tie", F.expr(f"(n - 1) div {capacity}").alias("full"))
-    d = d.withColumn("rest", F.col("n") - F.col("full") * capacity)
-    d = d.withColumns({"size": F.expr(f"(rest + {grain - 1}) div {grain}").cast("int"), "bucket": F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS)).cast("int")})
+    spark = docs.sparkSession
+    count = count or counter(spark, path)
+    text = [F.col("text").alias("text")] if content else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), count(F.col("text")).cast("long").alias("n"), F.xxhash64("text").alias("tie"), *text)
+    d = between_stages(d).where("n > 0")
+    d = d.withColumn("full", F.expr(f"(n - 1) div {capacity}"))
+    d = d.withColumn("size", (F.col("n") - F.col("full") * capacity).cast("int")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS)).cast("int"))
     counts = d.groupBy("size", "bucket").agg(F.count("*").alias("pieces"), F.sum("full").alias("fulls")).toArrow()
-    pieces, fulls = np.zeros((slots + 1, BUCKETS), np.int64), np.zeros((slots + 1, BUCKETS), np.int64)
+    pieces, fulls = np.zeros((capacity + 1, BUCKETS), np.int64), np.zeros((capacity + 1, BUCKETS), np.int64)
     cell = counts["size"].to_numpy(), counts["bucket"].to_numpy()
     pieces[cell], fulls[cell] = counts["pieces"].to_numpy(), counts["fulls"].to_numpy()
-    histogram = pieces[1:].sum(1)
-    runs = _runs(plan(histogram, slots, epsilon)[0], slots)
+    runs = _runs(plan(pieces[1:].sum(1), capacity, epsilon)[0], capacity)
     pieces = np.cumsum(pieces, 1) - pieces  # now what lies before a cell
     fulls = np.cumsum(fulls).reshape(fulls.shape) - fulls
     own = Window.partitionBy("size", "bucket").orderBy("doc_id", "tie", "n")
     before = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = d.select("doc_id", "full", "rest", "size", "bucket", (F.row_number().over(own) - 1).alias("rank"), (F.sum("full").over(before) - F.col("full")).alias("before"))
+    copy = F.row_number().over(Window.partitionBy("size", "bucket", "doc_id", "tie").orderBy("n")) - 1
+    ranked = d.select("doc_id", "full", "size", "bucket", (F.row_number().over(own) - 1).alias("rank"), (F.sum("full").over(before) - F.col("full")).alias("before"), copy.alias("copy"), *(["text"] if content else []))
+    get = shared_counter(spark, path) if content else None
+    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["content"] * content
 
     def place(batches):
         for b in batches:
-            doc, full, rest, size, bucket, rank, prior = (np.asarray(b.column(i).fill_null(0)).astype(np.int64) for i in range(7))
-            ids, seq = b.column(0), np.zeros(len(size), np.int64)
+            full, size, bucket, rank, prior, copies = (np.asarray(b.column(i).fill_null(0)).astype(np.int64) for i in range(1, 7))
+            ids, seq, offset = b.column(0), np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             rank = rank + pieces[size, bucket]
             for s in np.unique(size):
                 on = np.flatnonzero(size == s)
-                ends, first, each = runs[int(s)]
+                ends, first, each, where = runs[int(s)]
                 i = np.searchsorted(ends, rank[on], "right")
-                begin = np.concatenate([[0], ends])[i]
-                seq[on] = first[i] + (rank[on] - begin) // each[i]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(full), pa.array(seq), pa.array(rest)], ["doc_id", "part", "sequence", "n_tokens"])
-            if full.any():
-                which = np.repeat(np.arange(len(full)), full)
-                part = np.arange(len(which)) - np.repeat(np.cumsum(full) - full, full)
-                base = prior + fulls[size, bucket]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(part), pa.array(-1 - (base[which] + part)), pa.array(np.full(len(which), capacity))], ["doc_id", "part", "sequence", "n_tokens"])
-
-    return ranked.mapInArrow(place, SCHEMA)
+                nth = rank[on] - np.concatenate([[0], ends])[i]
+                seq[on] = first[i] + nth // each[i]
+                offset[on] = where[i] + nth % each[i] * s
+            which = np.repeat(np.arange(len(full)), full)
+            part = np.arange(len(which)) - np.repeat(np.cumsum(full) - full, full)
+            base = prior + fulls[size, bucket]
+            last, more = [], []
+            if content:
+                for raw, n in zip(b.column(7).cast(pa.binary()), full, strict=True):
+                    *fronts, back = get().pieces(raw.as_py(), capacity) if n else [raw.as_py()]
+                    more += fronts
+                    last.append(back)
+            tail = lambda x: [pa.array(x, pa.binary())] if content else []
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (copies, full, full * capacity, size, seq, offset)), *tail(last)], names)
+            if len(which):
+                k = len(which)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *map(pa.array, (copies[which], part, part * capacity, np.full(k, capacity), -1 - (base[which] + part), np.zeros(k, np.int64))), *tail(more)], names)
+
+    return ranked.mapInArrow(place, SCHEMA + ", content binary" * content)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    """Where each part of each row of docs goes, with its content: what a trainer reads, a sequence at a time."""
+    return pack(docs, content=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

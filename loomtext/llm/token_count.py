@@ -114,11 +114,10 @@ def pretokens(text: str) -> list[str]:
     return [raw[i:j].decode() for i, j in zip(starts, [*starts[1:], len(raw)], strict=True)]
 
 
-def merged_count(word: bytes, ranks: dict[bytes, int]) -> int:
-    """How many symbols are left of the bytes of a pre-token after all merges; ties of rank go to the leftmost pair."""
+def _merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, list[int]]:
+    """How many symbols are left of the bytes of a pre-token after all merges, and by the byte at which a symbol begins the next
+    one's; ties of rank go to the leftmost pair."""
     n = len(word)
-    if n < 2:
-        return n
     after, before, left = list(range(1, n + 1)), list(range(-1, n - 1)), n
     gone = bytearray(n)
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -137,7 +136,21 @@ def merged_count(word: bytes, ranks: dict[bytes, int]) -> int:
                 heappush(heap, (r, i, after[end]))
         if (p := before[i]) >= 0 and (r := ranks.get(word[p:end])) is not None:
             heappush(heap, (r, p, end))
-    return left
+    return left, after
+
+
+def merged_count(word: bytes, ranks: dict[bytes, int]) -> int:
+    """How many symbols are left of a pre-token."""
+    return _merge(word, ranks)[0] if len(word) > 1 else len(word)
+
+
+def merged_ends(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Where the symbols that are left of a pre-token end."""
+    after, out, at = _merge(word, ranks)[1], [], 0
+    while at < len(word):
+        at = after[at]
+        out.append(at)
+    return out
 
 
 class Counter:
@@ -160,9 +173,16 @@ class Counter:
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The counts of consecutive rows."""
+        starts, each = self.pretokens(data, offsets)
+        total = np.concatenate([[0], np.cumsum(each)])
+        bounds = np.searchsorted(starts, offsets)
+        return total[bounds[1:]] - total[bounds[:-1]]
+
+    def pretokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pre-tokens of consecutive rows begin, and their counts."""
         starts = pretoken_starts(data, offsets)
         if not len(starts):
-            return np.zeros(len(offsets) - 1, np.int64)
+            return starts, np.zeros(0, np.int64)
         ends = np.append(starts[1:], offsets[-1])
         _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         other = np.flatnonzero(~same_spans(data, starts, ends, first[which]))  # of equal hash, and yet not equal
@@ -171,9 +191,25 @@ class Counter:
         raw = data[base : int(offsets[-1])].tobytes()
         word = self.word
         each = np.array([word(raw[i:j]) for i, j in zip((starts[first] - base).tolist(), (ends[first] - base).tolist(), strict=True)], np.int64)
-        total = np.concatenate([[0], np.cumsum(each[which])])
-        bounds = np.searchsorted(starts, offsets)
-        return total[bounds[1:]] - total[bounds[:-1]]
+        return starts, each[which]
+
+    def pieces(self, text: bytes, capacity: int) -> list[bytes]:
+        """A text cut after every `capacity` tokens. A piece is the bytes of its tokens, which may end inside a character."""
+        data = np.frombuffer(text, np.uint8)
+        starts, each = self.pretokens(data, np.array([0, len(text)]))
+        total, cuts = np.cumsum(each), [0]
+        for c in range(capacity, int(total[-1]) if len(total) else 0, capacity):
+            j = int(np.searchsorted(total, c))
+            begin, end = int(starts[j]), int(starts[j + 1]) if j + 1 < len(starts) else len(text)
+            cuts.append(end if total[j] == c else begin + merged_ends(text[begin:end], self.ranks)[c - int(total[j] - each[j]) - 1])
+        return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+    def beginning(self, text: str, most: int) -> str:
+        """The longest begin of a text that ends with a pre-token and has at most `most` tokens."""
+        raw = text.encode()
+        starts, each = self.pretokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        n = int(np.searchsorted(np.cumsum(each), most, "right"))
+        return raw[: int(starts[n])].decode() if n < len(starts) else text
 
     def column(self, text: pa.Array) -> np.ndarray:
         data, offsets = string_bytes(text)
@@ -235,6 +271,18 @@ def counter(spark: SparkSession, path: str = f"{TOKENIZERS}/{VOCABULARY}"):
     return token_count
 
 
+def beginnings(spark: SparkSession, path: str = f"{TOKENIZERS}/{VOCABULARY}"):
+    """A column function (text, most) -> the begin of a text that has at most that many tokens, ended with a pre-token; null for null."""
+    get = shared_counter(spark, path)
+
+    @F.arrow_udf("string")
+    def beginning(text: pa.Array, most: pa.Array) -> pa.Array:
+        pairs = zip(text.to_pylist(), most.to_pylist(), strict=True)
+        return pa.array([None if t is None or n is None else get().beginning(t, n) for t, n in pairs], pa.string())
+
+    return beginning
+
+
 def token_counts(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """A row for each document: doc_id, n_symbols (bytes of the text in UTF-8, the initial symbols), n_tokens and n_merges.
 

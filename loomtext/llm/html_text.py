@@ -10,7 +10,9 @@ One projection of the html column, with no shuffle.
 
 from __future__ import annotations
 
+import math
 import re
+import sys
 import unicodedata
 from html import unescape
 
@@ -21,8 +23,9 @@ from pyspark.sql.types import StringType
 
 from .common import table
 
-#: A cell wider than ALIGN doesn't widen its column. Elements nested deeper than DEEPEST become siblings, as in browsers.
-ALIGN, GAP, DEEPEST = 80, 2, 300
+#: A cell wider than ALIGN doesn't widen its column; no cell is moved beyond place FARTHEST by blanks. Elements nested deeper than
+#: DEEPEST become siblings, as in browsers, which have this limit too.
+ALIGN, GAP, FARTHEST, DEEPEST = 80, 2, 1000, 512
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=>)|[^\s"'>][^\s>]*+))*+>""")
 _ATTR = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
@@ -517,7 +520,7 @@ class Renderer:
             for tr in section.children:
                 if not isinstance(tr, Node) or tr.tag != "tr" or not self.displayed(tr):
                     continue
-                col, taken = 0, sorted(busy)
+                col, taken, taken_before = 0, list(busy), busy
                 fresh = []
                 for cell in tr.children:
                     if not isinstance(cell, Node) or cell.tag not in ("td", "th") or not self.displayed(cell):
@@ -529,14 +532,19 @@ class Renderer:
                     if "span" in cell.attrs.lower():
                         a = cell.attributes()
                         span, down = (int(m[1]) if (m := re.match(r"\s*(\d{1,6})", a.get(k, ""))) else 1 for k in ("colspan", "rowspan"))
-                        span, down = min(max(span, 1), 1000), 1_000_000 if down == 0 else down
+                        span, down = min(max(span, 1), 1000), math.inf if down == 0 else down
                     inner = Box()
                     self.inside(cell, inner, pre, visible)
                     cells.append((row, col, span, inner.done()))
                     if down > 1:
                         fresh.append([col, span, down])
                     col += span
-                busy = [[c, s, n - 1] for c, s, n in busy + fresh if n > 1]
+                busy = []
+                for c, s, n in sorted([*taken_before, *fresh]):
+                    if n > 1 and busy and busy[-1][2] == n - 1 and busy[-1][0] + busy[-1][1] >= c:
+                        busy[-1][1] = max(busy[-1][1], c + s - busy[-1][0])
+                    elif n > 1:
+                        busy.append([c, s, n - 1])
                 row += 1
         starts = sorted({c for _, c, _, _ in cells})
         place, index = [0] * (len(starts) + 1), {c: i for i, c in enumerate(starts)}
@@ -548,7 +556,7 @@ class Renderer:
             w = max((x for x in map(width, lines) if x <= ALIGN), default=0)
             ends.setdefault(j, []).append((index[c], w))
         for j in range(1, len(starts)):
-            place[j] = max([place[j - 1], *(place[i] + w + GAP for i, w in ends.get(j, []) if w)])
+            place[j] = min(FARTHEST, max([place[j - 1], *(place[i] + w + GAP for i, w in ends.get(j, []) if w)]))
         at = 0
         for r in range(row):
             own = []
@@ -570,6 +578,7 @@ def render(html: str | None) -> str | None:
     """The visible text of a page; null for null."""
     if html is None:
         return None
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
     return "\n".join(Renderer(Tree(html)).lines()) if html else ""
 
 
@@ -583,7 +592,7 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataF
 
     A null page has a null text, an empty one, or one where nothing shows, an empty text. Hidden: what browsers don't render by
     tag, the hidden attribute, display:none and visibility inline, and display:none by simple selectors in the page's style
-    sheets; scripts count as enabled. Inline formatting isn't reopened after a paragraph that it was left open in, which has no
+    sheets; scripts count as enabled. A rowspan of 0 ends with its row group. Inline formatting isn't reopened after a paragraph that it was left open in, which has no
     effect on the text. Each row is judged alone: repeated rows repeat, an empty table gives none, other columns are ignored.
     """
     return pages.select(F.col(key), page_text(F.col(html)).alias("text"))

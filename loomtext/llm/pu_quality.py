@@ -6,8 +6,9 @@ logistic loss (where the second term is negative, the step goes the other way, a
 estimated from the scores of a first, positive-against-unlabelled fit: over all cuts, the smallest upper bound of the share of
 unlabelled rows above the cut by the share of held-out positives above it (best bin estimation).
 
-Fitting uses bounded samples (POSITIVES, UNLABELLED: lowest hashed ids), whose features, not texts, reach the driver. Scoring
-is one projection of the whole text column.
+Weights are fitted on bounded samples (POSITIVES, UNLABELLED: lowest hashed ids), whose features, not texts, reach the driver. The
+prior comes from the scores of all documents, as a histogram of at most 2 * 10000 + 1 cells. Scoring is one projection of the
+whole text column. Features are of form only, so toxic words go unseen, though no toxic row is a positive.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ from .kernels import chunks, string_bytes, word_hashes
 POSITIVES, UNLABELLED, SEED = 2000, 4000, 17
 #: Share of trusted positives that the cut may reject at most.
 POSITIVE_LOSS = 0.002
-CLASSES = 20
+#: Digits after the point of the scores from which the prior is estimated.
+BIN_DIGITS = 2
+#: Classes of bytes: other, three kinds of ASCII letters and digits, 16 marks, and bytes of longer characters (not first, first).
+CLASSES = 22
 _CLASS = np.full(256, 0, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
 for _i, _c in enumerate(" \n\t.,!?'\"|*$%&#-", 4):
-    _CLASS[ord(_c)] = min(_i, CLASSES - 1)
-_CLASS[128:192], _CLASS[192:] = 18, 19
+    _CLASS[ord(_c)] = _i
+_CLASS[128:192], _CLASS[192:] = 20, 21
 WIDTH = CLASSES * CLASSES + 4
 
 
@@ -97,21 +101,29 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, rate: float
     return w[:-1], w[-1]
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
-    """Best bin estimation of the share of positives among the unlabelled, from scores of held-out rows."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1, weight: np.ndarray | None = None) -> float:
+    """Best bin estimation of the share of positives among the unlabelled, from scores of held-out positives and of unlabelled rows,
+    which may be distinct scores with a weight (number of rows) each."""
     slack = lambda n: np.sqrt(np.log(4 / confidence) / (2 * n))
+    weight = np.ones(len(unlabelled)) if weight is None else weight
     cuts = np.unique(np.concatenate([positive, unlabelled]))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
-    qp, qu = above(positive), above(unlabelled)
+
+    def above(x, w):
+        by = np.argsort(x)
+        below = np.concatenate([[0.0], np.cumsum(w[by])])
+        return 1 - below[np.searchsorted(x[by], cuts, "left")] / w.sum()
+
+    qp, qu = above(positive, np.ones(len(positive))), above(unlabelled, weight)
     ok = qp > 0
-    bound = (qu + slack(len(unlabelled)) + slack(len(positive)))[ok] / qp[ok]
+    bound = (qu + slack(weight.sum()) + slack(len(positive)))[ok] / qp[ok]
     best = int(np.argmin(bound))
     return float(np.clip(qu[ok][best] / qp[ok][best], 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, loss: float = POSITIVE_LOSS, steps: int = 300) -> Model | None:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, loss: float = POSITIVE_LOSS, steps: int = 300, scores_of_all=None) -> Model | None:
     """A model from feature rows; None without positives or unlabelled rows. A third of each is held out, for the prior and
-    for the cut: 0, or lower if more than `loss` of the held-out positives lie below 0."""
+    for the cut: 0, or lower if more than `loss` of the held-out positives lie below 0. scores_of_all: a function of a model that gives
+    (score, rows) of the whole corpus, for the prior; without it the held-out unlabelled rows stand for the corpus."""
     if len(positive) < 3 or len(unlabelled) < 3:
         return None
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
@@ -121,32 +133,40 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     (p, p0), (u, u0) = held(ready(positive)), held(ready(unlabelled))
     if prior is None:
         w, b = _descend(p, u, 0.5, steps // 2, 0.02, 1e-3, False)
-        prior = estimate_prior(p0 @ w + b, u0 @ w + b)
+        found = scores_of_all(Model(mean, scale, w, b, None)) if scores_of_all else (u0 @ w + b, None)
+        prior = estimate_prior(np.round(p0 @ w + b, BIN_DIGITS), np.round(found[0], BIN_DIGITS), weight=found[1])
     w, b = _descend(p, u, prior, steps, 0.02, 1e-3, True)
     model = Model(mean, scale, w, b, prior)
     model.cut = min(0.0, float(np.quantile(p0 @ w + b, loss)) - 0.05)
     return model
 
 
+def histogram(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The scores of all rows, rounded to BIN_DIGITS and held within 100, and how many rows have each."""
+    score = F.round(F.least(F.greatest(scorer(model)(F.col("text")), F.lit(-100.0)), F.lit(100.0)), BIN_DIGITS)
+    got = docs.select(score.alias("score")).groupBy("score").agg(F.count("*").alias("n")).toArrow()
+    return got["score"].to_numpy(), got["n"].to_numpy().astype(float)
+
+
 def fit_from(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = SEED) -> Model | None:
-    """Fits on the features of bounded samples of trusted rows and of all of docs. Null ids can't be sampled; a repeated id may
-    count more than once."""
+    """Fits on the features of bounded samples of trusted rows and of all of docs; the prior is of all rows of docs. Null ids can't be
+    sampled; of rows that repeat an id the lowest text counts."""
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    ids = d.where("id IS NOT NULL").select("id")
-    p = lowest_hashed(good.join(ids.distinct(), "id", "left_semi"), "id", positives, seed).select("id", F.lit(True).alias("trusted"))
-    u = lowest_hashed(ids, "id", unlabelled, seed + 1).distinct().select("id", F.lit(False).alias("trusted"))
+    ids = d.where("id IS NOT NULL").select("id").distinct()
+    p = lowest_hashed(good.join(ids, "id", "left_semi"), "id", positives, seed).select("id", F.lit(True).alias("trusted"))
+    u = lowest_hashed(ids, "id", unlabelled, seed + 1).select("id", F.lit(False).alias("trusted"))
     chosen = p.union(u).select(F.col("id").alias("__id"), "trusted")
-    rows = d.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", "trusted", "text")
+    rows = d.join(F.broadcast(chosen), F.col("id") == F.col("__id")).groupBy("id", "trusted").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
             x = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "trusted", "x"])
 
-    got = sorted(rows.mapInArrow(run, "id long, trusted boolean, x binary").collect(), key=lambda r: (r.id, r.x))
+    got = sorted(rows.mapInArrow(run, "id long, trusted boolean, x binary").collect(), key=lambda r: r.id)
     part = lambda t: np.array([np.frombuffer(r.x, np.float32) for r in got if r.trusted == t]).reshape(-1, WIDTH)
-    return fit(part(True), part(False))
+    return fit(part(True), part(False), scores_of_all=lambda m: histogram(d, m))
 
 
 def scorer(model: Model):

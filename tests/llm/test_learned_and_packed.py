@@ -9,6 +9,7 @@ import zstandard
 
 from fixtures import LONG, ROWS, TEXT, awkward, empty
 from loomtext.llm import language_id, packing, pu_quality, token_count
+from loomtext.llm.common import n_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,6 +86,25 @@ def test_token_counts_against_a_public_encoder(spark):
         assert (r.n_tokens, r.n_symbols, r.n_merges) == (len(enc.encode_ordinary(t)), len(t.encode()), len(t.encode()) - len(enc.encode_ordinary(t)))
 
 
+def test_equal_hashes_are_compared(monkeypatch):
+    """Pre-tokens that share a hash are counted apart."""
+    monkeypatch.setattr(token_count, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    c = token_count.Counter(token_count.load_ranks(f"{token_count.TOKENIZERS}/{token_count.VOCABULARY}"))
+    texts = ["the cat zqxjv", "zqxjv " + "ab" * 100, "", None, "ba" * 100]
+    assert c.column(pa.array(texts)).tolist() == [len(encoder().encode_ordinary(t or "")) for t in texts]
+
+
+def test_beginnings_end_with_a_pretoken():
+    c, enc = token_count.Counter(token_count.load_ranks(f"{token_count.TOKENIZERS}/{token_count.VOCABULARY}")), encoder()
+    text = "Déjà vu: it's 12345  words\n\nof 中文 xyzzyplugh!"
+    n = len(enc.encode_ordinary(text))
+    for most in range(n + 2):
+        got = c.beginning(text, most)
+        assert text.startswith(got) and len(enc.encode_ordinary(got)) <= most
+        rest = token_count.pretokens(text)[len(token_count.pretokens(got)) :]
+        assert not rest or rest[0].isspace() or len(enc.encode_ordinary(got + rest[0])) > most
+
+
 def test_cuts_follow_the_pattern():
     import random
 
@@ -172,31 +192,90 @@ def check_packing(rows, tokens, capacity):
     return len(seqs)
 
 
+def check_sequences(rows, capacity):
+    """Parts follow each other in their sequences and in their documents without gaps."""
+    seqs, docs = {}, {}
+    for r in rows:
+        seqs.setdefault(r.sequence, []).append((r.offset, r.n_tokens))
+        docs.setdefault((r.doc_id, r.copy), []).append((r.part, r.begin, r.n_tokens))
+    for own in seqs.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    for own in docs.values():
+        if len({p for p, _, _ in own}) == len(own):  # not so where rows of one id differ in text
+            at = 0
+            for i, (part, begin, n) in enumerate(sorted(own)):
+                assert (part, begin) == (i, at)
+                at += n
+
+
+def encoder():
+    import tiktoken
+
+    path = f"{token_count.TOKENIZERS}/{token_count.VOCABULARY}"
+    return tiktoken.Encoding("own", pat_str=token_count.PATTERN, mergeable_ranks=token_count.load_ranks(path), special_tokens={})
+
+
 def test_packing_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    tokens = {r.doc_id: len((r.text or "").split()) for r in docs}
+    enc = encoder()
+    tokens = {r.doc_id: len(enc.encode_ordinary(r.text or "")) for r in docs}
     rows = packing.query(spark, SF).collect()
     n = check_packing(rows, tokens, packing.CAPACITY)
-    assert n <= sum(tokens.values()) / packing.CAPACITY * 1.1 + 2
+    check_sequences(rows, packing.CAPACITY)
+    assert n <= sum(tokens.values()) / packing.CAPACITY * 1.05 + 2
     assert sorted((r.doc_id, r.part) for r in rows) == sorted((k, i) for k, t in tokens.items() for i in range(-(-t // packing.CAPACITY)))
 
 
+def test_content_rebuilds_the_tokens(spark):
+    """Of every sequence, from a public encoder's tokens of the documents."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["déjà vu 中文 " * 300, "a", "", None, "xyzzyplugh" * 200, "word " * 90, "word " * 90])] + [(5, "word " * 90)], "doc_id long, text string")
+    enc, texts = encoder(), {r.doc_id: r.text for r in docs.collect()}
+    rows = packing.pack(docs, 64, content=True).collect()
+    check_sequences(rows, 64)
+    for r in rows:
+        ids = enc.encode_ordinary(texts[r.doc_id])[r.begin : r.begin + r.n_tokens]
+        assert b"".join(enc.decode_single_token_bytes(i) for i in ids) == r.content
+    assert {(r.doc_id, r.copy) for r in rows} == {(0, 0), (1, 0), (4, 0), (5, 0), (5, 1), (6, 0)}
+
+
 def test_packing_awkward(spark):
-    rows = packing.pack(awkward(spark), 64, 8).collect()
+    rows = packing.pack(awkward(spark), 64, count=n_words).collect()
     tokens = {}
     for r in ROWS:
         tokens[r[0]] = tokens.get(r[0], 0) + len((r[1] or "").split())
     check_packing(rows, tokens, 64)
+    check_sequences(rows, 64)
     assert packing.pack(empty(spark)).count() == 0 and packing.pack(awkward(spark).where("doc_id = 4")).count() == 0
-    with pytest.raises(ValueError):
-        packing.pack(awkward(spark), 100, 8)
+    assert packing.pack(empty(spark), content=True).columns == [*packing.pack(empty(spark)).columns, "content"]
 
 
 def test_packing_uses_the_room_of_every_token(spark):
     short = spark.range(4096).selectExpr("id AS doc_id", "'word' AS text")
-    assert check_packing(packing.pack(short).collect(), dict.fromkeys(range(4096), 1), packing.CAPACITY) == 2
+    assert check_packing(packing.pack(short, count=n_words).collect(), dict.fromkeys(range(4096), 1), packing.CAPACITY) == 2
     pairs = spark.range(60).selectExpr("id AS doc_id", "repeat('a ', IF(id % 2 = 0, 1025, 1023)) AS text")
-    assert check_packing(packing.pack(pairs).collect(), {i: 1025 - i % 2 * 2 for i in range(60)}, packing.CAPACITY) == 30
+    assert check_packing(packing.pack(pairs, count=n_words).collect(), {i: 1025 - i % 2 * 2 for i in range(60)}, packing.CAPACITY) == 30
+
+
+def test_program_against_its_optimum():
+    """The fractional program of small histograms against a linear program over all fillings, solved by enumeration of bases."""
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        sizes = sorted(rng.choice(np.arange(3, 12), 3, replace=False).tolist())
+        histogram = np.zeros(20, np.int64)
+        for k in sizes:
+            histogram[k - 1] = rng.integers(200, 900)
+        options = [o for o in itertools.product(*(range(20 // k + 1) for k in sizes)) if 0 < sum(a * b for a, b in zip(o, sizes, strict=True)) <= 20]
+        need, best = histogram[[k - 1 for k in sizes]].astype(float), np.inf
+        for basis in itertools.combinations(options, 3):
+            m = np.array(basis, float).T
+            if abs(np.linalg.det(m)) > 1e-9 and ((x := np.linalg.solve(m, need)) >= -1e-9).all():
+                best = min(best, x.sum())
+        _, x = packing.solve(histogram, 20)
+        assert best - 1e-6 <= x.sum() <= best * (1 + packing.GAP) + 1
 
 
 # --- positive-unlabelled classifier ---
@@ -221,6 +300,38 @@ def test_learns_from_positives_and_unlabelled():
     assert pu_quality.fit(positive[:2], unlabelled) is None
 
 
+def test_marks_and_long_characters_are_classes_of_their_own():
+    kinds = pu_quality._CLASS
+    assert len({int(kinds[ord(c)]) for c in " \n\t.,!?'\"|*$%&#-aA0"}) == 19 and kinds.max() == pu_quality.CLASSES - 1
+    assert not {int(kinds[b]) for b in "äß中".encode()} & {int(kinds[b]) for b in range(128)}
+
+
+def test_prior_is_of_all_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = pu_quality.fit_from(docs, labels)
+    score, rows = pu_quality.histogram(docs, model)
+    texts = [r.text for r in docs.collect()]
+    brute = np.round(np.clip(model.score(pu_quality.features(pa.array(texts))), -100, 100), 2)
+    assert rows.sum() == len(texts) and np.allclose(np.sort(np.repeat(score, rows.astype(int))), np.sort(brute), atol=0.0101)
+    a, b = np.random.default_rng(1).normal(1, 1, 500), np.round(np.random.default_rng(2).normal(0, 1, 5000), 1)
+    values, n = np.unique(b, return_counts=True)
+    assert pu_quality.estimate_prior(a, values, weight=n.astype(float)) == pytest.approx(pu_quality.estimate_prior(a, b))
+
+
+def test_risk_against_its_definition():
+    """The descent lowers the non-negative risk to what a plain search finds, and its gradient is that of finite differences."""
+    rng = np.random.default_rng(4)
+    p, u, prior = rng.normal(1, 1, (80, 2)), rng.normal(-0.2, 1.3, (200, 2)), 0.4
+
+    def risk(v):
+        zp, zu = p @ v[:2] + v[2], u @ v[:2] + v[2]
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+    w, b = pu_quality._descend(p, u, prior, 1500, 0.02, 0.0, True)
+    best = min(risk(np.array([x, y, z])) for x in np.arange(-1, 3.1, 0.25) for y in np.arange(-1, 3.1, 0.25) for z in np.arange(-3, 3.1, 0.25))
+    assert risk(np.append(w, b)) <= best + 0.02
+
+
 def test_held_out_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = pu_quality.fit_from(docs, labels.where("doc_id % 2 = 0"))

@@ -265,3 +265,18 @@ def test_awkward_pages(spark):
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, text string, html string")).collect()
     assert {(r.page_id, r.text) for r in got} == {(1, "a"), (2, None), (3, ""), (None, "b")}
     assert len(got) == 5 and html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_rows_that_never_end():
+    """Cells that span all further rows: ends with the row group, and padding has a bound."""
+    one = "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</table>"
+    assert render(one).split("\n") == ["a  b", "   c", "d  e"]
+    many = "<table>" + "<tr><td rowspan=0>x" * 4000 + "</table>"
+    text = render(many)
+    assert text.count("x") == 4000 and len(text) < 4000 * 1100
+
+
+def test_deep_nesting():
+    for n in (100, 511, 3000):
+        for tag in ("div", "b", "blockquote", "ul><li", "table><tr><td"):
+            assert "deep" in render(f"<{tag}>" * n + "deep")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import classify_queries, count_queries, keyed_queries, tag_queries, text_queries, vector_queries  # noqa: F401
+from .plans import algebra_queries, classify_queries, count_queries, keyed_queries, source_queries, tag_queries, text_queries, vector_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -46,6 +46,44 @@ def approx(a: Column, b: Column, tolerance: float = 1e-8) -> Column:
     return F.coalesce(F.abs(a - b) < tolerance, F.lit(False)) & ~F.isnan(a - b)
 
 
+# --- a logarithm and a plain number, on either side ---
+
+
+def _both(a: Column | float, b: Column | float) -> tuple[Column, Column]:
+    """Columns are logarithms, Python numbers are plain."""
+    return tuple(x if isinstance(x, Column) else to_log(F.lit(float(x))) for x in (a, b))
+
+
+def compare(a: Column | float, b: Column | float) -> Column:
+    """-1, 0 or 1."""
+    x, y = _both(a, b)
+    return F.when(x == y, 0).otherwise(F.when(x < y, -1).otherwise(1))
+
+
+def log_max(a: Column | float, b: Column | float) -> Column:
+    return F.greatest(*_both(a, b))
+
+
+def log_min(a: Column | float, b: Column | float) -> Column:
+    return F.least(*_both(a, b))
+
+
+def plus(a: Column | float, b: Column | float) -> Column:
+    return log_add(*_both(a, b))
+
+
+def minus(a: Column | float, b: Column | float) -> Column:
+    return log_sub(*_both(a, b))
+
+
+def times(a: Column | float, b: Column | float) -> Column:
+    return log_mul(*_both(a, b))
+
+
+def over(a: Column | float, b: Column | float) -> Column:
+    return log_div(*_both(a, b))
+
+
 def log_sum(df: DataFrame, keys: list[str], value: str, out: str = "log_sum") -> DataFrame:
     """log of the summed e^value of each key: a partial maximum, then a partial sum, so that skewed keys stay cheap."""
     top = df.groupBy(*keys).agg(F.max(value).alias("__top"))

@@ -3,10 +3,15 @@ rules; trained ones can take their place."""
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import social_tokenize
 
@@ -18,22 +23,38 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
 
 
-def tag_rules(token: Column) -> Column:
-    """A coarse tag for a token."""
-    low = F.lower(token)
-    return (
-        F.when(low.isin(*"a an her his its my our that the their these this those your".split()), "D")
-        .when(token.rlike(r"^\p{Punct}+$"), ".")
-        .when(low.rlike(r"^\d[\d.,]*$"), "#")
-        .when(low.isin("i", "you", "he", "she", "it", "we", "they", "me", "him", "us", "them"), "R")
-        .when(low.isin("of", "in", "to", "for", "with", "on", "at", "by", "from"), "P")
-        .when(low.isin("and", "or", "but"), "C")
-        .when(low.isin("is", "are", "was", "were", "be", "been", "has", "have", "had", "do", "does", "did", "will", "would", "can", "could"), "V")
-        .when(low.rlike("(ly)$"), "A")
-        .when(low.rlike("(ous|ful|able|ible|ive|al|ic)$"), "J")
-        .when(low.rlike("..(ed|ing|ize|ise)$"), "V")
-        .otherwise("N")
-    )
+_CLASSES = {
+    w: t
+    for t, ws in {
+        "D": "a an her his its my our that the their these this those your", "R": "i you he she it we they me him us them", "P": "of in to for with on at by from", "C": "and or but",
+        "V": "is are was were be been has have had do does did will would can could",
+    }.items()
+    for w in ws.split()
+}
+_ENDINGS = ((("ly",), 0, "A"), (("ous", "ful", "able", "ible", "ive", "al", "ic"), 0, "J"), (("ed", "ing", "ize", "ise"), 2, "V"))
+
+
+def tag_of(token: str) -> str:
+    """A coarse tag for a token: of a closed class, a mark, a number, or by its ending."""
+    low = token.lower()
+    if low in _CLASSES:
+        return _CLASSES[low]
+    if all(c in string.punctuation for c in token):
+        return "."
+    if low[:1].isdecimal() and all(c.isdecimal() or c in ".," for c in low):
+        return "#"
+    return next((t for ends, before, t in _ENDINGS if any(low.endswith(e) and len(low) - len(e) >= before for e in ends)), "N")
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def tag_rules(tokens: pa.Array) -> pa.Array:
+    """The tags of lists of tokens; each distinct token of a batch is judged once."""
+    if isinstance(tokens, pa.ChunkedArray):
+        tokens = tokens.combine_chunks()
+    known = tokens.flatten().dictionary_encode()
+    tags = pa.array([tag_of(w) for w in known.dictionary.to_pylist()], pa.string()).take(known.indices)
+    bounds = pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))]).astype(np.int32))
+    return pa.ListArray.from_arrays(bounds, tags, mask=tokens.is_null())
 
 
 def _runs(tokens: Column, tags: Column, member) -> Column:
@@ -63,5 +84,5 @@ class Pipeline:
     def run(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         """(key, sent, sentence, tokens, tags, chunks, persons), one row for each sentence."""
         d = docs.select(key, F.posexplode(self.sentences(F.col(text))).alias("sent", "sentence")).withColumn("tokens", self.tokens(F.col("sentence")))
-        d = d.withColumn("tags", F.transform("tokens", self.tag))
+        d = d.withColumn("tags", self.tag(F.col("tokens")))
         return d.withColumns({"chunks": self.chunks(F.col("tokens"), F.col("tags")), "persons": self.people(F.col("tokens"), F.col("tags"))})

@@ -200,7 +200,7 @@ def cond_random(top: int, seed: int = 0, then: Callable[[CondCounts], CondCounts
 
     def run(c: CondCounts) -> CondCounts:
         c = then(c)
-        noise = F.pmod(F.xxhash64(F.lit(seed), "cond", "item"), F.lit(top + 1))
+        noise = F.pmod(_digest("cond", "item", seed=seed), F.lit(top + 1))
         return CondCounts(fill(c).select("cond", "item", (F.col("cnt") + noise).alias("cnt")), c.conds)
 
     return run
@@ -251,9 +251,15 @@ def cond_dist(c: CondCounts) -> CondDist:
 # --- sampling ---
 
 
+def _digest(*key: Column | str, seed: int = 0) -> Column:
+    """52 bits of a digest of the seed and the key's parts."""
+    parts = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("\0")) for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 13), 16, 10).cast("long")
+
+
 def uniform01(*key: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) that the seed and the key fix."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)) / float(1 << 52)
+    return _digest(*key, seed=seed) / float(1 << 52)
 
 
 def sample(dist: DataFrame, draws: DataFrame, key: str, seed: int = 0, cond: str | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .counts import CondCounts, CondDist, cond_constrain, cond_dist, passthrough
 from .tagdict import TagDict
+from .tagdict import simple as simple_dict
 
 #: The most cells of emission probabilities that a model may hold on the driver and on each worker.
 MODEL_CELLS = 20_000_000
@@ -125,7 +126,8 @@ class Model:
         return self.emit.get(sym, self.other)
 
     def decode(self, syms: list[str], never_none: bool = True) -> list[str] | None:
-        """The best tags. Ties go to the lowest tag. With never_none=False, None if every path has probability 0."""
+        """The best tags. Ties, which are scores that differ by less than half of 1e-9, go to the lowest tag, so that the order of
+        additions doesn't decide. With never_none=False, None if every path has probability 0."""
         if not len(syms):
             return []
         edge = len(self.tags)
@@ -135,11 +137,11 @@ class Model:
         score = self.trans[edge, opts[0]] + self.emission(syms[0])[opts[0]]
         for i in range(1, len(syms)):
             m = score[:, None] + self.trans[np.ix_(opts[i - 1], opts[i])]
-            best = m.argmax(0)
+            best = m.round(9).argmax(0)
             back.append(best)
             score = m[best, np.arange(m.shape[1])] + self.emission(syms[i])[opts[i]]
         score = score + self.trans[opts[-1], edge]
-        k = int(score.argmax())
+        k = int(score.round(9).argmax())
         if not never_none and np.isneginf(score[k]):
             return None
         path = [k]
@@ -358,6 +360,52 @@ def viterbi(syms: list[str], tags: list[str], score: Callable[[str | None, str |
     return list(best[None][1][:-1])
 
 
+def decode_any(tokens: DataFrame, tags: list[str], score: Callable[[str | None, str | None, str | None, str | None], float], key: str = "seq_id") -> DataFrame:
+    """tokens (key, pos, sym) with the best tags by any edge score; null where a sequence has none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(tags=[viterbi(list(s), tags, score) or [None] * len(s) for s in p["sym"]])
+
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
+    packed = pack(tokens, key).mapInPandas(run, f"{key} {kinds[key]}, pos array<{kinds['pos']}>, sym array<string>, tags array<string>")
+    return packed.select(key, F.explode(F.arrays_zip("pos", "sym", "tags")).alias("t")).select(key, "t.pos", "t.sym", F.col("t.tags").alias("tag"))
+
+
+# --- the simple tagger: one-count smoothing in both tables ---
+
+
+def simple_transitions(tagged: DataFrame, lam: float = 1.0, key: str = "seq_id") -> DataFrame:
+    """(cond, item, p) over tags and the boundary: a tag's counts and, for each item, its share of all tokens, weighed by lam and one
+    for each item that follows the tag once."""
+    cells = transition_counts(tagged, key).cells
+    share = cells.groupBy(F.col("item").alias("i")).agg(F.sum("cnt").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    rows = cells.groupBy(F.col("cond").alias("c")).agg(F.sum("cnt").alias("have"), (F.count_if(F.col("cnt") == 1) + lam).alias("l"))
+    grid = rows.crossJoin(F.broadcast(share)).join(cells, F.col("c").eqNullSafe(F.col("cond")) & F.col("i").eqNullSafe(F.col("item")), "left")
+    return grid.select(F.col("c").alias("cond"), F.col("i").alias("item"), ((F.coalesce("cnt", F.lit(0.0)) + F.col("l") * F.col("share")) / (F.col("have") + F.col("l"))).alias("p"))
+
+
+def simple_emissions(tagged: DataFrame, lam: float = 1.0, key: str = "seq_id") -> tuple[DataFrame, DataFrame]:
+    """(cond, item, p) of the seen pairs, and (cond, default_p) for any other symbol: a tag's counts and the add-one share of each
+    symbol it has, weighed by lam and one for each symbol that it has once. The boundary is a symbol of the shares."""
+    words = tagged.groupBy(F.col("sym").alias("w")).agg((F.count("*") + 1).alias("n"))
+    total = words.agg(F.sum("n").alias("words")).crossJoin(tagged.agg((F.count_distinct(key) + 1).alias("edges"))).select((F.col("words") + F.col("edges") + 1).alias("total"))
+    cells = tagged.groupBy(F.col("tag").alias("cond"), F.col("sym").alias("item")).agg(F.count("*").cast("double").alias("cnt"))
+    ones = cells.groupBy(F.col("cond").alias("c")).agg((F.count_if(F.col("cnt") == 1) + lam).alias("l"))
+    smooth = cells.join(ones, F.col("cond") == F.col("c")).join(words, F.col("item") == F.col("w")).crossJoin(F.broadcast(total))
+    smooth = smooth.select("cond", "item", (F.col("cnt") + F.col("l") * F.col("n") / F.col("total")).alias("x"), (F.col("l") / F.col("total")).alias("other"))
+    sums = smooth.groupBy(F.col("cond").alias("c")).agg((F.sum("x") + lam).alias("all"), F.first("other").alias("other"))
+    cells = smooth.join(sums.select("c", "all"), F.col("cond") == F.col("c")).select("cond", "item", (F.col("x") / F.col("all")).alias("p"))
+    return cells, sums.select(F.col("c").alias("cond"), (F.col("other") / F.col("all")).alias("default_p"))
+
+
+def train_simple(tagged: DataFrame, lam: float = 1.0, key: str = "seq_id") -> Model:
+    """A model with one-count smoothing; a known symbol has the tags that it was seen with, an unknown one all but the boundary."""
+    cells, conds = simple_emissions(tagged, lam, key)
+    nothing = cells.select("item", "p").limit(0)
+    return build(simple_transitions(tagged, lam, key), CondDist(cells, conds, nothing, conds.select("default_p").limit(0)), simple_dict(tagged))
+
+
 # --- other taggers, and the score of any ---
 
 

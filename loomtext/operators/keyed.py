@@ -119,9 +119,23 @@ def history(df: DataFrame, keys: list[str], iteration: str, length: int, lag: in
     return df.withColumn("__rank", rank).where(f"__rank <= {length} AND (__rank - 1) % {lag + 1} = 0").drop("__rank")
 
 
+def _shuffle_key(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """A pseudo-random order that a seed fixes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.orderBy(_shuffle_key(key, seed), key)
+
+
+def shuffled_places(df: DataFrame, key: str, seed: int = 0, digits: int = 3) -> DataFrame:
+    """df with place (from 1) in the order of `shuffled`. Rows are counted by the leading hexadecimal digits of their random key, and
+    ranked within each such bucket, so no task sees all rows."""
+    d = df.withColumn("__k", _shuffle_key(key, seed)).withColumn("__b", F.substring("__k", 1, digits))
+    sizes = d.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__b").alias("__c"), (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
+    ranked = d.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__k", key)))
+    return ranked.join(F.broadcast(before), F.col("__b") == F.col("__c")).withColumn("place", F.col("__r") + F.col("__before")).drop("__k", "__b", "__c", "__r", "__before")
 
 
 def boundaries(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
@@ -154,6 +168,55 @@ def ended(a: Column) -> Column:
     return F.concat(F.array(F.lit(None)), a, F.array(F.lit(None)))
 
 
+def unzip(pairs: Column) -> Column:
+    """An array of structs (a, b) as a struct of arrays."""
+    return F.struct(F.transform(pairs, lambda x: x["a"]).alias("a"), F.transform(pairs, lambda x: x["b"]).alias("b"))
+
+
+def map_keys(m: Column, f: Callable[[Column], Column]) -> Column:
+    """A map with its keys changed; an error if two become equal."""
+    return F.transform_keys(m, lambda k, _: f(k))
+
+
+def map_values(m: Column, f: Callable[[Column], Column]) -> Column:
+    return F.transform_values(m, lambda _, v: f(v))
+
+
+def to_map(df: DataFrame, keys: list[str], name: str, value: str, out: str = "map") -> DataFrame:
+    """The (name, value) rows of each key as a map."""
+    return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias(out))
+
+
+def map_to(a: Column, f: Callable[[Column], Column]) -> Column:
+    """Each item with a function of it, as structs (_1, _2)."""
+    return F.transform(a, lambda x: F.struct(x.alias("_1"), f(x).alias("_2")))
+
+
+def map_to_value(a: Column, value: Column) -> Column:
+    return F.transform(a, lambda x: F.struct(x.alias("_1"), value.alias("_2")))
+
+
+def map_tuples(a: Column, names: list[str], f: Callable[..., Column]) -> Column:
+    """A function of several arguments over an array of structs, whose fields of these names it takes."""
+    return F.transform(a, lambda x: f(*[x[n] for n in names]))
+
+
+def member(x: Column, values: list | None) -> Column:
+    """Whether x is in a set; None is the set of everything."""
+    return F.lit(True) if values is None else x.isin(*values)
+
+
+def memoized(df: DataFrame, column: str, f: Callable[[Column], Column], out: str) -> DataFrame:
+    """df with f of a column, evaluated once for each distinct value; for functions that cost more than a join."""
+    known = df.select(F.col(column).alias("__m")).distinct().withColumn(out, f(F.col("__m")))
+    return df.join(known, F.col(column).eqNullSafe(F.col("__m")), "left").drop("__m")
+
+
+def accumulate(a: Column, start: float, step: Callable[[Column, Column], Column]) -> Column:
+    """What a number becomes that an array's items change in turn."""
+    return F.aggregate(a, F.lit(start), step)
+
+
 def array_split(a: Column, is_delimiter: Callable[[Column], Column]) -> Column:
     """The chunks between delimiters: empty ones at the front and inside stay, those at the end don't."""
     kind = "array<array<string>>"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -102,6 +103,18 @@ def evaluate(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("__g") == F.col("__p")).alias("correct"), F.count("*").alias("total"))
 
 
+def evaluate_all(predicted: dict[str, DataFrame], gold: DataFrame) -> DataFrame:
+    """(name, correct, total, accuracy) of several classifiers."""
+    rows = [evaluate(p, gold).select(F.lit(name).alias("name"), "correct", "total", F.try_divide("correct", "total").alias("accuracy")) for name, p in predicted.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def mistakes(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(doc_id, gold, output) of the documents with a wrong label."""
+    both = gold.select("doc_id", F.col("label").alias("gold")).join(predicted.select("doc_id", F.col("label").alias("output")), "doc_id")
+    return both.where(~F.col("gold").eqNullSafe(F.col("output")))
+
+
 def gibbs(unlabelled: DataFrame, labelled: DataFrame, labels: list[str], burn_in: int = 5, rounds: int = 10, lag: int = 1, pseudo: float = 1.0, seed: int = 0) -> DataFrame:
     """(doc_id, label): the majority label of each unlabelled document over the kept rounds of a Gibbs sampler.
 

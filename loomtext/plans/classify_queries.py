@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import naive_bayes, perceptron
+from ..operators import maxent, naive_bayes, perceptron
 from .keyed_queries import WORDS, tokens
 from .registry import query, table
 
@@ -65,10 +65,83 @@ def nb_generate(spark, sf):
 
 def _instances(spark, sf):
     d = labelled(spark, sf)
-    vocabulary = perceptron.interned(d, "feature").persist()
+    vocabulary = perceptron.interned(d, "feature")
     return perceptron.instances(d, vocabulary, perceptron.interned(d, "label", 0)), vocabulary.count() + 1
 
 
+NUMBERED_SQL = f"{LABELLED_SQL}, v AS (SELECT feature, row_number() OVER (ORDER BY feature) AS f FROM (SELECT DISTINCT feature FROM w)), x AS (SELECT DISTINCT w.doc_id AS id, v.f FROM w JOIN v ON v.feature = w.feature UNION SELECT doc_id, 0 FROM w)"
+
+
+@query(f"WITH {NUMBERED_SQL} SELECT id, k::INTEGER AS class, sum((f * 7 + k * 3) % 11 - 5)::DOUBLE AS score FROM x CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY id, k")
+def perceptron_score(spark, sf):
+    """Scores of three classes under given weights, the intercept's among them."""
+    data, width = _instances(spark, sf)
+    return perceptron.score(data, _weights(spark, width, [0, 1, 2]), 3)
+
+
+@query(f"WITH {NUMBERED_SQL}, s AS (SELECT id, k, sum((f * 7 + k * 3) % 11 - 5) AS s FROM x CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY id, k) SELECT id, k::INTEGER AS class FROM (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY s DESC, k) AS r FROM s) WHERE r = 1")
+def perceptron_classify(spark, sf):
+    data, width = _instances(spark, sf)
+    return perceptron.classify(data, _weights(spark, width, [0, 1, 2]), 3)
+
+
+@query(f"WITH {NUMBERED_SQL} SELECT id, (sum((f * 7 + 3) % 11 - 5) > 0)::INTEGER AS class FROM x GROUP BY id")
+def perceptron_binary_classify(spark, sf):
+    data, width = _instances(spark, sf)
+    return perceptron.classify(data, _weights(spark, width, [1]), 2, binary=True)
+
+
+def _weights(spark, width, classes):
+    f = spark.range(width).select(F.col("id").cast("int").alias("feature"), F.explode(F.array(*[F.lit(k) for k in classes])).alias("class"))
+    return f.select("class", "feature", ((F.col("feature") * 7 + F.col("class") * 3) % 11 - 5).cast("double").alias("weight"))
+
+
+@query()
+def perceptron_kinds(spark, sf):
+    """Every kind of learner, mixed over shards, and how many of its own examples it gets right."""
+    data, width = _instances(spark, sf)
+    out = None
+    for kind in ("binary", "pa", "pa_multi", "pa_shared", "cost_multi", "cost_shared"):
+        w = perceptron.train_mixed(data, 2, width, 8, kind, epochs=3)
+        got = perceptron.classify(data, w, 2, binary=kind in ("binary", "pa")).select(F.col("id").alias("i"), "class")
+        row = data.join(got, F.col("id") == F.col("i")).agg(F.count_if(F.col("label") == F.col("class")).alias("correct"), F.count("*").alias("total")).select(F.lit(kind).alias("kind"), "correct", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT user_id, arg_max(event_id, value) AS event_id, max(value) AS value FROM (SELECT user_id, event_id, value FROM events ORDER BY event_id) GROUP BY user_id")
+def argmax(spark, sf):
+    return perceptron.argmax(table(spark, sf, "events"), ["user_id"], "event_id", "value")
+
+
+@query("SELECT user_id, arg_min(event_id, value) AS event_id, min(value) AS value FROM (SELECT user_id, event_id, value FROM events ORDER BY event_id) GROUP BY user_id")
+def argmin(spark, sf):
+    return perceptron.argmin(table(spark, sf, "events"), ["user_id"], "event_id", "value")
+
+
+@query()
+def maxent_classify(spark, sf):
+    """Logistic regression of quality by words."""
+    d = labelled(spark, sf).groupBy("doc_id", "label").agg(F.collect_set("feature").alias("features"))
+    return maxent.apply(d, maxent.train(d, iterations=20, penalty=0.01)).withColumn("p", F.round("p", 3))
+
+
+@query(f"""WITH {CLASSIFY_SQL}, b AS (SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, label) AS r FROM s) WHERE r = 1), o AS (SELECT 'bayes' AS name, doc_id, label FROM b UNION ALL SELECT 'always 1', doc_id, '1' FROM b)
+SELECT name, count(*) FILTER (o.label = l.quality::VARCHAR) AS correct, count(*) AS total, round(count(*) FILTER (o.label = l.quality::VARCHAR) / count(*), 8) AS accuracy FROM o JOIN labels AS l ON o.doc_id = l.doc_id GROUP BY name""")
+def composite_evaluation(spark, sf):
+    """Several classifiers against the same gold labels."""
+    gold = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    bayes = trained(spark, sf).best(labelled(spark, sf).select("doc_id", "feature"))
+    both = {"bayes": bayes, "always 1": bayes.select("doc_id", F.lit("1").alias("label"))}
+    return naive_bayes.evaluate_all(both, gold).withColumn("accuracy", F.round("accuracy", 8))
+
+
+@query(f"""WITH {CLASSIFY_SQL}, b AS (SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, label) AS r FROM s) WHERE r = 1) SELECT l.doc_id, l.quality::VARCHAR AS gold, b.label AS output FROM b JOIN labels AS l ON b.doc_id = l.doc_id WHERE b.label <> l.quality::VARCHAR""")
+def classifier_mistakes(spark, sf):
+    gold = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return naive_bayes.mistakes(trained(spark, sf).best(labelled(spark, sf).select("doc_id", "feature")), gold)
+
+
 @query()
 def perceptron_train(spark, sf):
     """Binary passive-aggressive learning of quality by mixing, and the classes that it gives."""

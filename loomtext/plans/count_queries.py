@@ -101,7 +101,11 @@ def cond_counts_merge(spark, sf):
     return C.CondCounts.of(n, "cond", "item").merge(idle).cells
 
 
-@query()
+DRAW = lambda seed, *key: f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(key)})), 1, 13))::BIGINT"
+
+
+@query(f"""WITH {NEXT_SQL}, c AS (SELECT cond, item, count(*)::DOUBLE AS cnt FROM nxt WHERE item IS NOT NULL GROUP BY cond, item), g AS (SELECT k.cond, i.item FROM (SELECT DISTINCT cond FROM c) AS k CROSS JOIN (SELECT DISTINCT item FROM c) AS i)
+SELECT g.cond, g.item, coalesce(cnt, 0) + {DRAW(0, "g.cond", "g.item")} % 6 AS cnt FROM g LEFT JOIN c ON g.cond = c.cond AND g.item = c.item""")
 def random_cond_counts(spark, sf):
     return C.cond_random(5)(C.CondCounts.of(next_types(spark, sf), "cond", "item")).cells
 
@@ -158,14 +162,16 @@ def ngram_generate(spark, sf):
     return spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(m.generate(20, 30, 7))], "id int, text string")
 
 
-@query()
+@query(f"""WITH p AS (SELECT event_type AS item, count(*)::DOUBLE / (SELECT count(*) FROM events) AS p FROM events GROUP BY event_type),
+b AS (SELECT item, sum(p) OVER w - p AS lo, sum(p) OVER w AS hi, row_number() OVER (ORDER BY p, item DESC) AS last FROM p WINDOW w AS (ORDER BY p DESC, item ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT event_id, {DRAW(3, "event_id")} / 4503599627370496.0::DOUBLE AS u FROM events) SELECT event_id, item FROM u JOIN b ON u >= lo AND (u < hi OR last = 1)""")
 def sample_multinomial(spark, sf):
     e = table(spark, sf, "events")
     p, _ = C.freq_dist(C.Counts.of(e, "event_type"))
     return C.sample(p, e.select("event_id"), "event_id", 3).select("event_id", "item")
 
 
-@query()
+@query(f"SELECT event_id, CASE WHEN {DRAW(5, 'event_id')} / 4503599627370496.0::DOUBLE < 0.25 THEN 'heads' ELSE 'tails' END AS item FROM events")
 def sample_binomial(spark, sf):
     return C.binomial(table(spark, sf, "events").select("event_id"), "event_id", "heads", "tails", 0.25, 5)
 
@@ -176,6 +182,21 @@ def sample_dirichlet(spark, sf):
     return spark.createDataFrame([(i, k, v) for i, d in enumerate(C.dirichlet(rows, 5, 1)) for k, v in d.items()], "draw int, label string, p double")
 
 
+@query(f"WITH {GRAM_SQL}, p AS (SELECT a, b, c, count(*) / sum(count(*)) OVER (PARTITION BY a, b) AS p FROM g GROUP BY a, b, c), r AS (SELECT g.*, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS i FROM g) SELECT conv_id, turn, round(sum(ln(p)), 6) AS logp FROM r JOIN p USING (a, b, c) WHERE i >= 3 AND c <> '</s>' GROUP BY conv_id, turn")
+def ngram_seq_logprob(spark, sf):
+    """Without boundaries: the n-grams inside a sequence only."""
+    t = turns(spark, sf)
+    return ngram.train(t, 3).score(t, pad=False).select("seq_id.conv_id", "seq_id.turn", F.round("logp", 6).alias("logp"))
+
+
+@query("SELECT unnest(['a', 'b', '(other)']) AS item, unnest([0.0, 0.0, 0.0])::DOUBLE AS p")
+def freq_dist_empty(spark, sf):
+    """A distribution of no counts gives 0 to everything; constraining it to two items leaves these."""
+    none = C.Counts(table(spark, sf, "events").where("false").select(F.col("event_type").alias("item"), F.lit(1.0).alias("cnt")))
+    p, d = C.freq_dist(C.constrain(listed(spark, [("a",), ("b",)], "item string"))(none))
+    return p.unionByName(d.select(F.lit("(other)").alias("item"), F.col("default_p").alias("p")))
+
+
 # --- tag dictionaries ---
 
 

@@ -16,10 +16,10 @@ def tokens(docs):
     return docs.select("*", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("tok"))
 
 
-@query(f"SELECT lang, tok, count(*) AS cnt FROM (SELECT lang, unnest({WORDS}) AS tok FROM documents) GROUP BY lang, tok ORDER BY cnt DESC, lang, tok LIMIT 200")
+@query(f"SELECT lang, tok, count(*) AS cnt FROM (SELECT lang, unnest({WORDS}) AS tok FROM documents) GROUP BY lang, tok")
 def token_counts(spark, sf):
     t = tokens(table(spark, sf, "documents").select("lang", "text"))
-    return keyed.counts(t, "lang", "tok").orderBy(F.desc("cnt"), "lang", "tok").limit(200)
+    return keyed.counts(t, "lang", "tok")
 
 
 @query(f"SELECT lang, tok, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 8) AS share FROM (SELECT lang, unnest({WORDS}) AS tok FROM documents) GROUP BY lang, tok")
@@ -88,18 +88,26 @@ def split_where(spark, sf):
 
 
 @query("""WITH u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) AS asked FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) AS answered FROM conversations WHERE role = 'assistant'),
-same AS (SELECT conv_id FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS x, count(*) FILTER (role = 'assistant') AS y FROM conversations GROUP BY conv_id) WHERE x = y)
-SELECT u.conv_id, u.k::INTEGER AS k, asked::INTEGER AS asked, answered::INTEGER AS answered FROM u JOIN a ON u.conv_id = a.conv_id AND u.k = a.k WHERE u.conv_id IN (SELECT conv_id FROM same)""")
+a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) AS answered FROM conversations WHERE role = 'assistant')
+SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.k, a.k)::INTEGER AS k, asked::INTEGER AS asked, answered::INTEGER AS answered FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.k = a.k""")
 def zip_safe_positional(spark, sf):
+    """Questions and answers side by side; where one side is longer, its rows have nulls (the strict form is an error there)."""
     from pyspark.sql import Window
 
     c = table(spark, sf, "conversations")
-    even = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("x"), F.count_if(F.col("role") == "assistant").alias("y")).where("x = y").select("conv_id")
-    c = c.join(even, "conv_id", "left_semi")
     k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     side = lambda role, name: c.where(F.col("role") == role).select("conv_id", k.alias("k"), F.length("text").alias(name))
-    return keyed.zip_strict(side("user", "asked"), side("assistant", "answered"), ["conv_id"], "k")
+    return keyed.zip_strict(side("user", "asked"), side("assistant", "answered"), ["conv_id"], "k", check=False)
+
+
+@query("""SELECT e.user_id, e.k::INTEGER AS k, e.event_type, e.value FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) AS e""")
+def zip_strict(spark, sf):
+    """Types and values of the same events, zipped strictly."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "events")
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return keyed.zip_strict(e.select("user_id", k.alias("k"), "event_type"), e.select("user_id", k.alias("k"), "value"), ["user_id"], "k")
 
 
 @query("SELECT source, doc_id, running::BIGINT AS running FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 50000")

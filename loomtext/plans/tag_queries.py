@@ -45,7 +45,18 @@ def _smooth(then=C.passthrough):
     return C.cond_add_lambda(1.0, then)
 
 
-@query()
+#: Add-one smoothed tables in logarithms, and the best paths position by position.
+VITERBI_SQL = f"""WITH RECURSIVE {TAGGED_SQL}, tags AS (SELECT DISTINCT tag FROM tagged), e AS (SELECT seq_id, pos, tag FROM tagged UNION ALL SELECT seq_id, -1, '(edge)' FROM tagged GROUP BY seq_id UNION ALL SELECT seq_id, max(pos) + 1, '(edge)' FROM tagged GROUP BY seq_id),
+n AS (SELECT a, b, count(*) AS n FROM (SELECT tag AS a, lead(tag) OVER (PARTITION BY seq_id ORDER BY pos) AS b FROM e) WHERE b IS NOT NULL GROUP BY a, b), ends AS (SELECT tag FROM tags UNION ALL SELECT '(edge)'),
+g AS (SELECT x.tag AS a, y.tag AS b, coalesce(n.n, 0) + 1 AS c FROM ends AS x CROSS JOIN ends AS y LEFT JOIN n ON n.a = x.tag AND n.b = y.tag WHERE x.tag <> '(edge)' OR y.tag <> '(edge)'), tr AS (SELECT a, b, ln(c / (sum(c) OVER (PARTITION BY a) + 1)) AS lp FROM g),
+ec AS (SELECT tag, sym, count(*) AS n FROM tagged GROUP BY tag, sym), em AS (SELECT t.tag, s.sym, ln((coalesce(ec.n, 0) + 1) / (k.n + (SELECT count(DISTINCT sym) FROM tagged) + 1)) AS lp FROM tags AS t CROSS JOIN (SELECT DISTINCT sym FROM tagged) AS s JOIN (SELECT tag, count(*) AS n FROM tagged GROUP BY tag) AS k ON k.tag = t.tag LEFT JOIN ec ON ec.tag = t.tag AND ec.sym = s.sym),
+v AS (SELECT t.seq_id, t.pos, em.tag, tr.lp + em.lp AS score, [em.tag] AS path FROM tagged AS t JOIN em ON em.sym = t.sym JOIN tr ON tr.a = '(edge)' AND tr.b = em.tag WHERE t.pos = 0
+UNION ALL SELECT seq_id, pos, tag, score, list_append(path, tag) FROM (SELECT t.seq_id, t.pos, em.tag, arg_min(v.score + tr.lp, (-round(v.score + tr.lp, 9), v.tag)) + any_value(em.lp) AS score, arg_min(v.path, (-round(v.score + tr.lp, 9), v.tag)) AS path FROM v JOIN tagged AS t ON t.seq_id = v.seq_id AND t.pos = v.pos + 1 JOIN em ON em.sym = t.sym JOIN tr ON tr.a = v.tag AND tr.b = em.tag GROUP BY t.seq_id, t.pos, em.tag)),
+l AS (SELECT seq_id, max(pos) AS pos FROM tagged GROUP BY seq_id), f AS (SELECT v.seq_id, arg_min(v.path, (-round(v.score + tr.lp, 9), v.tag)) AS path FROM v JOIN l ON v.seq_id = l.seq_id AND v.pos = l.pos JOIN tr ON tr.a = v.tag AND tr.b = '(edge)' GROUP BY v.seq_id)
+SELECT t.seq_id, t.pos, t.sym, f.path[t.pos + 1] AS tag FROM tagged AS t JOIN f ON f.seq_id = t.seq_id"""
+
+
+@query(VITERBI_SQL)
 def viterbi_tag(spark, sf):
     t = tagged(spark, sf)
     return hmm.tag(t.select("seq_id", "pos", "sym"), hmm.train_supervised(t, _smooth(), _smooth()))
@@ -117,3 +128,41 @@ def em_semisupervised(spark, sf):
     t = tagged(spark, sf)
     m = hmm.train_type_supervised(t.select("seq_id", "pos", "sym"), tagdict.simple(t), _smooth(), _smooth(), iterations=2, gold=t.where("pos < 10"))
     return hmm.tag(t.select("seq_id", "pos", "sym"), m)
+
+
+@query(f"WITH {TAGGED_SQL}, d AS (SELECT DISTINCT sym, tag FROM tagged WHERE sym IN (SELECT sym FROM tagged GROUP BY sym ORDER BY count(*) DESC, sym LIMIT 20)) SELECT t.seq_id, t.pos, t.sym, d.tag FROM tagged AS t JOIN d ON d.sym = t.sym UNION ALL SELECT t.seq_id, t.pos, t.sym, g.tag FROM tagged AS t CROSS JOIN (SELECT DISTINCT tag FROM tagged) AS g WHERE t.sym NOT IN (SELECT sym FROM d)")
+def tag_options(spark, sf):
+    """Raw tokens with the tags that a dictionary allows them."""
+    t = tagged(spark, sf)
+    return tagdict.top_symbols(t, 20).lookup(t.select("seq_id", "pos", "sym")).select("seq_id", "pos", "sym", "tag")
+
+
+SIMPLE_SQL = f"""WITH {TAGGED_SQL}, e AS (SELECT seq_id, pos, tag FROM tagged UNION ALL SELECT seq_id, -1, '(edge)' FROM tagged GROUP BY seq_id UNION ALL SELECT seq_id, max(pos) + 1, '(edge)' FROM tagged GROUP BY seq_id),
+c AS (SELECT a, b, count(*) AS n FROM (SELECT tag AS a, lead(tag) OVER (PARTITION BY seq_id ORDER BY pos) AS b FROM e) WHERE b IS NOT NULL GROUP BY a, b), u AS (SELECT b, sum(n) / (SELECT sum(n) FROM c) AS share FROM c GROUP BY b), r AS (SELECT a, sum(n) AS have, count(*) FILTER (n = 1) + 2.0 AS l FROM c GROUP BY a)"""
+
+
+@query(f"{SIMPLE_SQL} SELECT r.a AS cond, u.b AS item, round((coalesce(c.n, 0) + r.l * u.share) / (r.have + r.l), 8)::DOUBLE AS p FROM r CROSS JOIN u LEFT JOIN c ON c.a = r.a AND c.b = u.b")
+def hmm_simple_transitions(spark, sf):
+    return named(hmm.simple_transitions(tagged(spark, sf), 2.0), "p").withColumn("p", F.round("p", 8))
+
+
+@query(f"""WITH {TAGGED_SQL}, w AS (SELECT sym, count(*) + 1 AS n FROM tagged GROUP BY sym), t AS (SELECT (SELECT sum(n) FROM w) + (SELECT count(DISTINCT seq_id) FROM tagged) + 2 AS total), c AS (SELECT tag, sym, count(*) AS n FROM tagged GROUP BY tag, sym), o AS (SELECT tag, count(*) FILTER (n = 1) + 2.0 AS l FROM c GROUP BY tag),
+x AS (SELECT c.tag, c.sym, c.n + o.l * w.n / t.total AS x, o.l / t.total AS other FROM c JOIN o ON c.tag = o.tag JOIN w ON w.sym = c.sym CROSS JOIN t), s AS (SELECT tag, sum(x) + 2.0 AS s, any_value(other) AS other FROM x GROUP BY tag)
+SELECT x.tag AS cond, x.sym AS item, round(x / s.s, 8)::DOUBLE AS p FROM x JOIN s ON x.tag = s.tag UNION ALL SELECT tag, '(other)', round(other / s, 8)::DOUBLE FROM s""")
+def hmm_simple_emissions(spark, sf):
+    cells, other = hmm.simple_emissions(tagged(spark, sf), 2.0)
+    both = cells.unionByName(other.select("cond", F.lit("(other)").alias("item"), F.col("default_p").alias("p")))
+    return both.withColumn("p", F.round("p", 8))
+
+
+@query()
+def hmm_simple_tag(spark, sf):
+    t = tagged(spark, sf)
+    return hmm.tag(t.select("seq_id", "pos", "sym"), hmm.train_simple(t, 2.0))
+
+
+@query(f"WITH {TAGGED_SQL} SELECT seq_id, pos, sym, CASE WHEN length(sym) = 2 THEN 'short' ELSE 'long' END AS tag FROM tagged")
+def viterbi_any_score(spark, sf):
+    """A score that names the length of a symbol, and none for moves."""
+    t = tagged(spark, sf).select("seq_id", "pos", "sym")
+    return hmm.decode_any(t, ["long", "short"], lambda before, a, sym, b: 0.0 if sym is None else float((len(sym) == 2) == (b == "short")))

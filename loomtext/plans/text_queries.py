@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import annotate, ccg, trees
+from ..operators import annotate, ccg
 from ..sources import corpora
 from .keyed_queries import WORDS, tokens
 from .registry import query, table
@@ -28,12 +28,12 @@ def twokenize(spark, sf):
 
 @query()
 def treebank_tokenize(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.reference_tokenize(F.col("text")).alias("tokens"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.treebank_tokenize(F.col("text")).alias("tokens"))
 
 
 @query()
 def porter_stem(spark, sf):
-    t = tokens(table(spark, sf, "documents").where("lang = 'en'").select("text")).groupBy("tok").agg(F.count("*").alias("cnt"))
+    t = tokens(table(spark, sf, "documents").select("text")).groupBy("tok").agg(F.count("*").alias("cnt"))
     return X.with_stems(t, "tok").groupBy("stem").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -75,7 +75,7 @@ def json_roundtrip(spark, sf):
 
 
 @query("SELECT p_partkey, p_name AS name FROM part")
-def html_text(spark, sf):
+def xml_names(spark, sf):
     """Texts of the elements of a name in XML that is made from the part names."""
     safe = F.replace(F.col("p_name"), F.lit("&"), F.lit("&amp;"))
     xml = F.concat(F.lit("<r><o>x</o><name>"), safe, F.lit("</name></r>"))
@@ -92,13 +92,6 @@ def tweet_coordinates(spark, sf):
     return t.where("size(geo.coordinates) = 2").select("event_id", F.col("geo.coordinates")[0].alias("latitude"), F.col("geo.coordinates")[1].alias("longitude"))
 
 
-@query()
-def tree_parse(spark, sf):
-    d = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), trees.token_line_tree(F.concat(F.regexp_replace("text", r"[.]\s*", " . <EOS> "))).alias("tree"))
-    t = trees.parse_trees(d, "id", "tree")
-    return t.select("id", "n_warn", "n_err", F.size(trees.tokens(F.col("nodes"))).alias("n_tokens"), "canonical")
-
-
 @query()
 def ccg_parse(spark, sf):
     """A small grammar over sentences that are made from the nations: each picks its words by number."""
@@ -110,11 +103,15 @@ def ccg_parse(spark, sf):
 
 @query()
 def english_pipeline(spark, sf):
-    d = annotate.Pipeline().run(table(spark, sf, "documents").where("lang = 'en'"), "doc_id")
+    d = annotate.Pipeline().run(table(spark, sf, "documents"), "doc_id")
     return d.select("doc_id", "sent", F.size("tokens").alias("n_tokens"), F.array_join("tags", " ").alias("tags"), F.size("chunks").alias("n_chunks"), F.size("persons").alias("n_persons"))
 
 
-@query()
+_CLUSTER_DRAW = lambda k: f"('0x' || substr(md5('4:{k}:' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""WITH i AS (SELECT range AS id FROM range((SELECT count(*) FROM embeddings))), d AS (SELECT id, (id % 3)::INTEGER AS gold, sqrt(-2 * ln(1 - {_CLUSTER_DRAW(0)})) AS r, {_CLUSTER_DRAW(1)} * 2 * pi() AS a FROM i)
+SELECT id, gold, round([-1, 6, -2][gold + 1] + r * cos(a), 6) AS x, round([-1, 4, 8][gold + 1] + r * sin(a), 6) AS y FROM d""")
 def generated_clusters(spark, sf):
     n = table(spark, sf, "embeddings").count()
-    return corpora.generated_clusters(spark, n, seed=4).select("id", "gold", F.col("coord")[0].alias("x"), F.col("coord")[1].alias("y"))
+    return corpora.generated_clusters(spark, n, seed=4).select("id", "gold", F.round(F.col("coord")[0], 6).alias("x"), F.round(F.col("coord")[1], 6).alias("y"))

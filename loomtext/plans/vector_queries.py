@@ -90,6 +90,33 @@ def kmeans_update(spark, sf):
     return a.groupBy("cluster", "dim").agg((F.round(F.avg("x"), 5) + 0.0).alias("mean"))
 
 
+def _lloyd_sql(steps: int) -> str:
+    """Assignments after a number of steps from the first centres."""
+    out = f"WITH {CENTRES_SQL}, c0 AS (SELECT k, e::DOUBLE[] AS e FROM c)"
+    for i in range(steps + 1):
+        out += f", a{i} AS (SELECT * FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS x, k AS cluster, list_distance(embedding::DOUBLE[], e) AS d, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding::DOUBLE[], e), k) AS r FROM embeddings CROSS JOIN c{i}) WHERE r = 1)"
+        out += f", m{i} AS (SELECT cluster AS k, dim, avg(v) AS v FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM a{i}) GROUP BY cluster, dim), c{i + 1} AS (SELECT (row_number() OVER (ORDER BY k) - 1)::INTEGER AS k, list(v ORDER BY dim) AS e FROM m{i} GROUP BY k)"
+    return out + f" SELECT id, cluster, round((SELECT sum(d * d) FROM a{steps}), 4) AS dispersion FROM a{steps}"
+
+
+@query(_lloyd_sql(3))
+def kmeans_moves(spark, sf):
+    """Three moves of the centroids from given starts."""
+    import numpy as np
+
+    p = points(spark, sf)
+    now = np.array(first_centroids(p))
+    for _ in range(3):
+        now = cluster.lloyd_step(p, [now])[0][1]
+    a = cluster.assign(p, now.tolist())
+    return a.select("id", "cluster", F.round(F.lit(cluster.dispersion(a)), 4).alias("dispersion"))
+
+
+@query("SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def identity_points(spark, sf):
+    return cluster.transform("ident", points(spark, sf)).select("id", F.round(F.col("coord")[0], 6).alias("first"))
+
+
 @query()
 def kmeans_run(spark, sf):
     p = points(spark, sf)

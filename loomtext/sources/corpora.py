@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import subprocess
@@ -175,7 +176,11 @@ def split_thirds(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
 
 
 def generated_clusters(spark: SparkSession, n: int, means: list[tuple[float, float]] = ((-1, -1), (6, 4), (-2, 8)), sd: tuple[float, float] = (1.0, 1.0), seed: int = 0) -> DataFrame:
-    """(id, gold, coord): normal samples round the means in turn."""
+    """(id, gold, coord): normal samples round the means in turn, which the seed and the id fix (Box-Muller)."""
+    from ..operators.counts import uniform01
+
     at = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in means]), (F.col("id") % len(means)).cast("int"))
-    noise = lambda k: F.randn(seed + k) * sd[k]
-    return spark.range(n).select("id", (F.col("id") % len(means)).cast("int").alias("gold"), F.array(at[0] + noise(0), at[1] + noise(1)).alias("coord"))
+    draw = lambda k: uniform01(F.lit(k), "id", seed=seed)
+    radius, angle = F.sqrt(-2 * F.log(1 - draw(0))), draw(1) * (2 * math.pi)
+    noise = (F.cos(angle) * radius * sd[0], F.sin(angle) * radius * sd[1])
+    return spark.range(n).select("id", (F.col("id") % len(means)).cast("int").alias("gold"), F.array(at[0] + noise[0], at[1] + noise[1]).alias("coord"))

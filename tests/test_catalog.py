@@ -25,7 +25,7 @@ def test_runs(spark, name):
 
 
 def test_native_plans_have_no_python(spark):
-    for name in ("token_counts", "relative_freq", "sliding_pairs", "eisner_cond", "nb_classify", "kmeans_assign", "twokenize", "treebank_tokenize"):
+    for name in ("token_counts", "relative_freq", "sliding_pairs", "eisner_cond", "nb_classify", "kmeans_assign", "twokenize"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
 

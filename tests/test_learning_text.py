@@ -135,32 +135,34 @@ def test_tokenizers(spark):
     assert social("mail me@example.org (@you)") == ["mail", "me@example.org", "(", "@you", ")"]
     assert social("") == [] and one(spark, X.social_tokenize(F.lit(None).cast("string"))) is None
     assert one(spark, X.normalize_entities(F.lit("a &lt; b &amp;gt;"))) == "a < b &gt;"
-    bank = lambda s, lang="eng": one(spark, X.treebank_tokenize(F.lit(s), lang))
-    assert bank("He can't say \"no\", Mr. Smith.") == "He ca n't say `` no '' , Mr. Smith ."
-    assert bank("We're done!") == "We 're done !"
+    assert social("\"So,\" she said: see www.b.org/c (or b.org), :-( at U.S. Mr. X's e-mail -- 1,000 AT&T &amp; ♫♫ ok?!") == [
+        '"', "So", ",", '"', "she", "said", ":", "see", "www.b.org/c", "(", "or", "b.org", ")", ",", ":-(", "at", "U.S.", "Mr.", "X's", "e-mail", "--", "1,000", "AT&T", "&amp;", "♫♫", "ok", "?!"
+    ]
+    assert social("x -> y <- z => v1.5 note:please (: D: >> a*b*") == ["x", "->", "y", "<-", "z", "=>", "v", "1.5", "note", ":", "please", "(:", "D:", ">>", "a", "*", "b", "*"]
+    assert one(spark, X.social_tokenize_to_string(F.lit("a &lt;3 b"))) == "a <3 b" and one(spark, X.count_family(F.lit("#a #b c"), "hashtag")) == 2
     assert one(spark, X.rtrim(F.lit(" this  and that  \n"))) == " this  and that"
-    with pytest.raises(ValueError):
-        X.treebank_tokenize(F.lit("x"), "xyz")
     assert one(spark, X.parse_int(F.lit("-12"))) == -12 and one(spark, X.parse_int(F.lit("1.5"))) is None and one(spark, X.parse_double(F.lit("1.5"))) == 1.5
 
 
-REWRITES = {
-    "He won't go (now) .": "He will n't go -LRB- now -RRB- .",
-    "a well-known fact ": "a well @-@ known fact ",
-    "caf&eacute; 1,000 &#8217; &bogus; ": "café 1,000 ’ &bogus; ",
-    "it costs 5kg ": "it costs 5 kg ",
-    "Is it so? Yes": "Is it so ? Yes",
-}
+TREEBANK = {
+    "eng": {
+        "He can't say \"no\", Mr. Smith.": "He can n't say \"@ no @\" , Mr. Smith .",
+        "He won't go (now).": "He will n't go -LRB- now -RRB- .", "a well-known fact": "a well @-@ known fact", "We're done!": "We 're done !",
+        "caf&eacute; 1,000.50 &#8217;": "café 1,000.50 ’", "it costs 5kg, 5%": "it costs 5 kg , 5 %", "Is it so?! Yes...": "Is it so ?! Yes ...",
+        "5-10 and/or 12:30": "5 @-@ 10 and @/@ or 12 @:@ 30", "Cannot AIN'T I'm": "Can not IS N'T I 'm", "See http://a.com/x?y=1.": "See http://a.com/x?y=1 .",
+        "J. Smith of the U.S. left.": "J. Smith of the U.S. left .", "": "",
+    },
+    "fra": {"l'homme d'accord, aujourd'hui": "l' homme d' accord , aujourd'hui"}, "kin": {"n'umwana": "n' umwana"}, "mlg": {"an'ny": "an' ny"},
+}
 
 
-def test_rewrites_of_the_reference(spark):
-    bank = lambda s, lang="eng": one(spark, X.reference_tokenize(F.lit(s), lang))
-    for text, tokens in REWRITES.items():
-        assert " ".join(bank(text).split()) == " ".join(tokens.split())
-    assert bank("I ain't sure").split() == ["I", "is", "n't", "sure"] and bank("x-y-z w") == "x-y-z w"
-    assert bank("n'umwana", "kin") == "n' umwana" and bank(None) is None
+def test_treebank_tokens(spark):
+    for lang, cases in TREEBANK.items():
+        for text, tokens in cases.items():
+            assert one(spark, X.treebank_tokenize(F.lit(text), lang)) == tokens
+    assert one(spark, X.treebank_tokenize(F.lit(None).cast("string"))) is None
     with pytest.raises(ValueError):
-        X.reference_tokenize(F.lit("x"), "xyz")
+        X.treebank_tokenize(F.lit("x"), "xyz")
 
 
 def test_trees(spark):

@@ -17,12 +17,12 @@ _LINK_END = rf"[^\s<>{_STOP}{_QUOTE}]"
 _CLOSED = r"(?![\p{L}\p{N}])"
 _NUMBER = {"time": r"\d+:\d+", "grouped": r"\d+(?:,\d{3})+(?!\d)(?:\.\d+)?", "decimal": r"\d+\.\d+"}
 _NO_NUMBER = "(?!" + "|".join(_NUMBER.values()) + ")"
-_CHARACTER = rf"{_NO_NUMBER}(?:[^\s{_QUOTE}{_STOP}<>&♫―-]|-(?!-)|&(?!(?:quot|amp|gt|lt);))"
+_RUN = rf"(?:[^\s\d{_QUOTE}{_STOP}<>&♫―-]++|{_NO_NUMBER}\d|-(?!-)|&(?!(?:quot|amp|gt|lt);))++"
 
 #: In the order in which they are tried.
 FAMILIES = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "url": rf"(?:https?://|www\.)(?:[^\s<>]*{_LINK_END})?|(?:[\p{{L}}\p{{N}}-]+\.)+(?:com|org|net|edu|gov|info|io|ly|mp|co\.uk|uk|ca){_CLOSED}(?:/[^\s<>]*{_LINK_END}|/)?",
+    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)++",
+    "url": rf"(?:https?://|www\.)(?:[^\s<>]*{_LINK_END})?|(?:[\p{{L}}\p{{N}}-]++\.){{1,8}}(?:com|org|net|edu|gov|info|io|ly|mp|co\.uk|uk|ca){_CLOSED}(?:/[^\s<>]*{_LINK_END}|/)?",
     "heart": rf"{_LEFT}+/?3+",
     "emoticon": rf"[:;=]['o^-]?(?:[()\[\]|*/\\]+|[dDpPoO3]+{_CLOSED})|(?<![^\s])[()\[\]dD]+['o^-]?[:;=](?=\s|$)",
     "arrow": rf"[-=]+{_RIGHT}+|{_LEFT}+[-=]*{_RIGHT}*|{_RIGHT}+",
@@ -30,16 +30,17 @@ FAMILIES = {
     "hashtag": r"#[\p{L}\p{N}_]+",
     "mention": r"@[\p{L}\p{N}_]+",
     **_NUMBER,
-    "abbreviation": r"(?<![\p{L}\p{N}])(?:(?:\p{L}\.){2,}|(?i:mrs?|ms|dr|st|sen|rep|[sj]r)\.)",
+    "abbreviation": r"(?<![\p{L}\p{N}])(?:(?:\p{L}\.){2,}+|(?i:mrs?|ms|dr|st|sen|rep|[sj]r)\.)",
     "separator": "-{2,}|―",
     "decoration": "♫+",
-    "apostrophe": rf"(?:{_CHARACTER})+(?:['’](?:{_CHARACTER})+)+",
-    "word": rf"(?:{_CHARACTER})+",
+    "word": rf"{_RUN}(?:['’]{_RUN})*+",
     "quotes": f"[{_QUOTE}]+",
     "marks": f"[{_STOP}]+",
     "rest": r"\S",
 }
-TOKEN = "|".join(f"(?:{x})" for x in FAMILIES.values())
+#: Letters between blanks, which are most tokens, need no look at the families.
+TOKEN = r"\p{L}++(?=\s|$)|" + "|".join(f"(?:{x})" for x in FAMILIES.values())
+FAMILIES["apostrophe"] = rf"{_RUN}(?:['’]{_RUN})++"
 
 
 def social_tokenize(s: Column) -> Column:

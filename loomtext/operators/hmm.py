@@ -175,9 +175,10 @@ class Model:
 def build(transitions: CondDist | DataFrame, emissions: CondDist, d: TagDict | None = None) -> Model:
     """The model on the driver. d: the dictionary that constrains decoding; without it every tag is legal everywhere."""
     trans_cells = transitions if isinstance(transitions, DataFrame) else transitions.cells
-    cells = emissions.cells.where("cond IS NOT NULL AND item IS NOT NULL AND p > 0").limit(MODEL_CELLS + 1).collect()
-    if len(cells) > MODEL_CELLS:
-        raise ValueError(f"the model has more than MODEL_CELLS = {MODEL_CELLS} emission cells")
+    kept = emissions.cells.where("cond IS NOT NULL AND item IS NOT NULL AND p > 0")
+    if (n := kept.count()) > MODEL_CELLS:
+        raise ValueError(f"the model has {n} emission cells, more than MODEL_CELLS = {MODEL_CELLS}")
+    cells = kept.collect()
     moves = trans_cells.collect()
     tags = sorted({r.cond for r in moves if r.cond is not None} | {r.item for r in moves if r.item is not None} | {r.cond for r in cells})
     at = {t: i for i, t in enumerate(tags)} | {EDGE: len(tags)}
@@ -301,9 +302,9 @@ def estimate(tokens: DataFrame, model: Model, iterations: int = 20, least_change
     priors = [(k, r.cond, r.item, r.cnt) for k, c in (("t", prior_transitions), ("e", prior_emissions)) if c is not None for r in c.cells.collect()]
     before = float("-inf")
     for i in range(iterations):
-        rows = [tuple(r) for r in expectation(tokens, model, key).collect()]
+        rows = [tuple(r) for r in expectation(tokens, model, key).limit(MODEL_CELLS + 1).collect()]
         if len(rows) > MODEL_CELLS:
-            raise ValueError(f"the model has {len(rows)} cells, more than MODEL_CELLS = {MODEL_CELLS}")
+            raise ValueError(f"the model has more cells than MODEL_CELLS = {MODEL_CELLS}")
         totals = {r[0]: r[3] for r in rows if r[0] in "ln"}
         mean = totals.get("l", 0.0) / max(totals.get("n", 0.0), 1.0)
         model = maximise(model, rows + priors)

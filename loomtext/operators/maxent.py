@@ -21,7 +21,7 @@ def train(instances: DataFrame, iterations: int = 100, penalty: float = 0.0, voc
     words = CountVectorizer(inputCol="features", outputCol="__x", binary=True, vocabSize=vocabulary)
     fit = LogisticRegression(featuresCol="__x", labelCol="__label", predictionCol="__k", probabilityCol="__p", rawPredictionCol="__raw", family="multinomial", maxIter=iterations, regParam=penalty)
     names = IndexToString(inputCol="__k", outputCol="output", labels=labels.labels)
-    return Pipeline(stages=[labels.setHandleInvalid("keep"), words, fit, names]).fit(instances)
+    return Pipeline(stages=[labels, words, fit, names]).fit(instances)
 
 
 def apply(instances: DataFrame, model: PipelineModel) -> DataFrame:

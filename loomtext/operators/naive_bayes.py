@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logprob import ZERO, to_log
 from .counts import CondCounts, Counts, cond_add_lambda, cond_dist, freq_dist, passthrough, sample
+from .stored import once
 
 
 @dataclass
@@ -28,7 +29,7 @@ class Trainer:
     @classmethod
     def of(cls, docs: DataFrame) -> Trainer:
         labels = docs.select("doc_id", "label").distinct().groupBy("label").agg(F.count("*").cast("double").alias("cnt"))
-        return cls(labels, docs.groupBy("label", "feature").agg(F.count("*").cast("double").alias("cnt")))
+        return cls(labels, once(docs.groupBy("label", "feature").agg(F.count("*").cast("double").alias("cnt"))))
 
     def add(self, more: Trainer) -> Trainer:
         both = lambda a, b, *k: a.unionByName(b).groupBy(*k).agg(F.sum("cnt").alias("cnt"))

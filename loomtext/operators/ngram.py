@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logprob import to_log
 from .counts import CondCounts, CondDist, cond_dist, passthrough
+from .stored import once
 
 
 def ngrams(seqs: DataFrame, n: int, pad: bool = True, key: str = "seq_id") -> DataFrame:
@@ -67,7 +68,8 @@ class Model:
 
 
 def train(seqs: DataFrame, n: int, smooth=passthrough, key: str = "seq_id") -> Model:
-    c = smooth(CondCounts.of(ngrams(seqs, n, True, key), "cond", "item"))
+    """Counts once, and smooths and divides these counts."""
+    c = smooth(CondCounts.plain(once(CondCounts.of(ngrams(seqs, n, True, key), "cond", "item").cells)))
     return Model(n, c, cond_dist(c))
 
 

@@ -16,13 +16,22 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """(path, line_no, value): the lines of each file with their places. A file is read whole by one task, as its order is
-    what counts; folders are read recursively."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.decode(F.col("content"), encoding or "UTF-8")
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    kept = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    return files.select("path", F.posexplode(kept).alias("line_no", "value"))
+    """(path, line_no, value): the lines of each file with their places, from 0; folders are read recursively.
+
+    Files are read in blocks by many tasks; a line's number is its place in its block and the lines of the blocks before. Only with
+    an encoding other than UTF-8 is a file read whole by one task, and then it must be below 2 GB."""
+    if encoding and encoding.upper().replace("-", "") != "UTF8":
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        lines = F.split(F.regexp_replace(F.decode(F.col("content"), encoding), r"\r\n?", "\n"), "\n")
+        kept = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+        return files.select("path", F.posexplode(kept).alias("line_no", "value"))
+    place = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    d = spark.read.option("recursiveFileLookup", "true").text(path).select(place.alias("path"), F.col("_metadata.file_block_start").alias("__block"), "value", F.monotonically_increasing_id().alias("__at"))
+    sizes = d.groupBy(F.col("path").alias("__path"), F.col("__block").alias("__b")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("__path").orderBy("__b")) - F.col("__n"))
+    ranked = d.withColumn("__r", F.row_number().over(Window.partitionBy("path", "__block").orderBy("__at")) - 1)
+    both = ranked.join(before, (F.col("path") == F.col("__path")) & (F.col("__block") == F.col("__b")))
+    return both.select("path", (F.col("__before") + F.col("__r")).cast("int").alias("line_no"), "value")
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as X
 from loomtext.functions import vectors
 from loomtext.functions.porter import stem
-from loomtext.operators import annotate, ccg, cluster, naive_bayes, perceptron, trees
+from loomtext.operators import annotate, ccg, cluster, hmm, maxent, naive_bayes, perceptron, trees
 from loomtext.sources import corpora
 from loomtext.streaming import counters
 
@@ -121,6 +121,58 @@ def test_vectors(spark):
 STEMS = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopefulness": "hope", "electrical": "electr", "revival": "reviv", "adjustable": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll", "is": "is", "generalizations": "gener", "oscillators": "oscil"}
 
 
+def test_lines_of_many_blocks(spark, tmp_path):
+    """Numbers of lines don't depend on how a file is cut."""
+    want = [f"line {i} " + "x" * (i % 50) for i in range(20_000)] + ["", "  last "]
+    for name, text in (("a.txt", "\n".join(want) + "\n"), ("b.txt", "\r\n".join(want)), ("c.txt", "")):
+        (tmp_path / name).write_text(text, newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("50000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = corpora.read_lines(spark, str(tmp_path)).withColumn("name", corpora.base_name(F.col("path"))).collect()
+            for name in ("a.txt", "b.txt"):
+                assert [r.value for r in sorted((r for r in got if r.name == name), key=lambda r: r.line_no)] == want
+            assert len(got) == 2 * len(want) and {r.line_no for r in got} == set(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_values_are_numbered_in_order(spark):
+    words = sorted({f"{a}{i}" for a in ("", "a", "ab", "abc", "é", "z") for i in range(40)} | {""})
+    got = perceptron.interned(spark.createDataFrame([(w,) for w in words * 2], "w string"), "w").collect()
+    assert {r.value: r.number for r in got} == {w: i for i, w in enumerate(sorted(words, key=str.encode), 1)}
+
+
+def test_logistic_regression(spark):
+    rows = [(i, ["x", "y", "z"][i % 3], [f"f{i % 3}", f"n{i % 7}"]) for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, label string, features array<string>")
+    out = {r.doc_id: r.output for r in maxent.apply(d.drop("label"), maxent.train(d, iterations=30)).collect()}
+    assert out == {i: k for i, k, _ in rows}
+    unknown = spark.createDataFrame([(1, ["never"]), (2, [])], "doc_id long, features array<string>")
+    assert all(r.output in "xyz" for r in maxent.apply(unknown, maxent.train(d, iterations=5)).collect())
+
+
+def test_simple_tagger_against_loops(spark):
+    import math
+    from collections import Counter
+
+    sents = [[("a", "D"), ("b", "N"), ("c", "V")], [("b", "N"), ("c", "V")], [("a", "D"), ("b", "N")], [("d", "N")]]
+    t = spark.createDataFrame([(i, j, w, k) for i, s in enumerate(sents) for j, (w, k) in enumerate(s)], "seq_id long, pos long, sym string, tag string")
+    pairs, tags, n = Counter(), Counter(), 0
+    for s in sents:
+        line = [None, *(k for _, k in s), None]
+        pairs.update(zip(line, line[1:]))
+        tags.update(line[1:])
+    n, lam = sum(tags.values()), 0.5
+    for r in hmm.simple_transitions(t, lam).collect():
+        row = {b: c for (a, b), c in pairs.items() if a == r.cond}
+        weight = lam + sum(c == 1 for c in row.values())
+        assert math.isclose(r.p, (row.get(r.item, 0) + weight * tags[r.item] / n) / (sum(row.values()) + weight))
+    tagged = {r.sym: r.tag for r in hmm.tag(t.select("seq_id", "pos", "sym"), hmm.train_simple(t, lam)).collect()}
+    assert tagged == {"a": "D", "b": "N", "c": "V", "d": "N"}
+
+
 def test_stems(spark):
     assert {w: stem(w) for w in STEMS} == STEMS and stem(None) is None and stem("") == ""
     d = spark.createDataFrame([("running",), ("running",), (None,)], "w string")
@@ -139,6 +191,8 @@ def test_tokenizers(spark):
         '"', "So", ",", '"', "she", "said", ":", "see", "www.b.org/c", "(", "or", "b.org", ")", ",", ":-(", "at", "U.S.", "Mr.", "X's", "e-mail", "--", "1,000", "AT&T", "&amp;", "♫♫", "ok", "?!"
     ]
     assert social("x -> y <- z => v1.5 note:please (: D: >> a*b*") == ["x", "->", "y", "<-", "z", "=>", "v", "1.5", "note", ":", "please", "(:", "D:", ">>", "a", "*", "b", "*"]
+    for long in ("1a'" * 100_000, "a." * 100_000, "a@b." * 100_000, "<-" * 100_000, "é" * 300_000, "12:3" * 50_000):
+        assert "".join(social(long)) == long
     assert one(spark, X.social_tokenize_to_string(F.lit("a &lt;3 b"))) == "a <3 b" and one(spark, X.count_family(F.lit("#a #b c"), "hashtag")) == 2
     assert one(spark, X.rtrim(F.lit(" this  and that  \n"))) == " this  and that"
     assert one(spark, X.parse_int(F.lit("-12"))) == -12 and one(spark, X.parse_int(F.lit("1.5"))) is None and one(spark, X.parse_double(F.lit("1.5"))) == 1.5

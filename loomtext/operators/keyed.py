@@ -217,18 +217,24 @@ def accumulate(a: Column, start: float, step: Callable[[Column, Column], Column]
     return F.aggregate(a, F.lit(start), step)
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once, though f uses it in lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def array_split(a: Column, is_delimiter: Callable[[Column], Column]) -> Column:
     """The chunks between delimiters: empty ones at the front and inside stay, those at the end don't."""
-    kind = "array<array<string>>"
-    start = F.array(F.array().cast("array<string>")).cast(kind)
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        return F.when(is_delimiter(x), F.concat(acc, start)).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.array(x.cast("string"))))))
+    def split(v: Column) -> Column:
+        marked = F.transform(v, lambda x, i: F.when(is_delimiter(x), i + 1))
+        cuts = F.concat(F.array(F.lit(0)), F.filter(marked, lambda i: i.isNotNull()), F.array(F.size(v) + 1))
+        return _let(cuts, lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c) - 1), lambda i, j: F.when(j.isNotNull(), F.slice(v, i + 1, j - i - 1))))
+
+    def trimmed(c: Column) -> Column:
+        full = F.filter(F.transform(c, lambda x, i: F.when(F.size(x) > 0, i + 1)), lambda i: i.isNotNull())
+        return F.slice(c, F.lit(1), F.coalesce(F.array_max(full), F.lit(0)))
 
-    chunks = F.aggregate(a, start, step)
-    full = F.filter(F.sequence(F.lit(1), F.size(chunks)), lambda i: F.size(F.element_at(chunks, i)) > 0)
-    return F.slice(chunks, F.lit(1), F.coalesce(F.array_max(full), F.lit(0)))
+    return F.when(a.isNotNull(), _let(_let(a, split), trimmed))
 
 
 def array_drop_right_while(a: Column, condition: Callable[[Column], Column]) -> Column:

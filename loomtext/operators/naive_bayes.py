@@ -87,7 +87,7 @@ class Model:
     def generate(self, spark, n_docs: int, n_features: int, seed: int = 0) -> DataFrame:
         """(doc_id, label, pos, feature): sampled labels, and for each n_features sampled features."""
         docs = sample(self.prior.select(F.col("label").alias("item"), F.col("prior").alias("p")), spark.range(n_docs).select(F.col("id").alias("doc_id")), "doc_id", seed)
-        draws = docs.select("doc_id", F.col("item").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("pos")).withColumn("__key", F.xxhash64("doc_id", "pos"))
+        draws = docs.select("doc_id", F.col("item").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("pos")).withColumn("__key", F.concat_ws("-", "doc_id", "pos"))
         cells = self.likelihood().select(F.col("label").alias("cond"), F.col("feature").alias("item"), "p")
         got = sample(cells, draws.withColumnRenamed("label", "cond"), "__key", seed + 1, "cond")
         return got.select("doc_id", F.col("cond").alias("label"), "pos", F.col("item").alias("feature"))

@@ -58,7 +58,15 @@ def nb_incremental(spark, sf):
     return parts[0].add(parts[1]).features
 
 
-@query()
+_UNIT = lambda seed, key: f"('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""WITH {MODEL_SQL}, pc AS (SELECT label, sum(prior) OVER w AS hi, row_number() OVER (ORDER BY prior, label DESC) AS last FROM pr WINDOW w AS (ORDER BY prior DESC, label ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT range AS doc_id, {_UNIT(3, "range")} AS u FROM range(50)), dl AS (SELECT doc_id, arg_min(label, hi) AS label FROM d JOIN pc ON u < hi OR last = 1 GROUP BY doc_id),
+g AS (SELECT l.label, f.feature, (coalesce(c.n, 0) + 1) / (t.n + v.v + 1) AS p FROM (SELECT label FROM pr) AS l CROSS JOIN (SELECT DISTINCT feature FROM w) AS f JOIN t ON t.label = l.label CROSS JOIN v LEFT JOIN c ON c.label = l.label AND c.feature = f.feature),
+k AS (SELECT label, feature, sum(p) OVER o AS hi, row_number() OVER (PARTITION BY label ORDER BY p, feature DESC) AS last, sum(p) OVER (PARTITION BY label) AS al FROM g WINDOW o AS (PARTITION BY label ORDER BY p DESC, feature ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT doc_id, label, range::INTEGER AS pos, {_UNIT(4, "doc_id || '-' || range")} AS u FROM dl CROSS JOIN range(20))
+SELECT doc_id, label, pos, feature FROM (SELECT x.doc_id, x.label, x.pos, arg_min(k.feature, k.hi) AS feature FROM x JOIN k ON k.label = x.label AND (u < k.hi / k.al OR last = 1) GROUP BY x.doc_id, x.label, x.pos)""")
 def nb_generate(spark, sf):
     return trained(spark, sf).generate(spark, 50, 20, 3)
 

@@ -45,15 +45,22 @@ def _smooth(then=C.passthrough):
     return C.cond_add_lambda(1.0, then)
 
 
-#: Add-one smoothed tables in logarithms, and the best paths position by position.
-VITERBI_SQL = f"""WITH RECURSIVE {TAGGED_SQL}, tags AS (SELECT DISTINCT tag FROM tagged), e AS (SELECT seq_id, pos, tag FROM tagged UNION ALL SELECT seq_id, -1, '(edge)' FROM tagged GROUP BY seq_id UNION ALL SELECT seq_id, max(pos) + 1, '(edge)' FROM tagged GROUP BY seq_id),
-n AS (SELECT a, b, count(*) AS n FROM (SELECT tag AS a, lead(tag) OVER (PARTITION BY seq_id ORDER BY pos) AS b FROM e) WHERE b IS NOT NULL GROUP BY a, b), ends AS (SELECT tag FROM tags UNION ALL SELECT '(edge)'),
-g AS (SELECT x.tag AS a, y.tag AS b, coalesce(n.n, 0) + 1 AS c FROM ends AS x CROSS JOIN ends AS y LEFT JOIN n ON n.a = x.tag AND n.b = y.tag WHERE x.tag <> '(edge)' OR y.tag <> '(edge)'), tr AS (SELECT a, b, ln(c / (sum(c) OVER (PARTITION BY a) + 1)) AS lp FROM g),
-ec AS (SELECT tag, sym, count(*) AS n FROM tagged GROUP BY tag, sym), em AS (SELECT t.tag, s.sym, ln((coalesce(ec.n, 0) + 1) / (k.n + (SELECT count(DISTINCT sym) FROM tagged) + 1)) AS lp FROM tags AS t CROSS JOIN (SELECT DISTINCT sym FROM tagged) AS s JOIN (SELECT tag, count(*) AS n FROM tagged GROUP BY tag) AS k ON k.tag = t.tag LEFT JOIN ec ON ec.tag = t.tag AND ec.sym = s.sym),
-v AS (SELECT t.seq_id, t.pos, em.tag, tr.lp + em.lp AS score, [em.tag] AS path FROM tagged AS t JOIN em ON em.sym = t.sym JOIN tr ON tr.a = '(edge)' AND tr.b = em.tag WHERE t.pos = 0
+_EDGED = f"{TAGGED_SQL}, tags AS (SELECT DISTINCT tag FROM tagged), e AS (SELECT seq_id, pos, tag FROM tagged UNION ALL SELECT seq_id, -1, '(edge)' FROM tagged GROUP BY seq_id UNION ALL SELECT seq_id, max(pos) + 1, '(edge)' FROM tagged GROUP BY seq_id), n AS (SELECT a, b, count(*) AS n FROM (SELECT tag AS a, lead(tag) OVER (PARTITION BY seq_id ORDER BY pos) AS b FROM e) WHERE b IS NOT NULL GROUP BY a, b), ends AS (SELECT tag FROM tags UNION ALL SELECT '(edge)'), ec AS (SELECT tag, sym, count(*) AS n FROM tagged GROUP BY tag, sym)"
+#: From tables tr (a, b, lp) and em (tag, sym, lp) of logarithms: the best paths, position by position.
+_DECODE = """v AS (SELECT t.seq_id, t.pos, em.tag, tr.lp + em.lp AS score, [em.tag] AS path FROM tagged AS t JOIN em ON em.sym = t.sym JOIN tr ON tr.a = '(edge)' AND tr.b = em.tag WHERE t.pos = 0
 UNION ALL SELECT seq_id, pos, tag, score, list_append(path, tag) FROM (SELECT t.seq_id, t.pos, em.tag, arg_min(v.score + tr.lp, (-round(v.score + tr.lp, 9), v.tag)) + any_value(em.lp) AS score, arg_min(v.path, (-round(v.score + tr.lp, 9), v.tag)) AS path FROM v JOIN tagged AS t ON t.seq_id = v.seq_id AND t.pos = v.pos + 1 JOIN em ON em.sym = t.sym JOIN tr ON tr.a = v.tag AND tr.b = em.tag GROUP BY t.seq_id, t.pos, em.tag)),
 l AS (SELECT seq_id, max(pos) AS pos FROM tagged GROUP BY seq_id), f AS (SELECT v.seq_id, arg_min(v.path, (-round(v.score + tr.lp, 9), v.tag)) AS path FROM v JOIN l ON v.seq_id = l.seq_id AND v.pos = l.pos JOIN tr ON tr.a = v.tag AND tr.b = '(edge)' GROUP BY v.seq_id)
 SELECT t.seq_id, t.pos, t.sym, f.path[t.pos + 1] AS tag FROM tagged AS t JOIN f ON f.seq_id = t.seq_id"""
+#: Add-one smoothing of both tables.
+VITERBI_SQL = f"""WITH RECURSIVE {_EDGED}, g AS (SELECT x.tag AS a, y.tag AS b, coalesce(n.n, 0) + 1 AS c FROM ends AS x CROSS JOIN ends AS y LEFT JOIN n ON n.a = x.tag AND n.b = y.tag WHERE x.tag <> '(edge)' OR y.tag <> '(edge)'), tr AS (SELECT a, b, ln(c / (sum(c) OVER (PARTITION BY a) + 1)) AS lp FROM g),
+em AS (SELECT t.tag, s.sym, ln((coalesce(ec.n, 0) + 1) / (k.n + (SELECT count(DISTINCT sym) FROM tagged) + 1)) AS lp FROM tags AS t CROSS JOIN (SELECT DISTINCT sym FROM tagged) AS s JOIN (SELECT tag, count(*) AS n FROM tagged GROUP BY tag) AS k ON k.tag = t.tag LEFT JOIN ec ON ec.tag = t.tag AND ec.sym = s.sym),
+{_DECODE}"""
+#: One-count smoothing of both tables with add-one backoff; only seen pairs of symbol and tag.
+CONSTRAINED_SQL = f"""WITH RECURSIVE {_EDGED}, tb AS (SELECT b, (sum(n) + 1) / ((SELECT sum(n) FROM n) + (SELECT count(DISTINCT b) FROM n) + 1) AS pb FROM n GROUP BY b), tl AS (SELECT a, count(*) FILTER (n = 1) + 1e-100::DOUBLE AS l, sum(n) AS have FROM n GROUP BY a),
+tr AS (SELECT tl.a, tb.b, ln((coalesce(n.n, 0) + l * pb) / (have + l - CASE WHEN tl.a = '(edge)' THEN l * (SELECT pb FROM tb WHERE b = '(edge)') ELSE 0 END)) AS lp FROM tl CROSS JOIN tb LEFT JOIN n ON n.a = tl.a AND n.b = tb.b WHERE tl.a <> '(edge)' OR tb.b <> '(edge)'),
+q AS (SELECT (SELECT count(*) FROM tagged) + 2 * (SELECT count(DISTINCT seq_id) FROM tagged) + (SELECT count(DISTINCT sym) FROM tagged) + 2 AS all_n), eb AS (SELECT sym, (count(*) + 1)::DOUBLE / (SELECT all_n FROM q) AS pb FROM tagged GROUP BY sym), el AS (SELECT tag, count(*) FILTER (n = 1) + 1e-100::DOUBLE AS l FROM ec GROUP BY tag),
+ex AS (SELECT ec.tag, ec.sym, ec.n + el.l * eb.pb AS x, el.l / (SELECT all_n FROM q) AS more FROM ec JOIN el ON el.tag = ec.tag JOIN eb ON eb.sym = ec.sym), em AS (SELECT tag, sym, ln(x / (sum(x) OVER (PARTITION BY tag) + more)) AS lp FROM ex),
+{_DECODE}"""
 
 
 @query(VITERBI_SQL)
@@ -62,7 +69,7 @@ def viterbi_tag(spark, sf):
     return hmm.tag(t.select("seq_id", "pos", "sym"), hmm.train_supervised(t, _smooth(), _smooth()))
 
 
-@query()
+@query(CONSTRAINED_SQL)
 def viterbi_tag_constrained(spark, sf):
     t = tagged(spark, sf)
     d = tagdict.simple(t)

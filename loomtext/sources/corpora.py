@@ -6,6 +6,7 @@ import math
 import os
 import shutil
 import subprocess
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +52,35 @@ def join_path(*parts: str) -> str:
     return ("/" if parts and parts[0].startswith("/") else "") + "/".join(p for x in parts if (p := x.strip("/")))
 
 
+def strip_extension(name: Column) -> Column:
+    """A file's name without its last extension; a name that begins with its only point stays."""
+    return F.regexp_replace(name, r"(?<=[^/])[.][^./]*$", "")
+
+
+def find_files(folder: str) -> list[str]:
+    """All files below a folder of this machine, in order."""
+    return sorted(os.path.join(at, name) for at, _, names in os.walk(folder) for name in names)
+
+
+def make_folder(path: str) -> str:
+    """The folder, made with those above it if it isn't there."""
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def remove(path: str) -> bool:
+    """Removes a file or a whole folder; false if there is none."""
+    if not os.path.lexists(path):
+        return False
+    shutil.rmtree(path) if os.path.isdir(path) and not os.path.islink(path) else os.remove(path)
+    return True
+
+
+def temporary_folder(prefix: str = "loomtext-") -> str:
+    """A new folder of the driver's own machine, for what no executor reads."""
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def find_binary(name: str, folder: str | None = None, variable: str | None = None) -> str | None:
     """An executable's path: in the folder, in the folder that an environment variable names, or on the search path."""
     places = [p for p in (folder, os.environ.get(variable) if variable else None) if p]
@@ -176,7 +206,9 @@ def majority_votes(votes: DataFrame, key: str, label: str, n: str) -> DataFrame:
 def split_thirds(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
     """df with part: which of equal consecutive parts a row falls in. Ranks come from counts by range bucket and a rank inside
     each bucket, so no task sees all rows."""
-    ranged = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    from ..operators.stored import once
+
+    ranged = once(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))  # both uses must see the same buckets
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     offsets = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
     rank = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1

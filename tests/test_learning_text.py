@@ -138,6 +138,19 @@ def test_lines_of_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_file_helpers(spark):
+    top = corpora.temporary_folder()
+    inner = corpora.make_folder(corpora.join_path(top, "a", "b"))
+    for name in ("x.txt", "y"):
+        with open(corpora.join_path(inner, name), "w") as f:
+            f.write("1")
+    assert corpora.find_files(top) == [f"{inner}/x.txt", f"{inner}/y"] and corpora.make_folder(inner) == inner
+    assert corpora.remove(f"{inner}/y") and not corpora.remove(f"{inner}/y") and corpora.find_files(top) == [f"{inner}/x.txt"]
+    assert corpora.remove(top) and corpora.find_files(top) == []
+    for name, want in (("a/b.tok.tree", "a/b.tok"), ("a.b/c", "a.b/c"), ("x", "x"), (".hidden", ".hidden")):
+        assert one(spark, corpora.strip_extension(F.lit(name))) == want
+
+
 def test_values_are_numbered_in_order(spark):
     words = sorted({f"{a}{i}" for a in ("", "a", "ab", "abc", "é", "z") for i in range(40)} | {""})
     got = perceptron.interned(spark.createDataFrame([(w,) for w in words * 2], "w string"), "w").collect()

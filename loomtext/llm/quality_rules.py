@@ -1,15 +1,19 @@
 """Operator 7, quality rules: a ledger of failure bits.
 
 Every rule is evaluated once, with native expressions only; the ledger keeps the measurements and one bit for each failed
-rule. A policy is a version number and the mask of rules that reject; applying one, or finding what each rule alone rejects, is
-bitwise arithmetic over the ledger, without another look at a text.
+rule. It is stored. A policy is a version number and the mask of rules that reject; applying one, or finding what each rule alone
+rejects, is bitwise arithmetic over the stored ledger, without another look at a text.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_folder, table
 from .kernels import WORD_RE
 
 #: Name, measurement and condition of failure of each rule; the place is the bit.
@@ -76,6 +80,33 @@ def ledger(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.withColumn("fail_bits", total)
 
 
+def _state(spark, path: str) -> str:
+    """A digest of the rules and of the names, sizes and times of change of a table's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, seen = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr((RULES, MEASURES, path, sorted(seen))).encode()).hexdigest()[:32]
+
+
+def stored(spark, sf_dir: str, anew: bool = False, folder: str | None = None) -> DataFrame:
+    """The ledger of the documents table by doc_id, read from where it is stored; if it isn't, or `anew`, it is evaluated and written first.
+
+    Ledgers are in `folder`, or else in the shared folder, which is this application's own. One is used again only for the same
+    rules and the same files, told by name, size and time of change; one whose writing didn't end isn't used. None is overwritten.
+    """
+    home = f"{folder or shared_folder(spark)}/ledger-{_state(spark, f'{sf_dir}/documents.parquet')}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/*/_SUCCESS")
+    found = None if anew else done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    if found:
+        path = found[0].getPath().getParent().toString()
+    else:
+        path = f"{home}/{uuid.uuid4().hex}"
+        ledger(table(spark, sf_dir, "documents"), "doc_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def rejects(mask: int) -> Column:
     """Whether a policy's mask rejects a row of the ledger."""
     return F.col("fail_bits").bitwiseAND(F.lit(mask)) != 0
@@ -107,12 +138,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    led = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
-    return led.withColumns({f"keep_v{v}": ~rejects(m) for v, m in POLICIES.items()})
+    """The ledger, evaluated and stored anew, and whether each policy keeps a row, by the stored bits."""
+    return stored(spark, sf_dir, anew=True).withColumns({f"keep_v{v}": ~rejects(m) for v, m in POLICIES.items()})
 
 
 def ablation_query(spark, sf_dir: str) -> DataFrame:
-    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
+    return ablations(stored(spark, sf_dir))
 
 
 _LEDGER_SQL = r"""

@@ -50,6 +50,29 @@ def test_ablations_add_up(spark):
     assert all(r.n_rows == 0 for r in quality_rules.ablations(quality_rules.ledger(empty(spark), "doc_id")).collect())
 
 
+def test_policies_apply_to_the_stored_ledger(spark, tmp_path, monkeypatch):
+    """A new policy and the ablations read no text; rules that changed, other files and an unfinished ledger aren't taken for the stored one."""
+    awkward(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    led, kept = quality_rules.stored(spark, str(tmp_path)), quality_rules.query(spark, str(tmp_path))
+    assert Counter(led.collect()) == Counter(quality_rules.ledger(awkward(spark), "doc_id").collect()) == Counter(kept.select(led.columns).collect())
+    assert all("documents" not in f for f in kept.inputFiles())
+    monkeypatch.setattr(quality_rules, "ledger", None)
+    monkeypatch.setitem(quality_rules.POLICIES, 3, quality_rules.BIT["few_words"])
+    cells = {(r.policy, r.rule): r for r in quality_rules.ablation_query(spark, str(tmp_path)).collect()}
+    assert cells[3, "few_words"].n_fail == cells[3, "few_words"].n_rejected == sum(r.n_words < 5 for r in led.collect())
+    monkeypatch.undo()
+    before = set(led.inputFiles())
+    with monkeypatch.context() as m:
+        m.setattr(quality_rules, "RULES", quality_rules.RULES[:-1] + (("low_diversity", "n_words >= 3"),))
+        assert not before & set(quality_rules.stored(spark, str(tmp_path)).inputFiles())
+    empty(spark).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert quality_rules.stored(spark, str(tmp_path)).count() == 0 and led.count() == len(ROWS)
+    led = quality_rules.stored(spark, str(tmp_path), folder=f"{tmp_path}/kept")
+    (done,) = (tmp_path / "kept").glob("*/*/_SUCCESS")
+    done.unlink()
+    assert quality_rules.stored(spark, str(tmp_path), folder=f"{tmp_path}/kept").inputFiles() != led.inputFiles()
+
+
 # --- mixing ---
 
 

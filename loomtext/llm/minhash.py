@@ -8,10 +8,10 @@ Plan: (1) one pass over the texts yields a 128-bit BLAKE2 digest of the words an
 (2) Texts of equal words fold into their lowest id by a partial aggregate, so thousands of copies make thousands of rows and
 not millions of pairs. (3) The distinct texts are bucketed by band key. All members of a bucket go to the bucket's lowest id,
 its centre; two texts that share any bucket share its centre, so the groups by centre hold every candidate pair. (4) Groups
-compare exact shingle sets, of words numbered by their bytes. A group of more than BLOCK texts is cut into blocks by hash, each
-with the centre. Texts that are linked to the centre within their block need no comparison with each other. Those that aren't
+compare exact shingle sets, of words numbered by their bytes, for those pairs only that share one of their rarer shingles, as all
+similar ones do. A group of more than BLOCK texts or BLOCK_BYTES is cut into blocks by hash, each with the centre. Texts that are linked to the centre within their block need no comparison with each other. Those that aren't
 (loose ones) are compared, block by block, with all texts of the group, so a task never holds more than two blocks. A pair whose
-ends are already linked is skipped, which changes no component; no other pair is, and nothing is capped. (5) Connected components
+ends are already linked is skipped, which changes no component; no other similar pair is, and nothing is capped. (5) Connected components
 by alternating large-star and small-star steps.
 """
 
@@ -31,8 +31,8 @@ from .kernels import chunks, mix, shingles, string_bytes, word_hashes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 32, 4, 0.5
 DOMAIN, SEED = 1 << 20, 20240601
-#: The most texts of a group that one task holds on either side.
-BLOCK = 256
+#: About the most texts of a group, and bytes of them, that one task holds on either side.
+BLOCK, BLOCK_BYTES = 8192, 8 << 20
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -79,7 +79,8 @@ def _sketch(shingle: int, bands: int, per_band: int):
                 high, low = np.frombuffer(prints, np.int64).reshape(-1, 2).T
                 keys = band_keys(signatures(*shingles(words, rows, shingle), bands * per_band)[some], bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(some)).cast(pa.int64()), pa.array(high), pa.array(low), lists], ["doc_id", "fp_high", "fp_low", "bands"])
+                size = pa.array(np.diff(offsets[i : j + 1])[some])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(some)).cast(pa.int64()), pa.array(high), pa.array(low), size, lists], ["doc_id", "fp_high", "fp_low", "bytes", "bands"])
 
     return run
 
@@ -114,22 +115,63 @@ def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def rare_shingles(sets: list[np.ndarray], threshold: float) -> list[list[int]]:
+    """Of each set, the rarest shingles, so many that two sets at or above the threshold have one of them in common; numbers that
+    only sets of this call share. Those that no other set has are left out."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if not sizes.sum():
+        return [[] for _ in sets]
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((rank[gram], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # Of n shingles, ceil(threshold * n) at least are shared; so one is among the first n + 1 less that many.
+    most = sizes + 1 - np.ceil(threshold * sizes - 1e-9).astype(np.int64)
+    keep = order[(place < np.repeat(most, sizes)) & (count[gram[order]] > 1)]
+    return [x.tolist() for x in np.split(gram[keep], np.searchsorted(owner[keep], np.arange(1, len(sets))))]
+
+
 def link(ids: list[int], sets: list[np.ndarray], threshold: float) -> tuple[list[tuple[int, int, float]], list[list[int]]]:
     """Edges (higher id, lower id, similarity) that join exactly the components of all pairs at or above the threshold, and the
-    components, as indices."""
-    edges, parts = [], []  # parts: lists of indices that are linked
-    for i in np.argsort(ids, kind="stable"):
-        joined, rest = [i], []
-        for part in parts:
-            for j in part:
-                if (s := similar(sets[i], sets[j], threshold)) is not None:
-                    edges.append((max(ids[i], ids[j]), min(ids[i], ids[j]), s))
-                    joined = part + joined
-                    break
-            else:
-                rest.append(part)
-        parts = [*rest, joined]
-    return edges, parts
+    components, as indices.
+
+    At first a text is compared with the leaders of components, and leads one of its own if it is like none; then with earlier
+    texts of other components, but for two leaders, which were compared."""
+    order, rare, edges = np.argsort(ids, kind="stable").tolist(), rare_shingles(sets, threshold), []
+    part, members = list(range(len(ids))), [[i] for i in range(len(ids))]
+
+    def join(i: int, j: int) -> bool:
+        if (s := similar(sets[i], sets[j], threshold)) is None:
+            return False
+        edges.append((max(ids[i], ids[j]), min(ids[i], ids[j]), s))
+        small, large = sorted((part[i], part[j]), key=lambda p: len(members[p]))
+        for x in members[small]:
+            part[x] = large
+        members[large] += members[small]
+        members[small] = []
+        return True
+
+    leaders, leads = defaultdict(list), [False] * len(ids)
+    for i in order:
+        if not any(join(i, j) for j in sorted({j for g in rare[i] for j in leaders.get(g, ())})):
+            leads[i] = True
+            for g in rare[i]:
+                leaders[g].append(i)
+    parts_of = defaultdict(set)
+    for i in order:
+        for g in rare[i]:
+            parts_of[g].add(part[i])
+    earlier = defaultdict(list)
+    for i in order:
+        shared = [g for g in rare[i] if len(parts_of[g]) > 1]
+        for j in sorted({j for g in shared for j in earlier.get(g, ()) if part[j] != part[i] and not (leads[i] and leads[j])}):
+            if part[j] != part[i]:
+                join(i, j)
+        for g in shared:
+            earlier[g].append(i)
+    return edges, [m for m in members if m]
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> float | None:
@@ -153,7 +195,7 @@ def _within(shingle: int, threshold: float):
         ids, centre = part["__id"].to_pylist(), part["centre"][0].as_py()
         edges, parts = link(ids, exact_sets(part["__text"].cast(pa.binary()).to_pylist(), shingle), threshold)
         if part["blocks"][0].as_py() > 1:
-            edges += [(ids[i], None, None) for p in parts if centre not in [ids[i] for i in p] for i in p]
+            edges += [(ids[i], None, None) for p in parts if centre not in {ids[i] for i in p} for i in p]
         return _edge_table(centre, edges)
 
     return run
@@ -166,11 +208,15 @@ def _across(shingle: int, threshold: float):
     def run(part: pa.Table) -> pa.Table:
         ids, asks, loose = (part[c].to_pylist() for c in ("__id", "asks", "loose"))
         sets, edges = exact_sets(part["__text"].cast(pa.binary()).to_pylist(), shingle), []
-        queries = [i for i in range(len(ids)) if asks[i]]
+        rare = rare_shingles(sets, threshold)
         for settled in (True, False):
-            others = [j for j in range(len(ids)) if not asks[j] and loose[j] != settled]
-            for i in queries:
-                for j in others:
+            others = defaultdict(list)
+            for j in range(len(ids)):
+                if not asks[j] and loose[j] != settled:
+                    for g in rare[j]:
+                        others[g].append(j)
+            for i in (i for i in range(len(ids)) if asks[i]):
+                for j in sorted({j for g in rare[i] for j in others.get(g, ())}):
                     if ids[i] != ids[j] and (s := similar(sets[i], sets[j], threshold)) is not None:
                         edges.append((max(ids[i], ids[j]), min(ids[i], ids[j]), s))
                         if settled:
@@ -180,22 +226,26 @@ def _across(shingle: int, threshold: float):
     return run
 
 
-def edges_of(member: DataFrame, texts: DataFrame, shingle: int, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(doc_id, other_id, similarity) that link the members (centre, rep) of each group, by their texts (__id, __text)."""
+def edges_of(member: DataFrame, texts: DataFrame, shingle: int, threshold: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, other_id, similarity) that link the members (centre, rep) of each group, by their texts (__id, __text). If members
+    have `bytes`, the size of a text, blocks are cut by it too."""
+    wide = F.sum("bytes") / block_bytes if "bytes" in member.columns else F.lit(0)
+    cut = lambda b: F.ceil(F.greatest(F.count("*") / block, b))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    size = member.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count("*") / block).alias("blocks"))
-    sized = member.join(size, F.col("centre") == F.col("c")).select("centre", "rep", "blocks")
+    size = member.groupBy(F.col("centre").alias("c")).agg(cut(wide).alias("blocks"))
+    sized = member.join(size, F.col("centre") == F.col("c")).select("centre", "rep", "blocks", *(["bytes"] if "bytes" in member.columns else []))
     first = sized.withColumn("block", F.explode(F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).otherwise(F.array(place("blocks")))))
     rows = cut_lineage(first.join(texts, first.rep == texts["__id"]).select("centre", "block", "blocks", "__id", "__text"))
     found = cut_lineage(rows.groupBy("centre", "block").applyInArrow(_within(shingle, threshold), EDGE_SCHEMA))
     edges, loose = found.where("other_id IS NOT NULL"), found.where("other_id IS NULL").select("centre", "doc_id")
     if not loose.isEmpty():
-        many = loose.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count("*") / block).alias("asking"))
+        asking = loose.join(sized.select(F.col("centre").alias("sc"), F.col("rep").alias("sid"), *sized.columns[3:]), (F.col("centre") == F.col("sc")) & (F.col("doc_id") == F.col("sid")))
+        many = asking.groupBy(F.col("centre").alias("c")).agg(cut(wide).alias("asking"))
         who = loose.select(F.col("centre").alias("lc"), F.col("doc_id").alias("lid"), F.lit(True).alias("loose"))
         both = sized.join(many, F.col("centre") == F.col("c")).join(who, (F.col("centre") == F.col("lc")) & (F.col("rep") == F.col("lid")), "left")
         both = both.select("centre", "rep", "blocks", "asking", F.coalesce("loose", F.lit(False)).alias("loose"))
         upto = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
-        texts = rows.where("centre <> __id OR block = 0").select(F.col("centre").alias("tc"), "__id", "__text")
+        texts = rows.where("blocks > 1 AND (centre <> __id OR block = 0)").select(F.col("centre").alias("tc"), "__id", "__text")
         with_text = both.join(texts, (both.rep == texts["__id"]) & (both.centre == texts["tc"]))
         cells = F.transform(upto("asking"), lambda a: F.struct(a.alias("a"), place("blocks").alias("b"), F.lit(False).alias("asks")))
         mine = F.when(F.col("loose"), F.transform(upto("blocks"), lambda b: F.struct(place("asking").alias("a"), b.cast("int").alias("b"), F.lit(True).alias("asks"))))
@@ -231,12 +281,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     shingle, all of it. Rows that repeat an id are one document, with all its texts. Ties fall to the lowest id. An empty table gives no rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    base = cut_lineage(d.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, fp_high long, fp_low long, bands array<long>"))
-    reps = base.groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    base = cut_lineage(d.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, fp_high long, fp_low long, bytes long, bands array<long>"))
+    reps = base.groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"))
     same = base.select("doc_id", "fp_high", "fp_low").join(reps.select("fp_high", "fp_low", "rep"), ["fp_high", "fp_low"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
     bucket = Window.partitionBy("key")
-    keyed = reps.select("rep", F.explode("bands").alias("key")).withColumn("centre", F.min("rep").over(bucket)).where("centre <> rep").select("rep", "centre").distinct()
-    member = keyed.union(keyed.select("centre", "centre").distinct())
+    keyed = reps.select("rep", "bytes", F.explode("bands").alias("key")).withColumn("centre", F.min("rep").over(bucket)).where("centre <> rep").groupBy("rep", "centre").agg(F.max("bytes").alias("bytes"))
+    member = keyed.select("rep", "centre", "bytes").union(keyed.select("centre", "centre", F.lit(0)).distinct())
     texts = d.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     edges = edges_of(member, texts, shingle, threshold)
     roots = components(edges, "doc_id", "other_id")

@@ -110,6 +110,60 @@ def test_blocks_lose_no_link(spark):
         assert {r.node: r.root for r in minhash.components(edges, "doc_id", "other_id").collect()} == want
 
 
+def test_links_against_all_pairs():
+    """Chains, copies, few words and nothing, at thresholds that aren't exact in binary."""
+    rng = np.random.default_rng(7)
+    for n, words, threshold in itertools.product((1, 2, 30, 120), (6, 25, 200), (0.3, 0.5, 0.7)):
+        texts = {int(i): " ".join(f"w{x}" for x in rng.integers(0, words, rng.integers(0, 12))) for i in rng.permutation(n)}
+        for i in range(0, n, 3):
+            texts[i] = texts[i - i % 5] + f" u{i}"
+        ids = list(texts)
+        edges, parts = minhash.link(ids, minhash.exact_sets([t.encode() for t in texts.values()], 1), threshold)
+        sets = {k: shingle_set(t, 1) for k, t in texts.items()}
+        assert all(a > b and s == len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold for a, b, s in edges)
+        root = {ids[i]: min(ids[j] for j in p) for p in parts for i in p}
+        want = {k: k for k in ids}
+        for _ in ids:
+            for a, b in itertools.combinations(ids, 2):
+                if sets[a] | sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+        assert root == want and len(edges) == n - len(parts)
+
+
+def unlike(n):
+    """Texts that share a third of their words and are all below the threshold."""
+    rng = np.random.default_rng(2)
+    return {i: " ".join([*(f"p{x}" for x in range(12)), *(f"v{x}" for x in rng.integers(0, 10**6, 24))]) for i in range(n)}
+
+
+def test_unlike_texts_of_a_group_are_not_all_compared(monkeypatch):
+    compared, similar = [], minhash.similar
+    monkeypatch.setattr(minhash, "similar", lambda *a: compared.append(a) or similar(*a))
+    texts = unlike(1500)
+    edges, parts = minhash.link(list(texts), minhash.exact_sets([t.encode() for t in texts.values()], 3), 0.5)
+    assert not edges and len(parts) == 1500 and len(compared) < 1500
+
+
+def test_texts_of_a_group_are_not_copied_for_each_block(spark, monkeypatch):
+    """A group of a few hundred unlike texts is one block: no text is sent again for pairs of blocks."""
+    monkeypatch.setattr(minhash, "_across", None)
+    texts = unlike(700)
+    texts[700] = texts[699] + " more"
+    member = spark.createDataFrame([(0, i, len(t)) for i, t in texts.items()], "centre long, rep long, bytes long")
+    edges = minhash.edges_of(member, spark.createDataFrame(list(texts.items()), "__id long, __text string"), 3, 0.5)
+    assert [(r.doc_id, r.other_id) for r in edges.collect()] == [(700, 699)]
+
+
+def test_blocks_cut_by_bytes_lose_no_link(spark):
+    texts = unlike(40)
+    for i in range(20, 40):
+        texts[i] = texts[i - 20 + i % 3] + f" more{i}"
+    member = spark.createDataFrame([(0, i, len(t)) for i, t in texts.items()], "centre long, rep long, bytes long")
+    held = spark.createDataFrame(list(texts.items()), "__id long, __text string")
+    edges = minhash.edges_of(member, held, 3, 0.5, block_bytes=1000)
+    assert {r.node: r.root for r in minhash.components(edges, "doc_id", "other_id").collect()} == brute(texts)[0]
+
+
 def test_planted_copies(spark):
     rng = np.random.default_rng(0)
     rows, near = [], set()

@@ -11,11 +11,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.logprob import ZERO, to_log
 from .counts import CondCounts, Counts, cond_add_lambda, cond_dist, freq_dist, passthrough, sample
+from .perceptron import interned
 from .stored import once
 
 
@@ -121,54 +124,91 @@ def gibbs(unlabelled: DataFrame, labelled: DataFrame, labels: list[str], burn_in
 
     Documents are long (doc_id, feature), labelled ones also have label. Each round draws word distributions for every label from
     the counts, which are then held on all workers, and samples every document's label in parallel given these and the label counts
-    of the round before (a blocked sampler; document by document it would be sequential). The counts of a round are one partial
-    aggregate. Rounds are fixed by the seed. Ties of the vote go to the lowest label.
+    of the round before (a blocked sampler; document by document it would be sequential). Features are numbered by a plan, so the
+    driver and the workers hold labels x features numbers, and no words; counts come to the driver as Arrow columns. Rounds are
+    fixed by the seed. Ties of the vote go to the lowest label.
     """
     spark = unlabelled.sparkSession
-    known = labelled.groupBy("label", "feature").count().collect()
     known_docs = {r.label: r.n for r in labelled.select("doc_id", "label").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}
-    bags = unlabelled.groupBy("doc_id", "feature").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("feature", "n")).alias("bag")).persist()
-    vocab = {f: i for i, f in enumerate(sorted({r.feature for r in known} | {r.feature for r in unlabelled.select("feature").distinct().collect()}))}
-    base = np.zeros((len(labels), len(vocab)))
-    for r in known:
-        base[labels.index(r.label), vocab[r.feature]] += r["count"]
+    if more := sorted(known_docs.keys() - set(labels)):
+        raise ValueError(f"labels that aren't listed: {more}")
+    vocab = once(interned(unlabelled.select("feature").unionByName(labelled.select("feature")), "feature", 0))
+    shape = (len(labels), vocab.count())
+    v = vocab.select(F.col("value").alias("__f"), F.col("number").alias("f"))
+    n = unlabelled.groupBy("doc_id", "feature").agg(F.count("*").alias("n")).join(v, F.col("feature") == F.col("__f"))
+    bags = once(n.groupBy("doc_id").agg(F.collect_list(F.struct("f", "n")).alias("b")).select("doc_id", F.col("b.f").alias("f"), F.col("b.n").alias("n")))
+    place = F.create_map(*[x for i, k in enumerate(labels) for x in (F.lit(k), F.lit(i))])
+    known = labelled.groupBy("label", "feature").agg(F.count("*").alias("n")).join(v, F.col("feature") == F.col("__f")).select(place[F.col("label")].alias("lab"), "f", "n")
+    base = _dense(known, shape)
     rng = np.random.default_rng(seed)
     prior = np.array([known_docs.get(k, 0) + pseudo for k in labels], float)
     word_counts, votes = base, []
 
     def draw(counts: np.ndarray) -> np.ndarray:
         g = rng.gamma(counts + pseudo)
-        return np.log(np.maximum(g / g.sum(1, keepdims=True), 1e-300))
+        g /= g.sum(1, keepdims=True)
+        return np.log(np.maximum(g, 1e-300, out=g), out=g)
 
+    kind = bags.schema["doc_id"].dataType.simpleString()
     for k in range(burn_in + rounds):
-        shared = spark.sparkContext.broadcast((draw(word_counts), np.log(prior / prior.sum()), vocab, seed + k, k == 0))
-
-        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            words, logprior, at, s, first = shared.value
-            for p in parts:
-                out = []
-                for doc, bag in zip(p["doc_id"], p["bag"], strict=True):
-                    idx = np.array([at[x["feature"]] for x in bag])
-                    cnt = np.array([x["n"] for x in bag], float)
-                    x = logprior if first else logprior + words[:, idx] @ cnt
-                    e = np.exp(x - x.max())
-                    u = np.random.default_rng([s, int(pd.util.hash_array(np.array([str(doc)], object))[0] & 0xFFFFFFFF)]).random()
-                    out.append(int(np.searchsorted(np.cumsum(e) / e.sum(), u, "right").clip(0, len(e) - 1)))
-                yield pd.DataFrame({"doc_id": p["doc_id"], "bag": p["bag"], "lab": out})
-
-        kind = bags.schema["doc_id"].dataType.simpleString()
-        drawn = bags.mapInPandas(run, f"doc_id {kind}, bag array<struct<feature:string,n:long>>, lab int")
+        shared = spark.sparkContext.broadcast((draw(word_counts), np.log(prior / prior.sum()), seed + k, k == 0))
+        labs = once(bags.mapInArrow(_drawn_labels(shared), f"doc_id {kind}, lab int"))
         if k >= burn_in and (k - burn_in) % (lag + 1) == 0:
-            votes.append(drawn.select("doc_id", "lab"))
-        sums = drawn.select("lab", F.explode("bag").alias("b")).groupBy("lab", F.col("b.feature").alias("f")).agg(F.sum("b.n").alias("n")).collect()
-        sizes = {r.lab: r["count"] for r in drawn.groupBy("lab").count().collect()}
-        word_counts = base.copy()
-        for r in sums:
-            word_counts[r.lab, vocab[r.f]] += r.n
+            votes.append(labs)
+        sizes = {r.lab: r["count"] for r in labs.groupBy("lab").count().collect()}
+        if k + 1 < burn_in + rounds:
+            sums = bags.mapInArrow(_drawn_counts(shared), "lab int, f int, n long").groupBy("lab", "f").agg(F.sum("n").alias("n"))
+            word_counts = base + _dense(sums, shape)
+        shared.unpersist()
         prior = np.array([known_docs.get(x, 0) + sizes.get(i, 0) + pseudo for i, x in enumerate(labels)], float)
-    allv = votes[0]
-    for v in votes[1:]:
-        allv = allv.unionByName(v)
-    n = allv.groupBy("doc_id", "lab").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.min_by("lab", F.struct(-F.col("n"), F.col("lab"))).alias("lab"))
-    names = F.create_map(*[x for i, k in enumerate(labels) for x in (F.lit(i), F.lit(k))])
-    return n.select("doc_id", names[F.col("lab")].alias("label"))
+    n = reduce(DataFrame.unionByName, votes).groupBy("doc_id", "lab").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.min_by("lab", F.struct(-F.col("n"), F.col("lab"))).alias("lab"))
+    return n.select("doc_id", F.array(*[F.lit(k) for k in labels])[F.col("lab")].alias("label"))
+
+
+def _dense(counts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Counts (lab, f, n) as an array, gathered as columns of numbers."""
+    out, t = np.zeros(shape), counts.select("lab", "f", "n").toArrow()
+    for b in t.to_batches():
+        out[b.column(0).to_numpy(), b.column(1).to_numpy()] = b.column(2).to_numpy()
+    return out
+
+
+def _draw_batch(b: pa.RecordBatch, words: np.ndarray, logprior: np.ndarray, seed: int, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels drawn for a batch of bags (doc_id, f, n), and each feature's number, count and the label of its document."""
+    sizes = pc.list_value_length(b.column("f")).to_numpy(zero_copy_only=False)
+    f, n = b.column("f").flatten().to_numpy(), b.column("n").flatten().to_numpy()
+    x = np.repeat(logprior[:, None], len(sizes), 1)
+    if not first and len(f):
+        starts = np.cumsum(sizes) - sizes
+        for i in range(len(x)):
+            x[i] += np.add.reduceat(words[i, f] * n, starts)
+    e = np.exp(x - x.max(0))
+    keys = pd.util.hash_array(np.array([str(d) for d in b.column("doc_id").to_pylist()], object)) & 0xFFFFFFFF
+    u = np.array([np.random.default_rng([seed, int(h)]).random() for h in keys])
+    lab = np.minimum((np.cumsum(e, 0) / e.sum(0) <= u).sum(0), len(x) - 1).astype(np.int32)
+    return lab, f, n, np.repeat(lab, sizes)
+
+
+def _drawn_labels(shared):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_draw_batch(b, *shared.value)[0])], ["doc_id", "lab"])
+
+    return run
+
+
+def _drawn_counts(shared):
+    """Counts by label and feature of what a task drew: each task adds up its own before they are shuffled."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shared.value[0].shape, np.int64)
+        for b in parts:
+            _, f, n, lab = _draw_batch(b, *shared.value)
+            np.add.at(total, (lab, f), n)
+        for i, row in enumerate(total):
+            there = np.flatnonzero(row)
+            for k in range(0, len(there), 100_000):
+                at = there[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lab", "f", "n"])
+
+    return run

@@ -104,9 +104,16 @@ def pipe(df: DataFrame, column: str, command: list[str], out: str = "output") ->
 
 
 def _sentences(lines: DataFrame, is_delimiter: Column) -> DataFrame:
-    """(path, seq_id, pos, value): runs of lines between delimiters; empty runs have no rows."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    kept = lines.withColumn("seq_id", F.sum(F.when(is_delimiter, 1).otherwise(0)).over(w)).where(~is_delimiter)
+    """(path, seq_id, pos, value): runs of lines between delimiters; empty runs have no rows. Delimiters are counted by ranges of
+    lines, and within a range, so that no task sees a whole file."""
+    from ..operators.stored import once
+
+    ranged = once(lines.select("path", "line_no", "value", is_delimiter.alias("__end")).repartitionByRange("path", "line_no").withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy(F.col("path").alias("__path"), F.col("__p").alias("__q")).agg(F.count_if("__end").alias("__n"))
+    before = sizes.select("__path", "__q", (F.sum("__n").over(Window.partitionBy("__path").orderBy("__q")) - F.col("__n")).alias("__before"))
+    w = Window.partitionBy("path", "__p").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranged.withColumn("__r", F.sum(F.when(F.col("__end"), 1).otherwise(0)).over(w)).where(~F.col("__end"))
+    kept = counted.join(before, F.col("path").eqNullSafe(F.col("__path")) & (F.col("__p") == F.col("__q"))).withColumn("seq_id", F.col("__r") + F.col("__before"))
     pos = F.row_number().over(Window.partitionBy("path", "seq_id").orderBy("line_no")) - 1
     return kept.select("path", "seq_id", pos.alias("pos"), "value")
 
@@ -203,17 +210,22 @@ def majority_votes(votes: DataFrame, key: str, label: str, n: str) -> DataFrame:
     return best.where(F.col(f"b.{n}") * 3 >= F.col("__all") * 2).select(key, F.col(f"b.{label}").alias("label"))
 
 
-def split_thirds(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """df with part: which of equal consecutive parts a row falls in. Ranks come from counts by range bucket and a rank inside
-    each bucket, so no task sees all rows."""
+def ranked(df: DataFrame, order: str) -> DataFrame:
+    """df with __rank, each row's place in the order from 0, and __all, the number of rows. Ranks come from counts by range bucket
+    and a rank inside each bucket, so no task sees all rows."""
     from ..operators.stored import once
 
     ranged = once(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))  # both uses must see the same buckets
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     offsets = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
     rank = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    ranked = ranged.withColumn("__r", rank).join(F.broadcast(offsets), "__p")
-    return ranked.withColumn("part", F.floor((F.col("__r") + F.col("__before")) * parts / F.col("__all")).cast("int")).drop("__p", "__r", "__before", "__all")
+    both = ranged.withColumn("__r", rank).join(F.broadcast(offsets), "__p")
+    return both.withColumn("__rank", F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
+
+
+def split_thirds(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
+    """df with part: which of equal consecutive parts a row falls in."""
+    return ranked(df, order).withColumn("part", F.floor(F.col("__rank") * parts / F.col("__all")).cast("int")).drop("__rank", "__all")
 
 
 def generated_clusters(spark: SparkSession, n: int, means: list[tuple[float, float]] = ((-1, -1), (6, 4), (-2, 8)), sd: tuple[float, float] = (1.0, 1.0), seed: int = 0) -> DataFrame:

@@ -1,9 +1,13 @@
 """What stays bounded, or keeps its order, on larger tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from loomtext.operators import naive_bayes
+from compare import assert_same, database
+from loomtext import catalog
+from loomtext.operators import naive_bayes, trees
+from loomtext.sources import corpora
 
 
 @pytest.fixture
@@ -29,3 +33,18 @@ def test_gibbs_gathers_no_words(spark, collected):
     assert np.mean([r.label == "xy"[r.doc_id % 2] for r in got.collect()]) > 0.95
     with pytest.raises(ValueError, match="y"):
         naive_bayes.gibbs(d.select("doc_id", "feature"), d, ["x"], 1, 1)
+
+
+@pytest.mark.parametrize("name", ["tagged_stream_read", "raw_stream_read", "tagged_lines_read"])
+def test_streams_of_many_users(spark, tmp_path, name):
+    e = spark.range(6000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "(id * 7919) % 3001 AS user_id", "CASE WHEN id % 3 = 0 THEN 'view' ELSE 'click' END AS event_type", "(id % 97) * 1.0D AS value", "'{}' AS props")
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert "dense_rank" not in df._jdf.queryExecution().executedPlan().toString()
+    assert_same(df, catalog.SQL[name], database(tmp_path))
+
+
+def test_sentences_across_ranges_of_lines(spark):
+    rows = [(p, i, "###" if i % 7 == 3 else f"{p}{i}") for p in "ab" for i in range(500)]
+    got = corpora.raw_stream(spark.createDataFrame(rows, "path string, line_no int, value string").repartition(5)).collect()
+    assert {(r.path, r.seq_id, r.pos, r.sym) for r in got} == {(p, (i + 4) // 7, i if i < 3 else (i + 3) % 7, v) for p, i, v in rows if v != "###"}

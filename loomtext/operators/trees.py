@@ -9,11 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODE = "array<struct<id:int,parent:int,depth:int,ord:int,name:string,is_token:boolean>>"
+#: A batch of parsed trees is passed on at this number of nodes, so that a task holds no more than these and one row's.
+MOST_NODES = 20_000
 _LEX = re.compile(r"\s*([()]|[^\s()]+)")
 
 
@@ -113,23 +116,42 @@ def pretty(nodes) -> str:
 def parse_trees(lines: DataFrame, key: str, text: str, several: bool = False) -> DataFrame:
     """(key, tree, nodes, n_warn, n_err, rest, canonical): one row for each text, or for each of its trees."""
     kind = lines.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for k, t in zip(p["key"], p["text"], strict=True):
-                if several:
-                    rows += [(k, i, n, 0, e, "", canonical(n)) for i, (n, e) in enumerate(parse_all(t or ""))]
-                else:
-                    n, w, e, rest = parse(t)
-                    rows.append((k, 0, n, w, e, rest, canonical(n)))
-            names = ["id", "parent", "depth", "ord", "name", "is_token"]
-            yield pd.DataFrame([(k, i, [dict(zip(names, x, strict=True)) for x in n], w, e, r, c) for k, i, n, w, e, r, c in rows], columns=["key", "tree", "nodes", "n_warn", "n_err", "rest", "canonical"])
-
-    out = lines.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, tree int, nodes {NODE}, n_warn int, n_err int, rest string, canonical string")
+    out = lines.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_parsed(several), f"key {kind}, tree int, nodes {NODE}, n_warn int, n_err int, rest string, canonical string")
     return out.withColumnRenamed("key", key)
 
 
+def _parsed(several: bool):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            rows, size = [], 0
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                found = ((n, 0, e, "") for n, e in parse_all(text or "")) if several else [parse(text)]
+                for j, (n, w, e, rest) in enumerate(found):
+                    rows.append((i, j, n, w, e, rest, canonical(n)))
+                    size += len(n) + 1
+                    if size >= MOST_NODES:
+                        yield _batch(b.column(0), rows)
+                        rows, size = [], 0
+            if rows:
+                yield _batch(b.column(0), rows)
+
+    return run
+
+
+def _batch(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (place of the key, tree, nodes, warnings, errors, rest, canonical form) as columns."""
+    i, tree, nodes, warn, err, rest, canon = zip(*rows, strict=True)
+    bounds = np.concatenate([[0], np.cumsum([len(n) for n in nodes])]).astype(np.int32)
+    columns = list(zip(*(x for n in nodes for x in n), strict=True)) or [()] * 6
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+    fields = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    flat = pa.StructArray.from_arrays(fields, ["id", "parent", "depth", "ord", "name", "is_token"])
+    number = lambda x: pa.array(x, pa.int32())
+    arrays = [keys.take(pa.array(i, pa.int64())), number(tree), pa.ListArray.from_arrays(pa.array(bounds), flat), number([int(x) for x in warn]), number([int(x) for x in err]), pa.array(rest, pa.string()), pa.array(canon, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, ["key", "tree", "nodes", "n_warn", "n_err", "rest", "canonical"])
+
+
 def tokens(nodes: Column) -> Column:
     return F.transform(F.filter(nodes, lambda n: n["is_token"]), lambda n: n["name"])
 

@@ -48,3 +48,11 @@ def test_sentences_across_ranges_of_lines(spark):
     rows = [(p, i, "###" if i % 7 == 3 else f"{p}{i}") for p in "ab" for i in range(500)]
     got = corpora.raw_stream(spark.createDataFrame(rows, "path string, line_no int, value string").repartition(5)).collect()
     assert {(r.path, r.seq_id, r.pos, r.sym) for r in got} == {(p, (i + 4) // 7, i if i < 3 else (i + 3) % 7, v) for p, i, v in rows if v != "###"}
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_parsed_trees_leave_in_bounded_batches(several):
+    texts = ["(S " + " ".join(f"(x w{k})" for k in range(100)) + " )"] * 1000
+    batches = list(trees._parsed(several)(iter([pa.RecordBatch.from_pydict({"key": list(range(1000)), "text": texts})])))
+    assert max(len(b.column("nodes").flatten()) for b in batches) <= trees.MOST_NODES + 201
+    assert [k for b in batches for k in b.column("key").to_pylist()] == list(range(1000))

@@ -44,32 +44,58 @@ class Model:
         return self.dist.lookup(wanted)
 
     def generate(self, how_many: int, longest: int = 100, seed: int = 0) -> list[list]:
-        """Sequences sampled symbol by symbol until the boundary. The model's cells, which must fit the driver, are collected
-        once; for bulk sampling use counts.sample on cells."""
+        """Sequences sampled symbol by symbol until the boundary, one after the other from one stream of draws. The driver holds no
+        cells: as it isn't known at which draw a sequence begins, one from each possible draw grows in step with the others, and
+        each step looks up the symbols that it needs in one job; so there are `longest` jobs at most."""
         import numpy as np
 
-        rows = self.dist.cells.where("p > 0").collect()
-        table: dict[tuple, list] = {}
-        for r in sorted(rows, key=lambda r: (-r.p, r.item is not None, str(r.item))):
-            table.setdefault(tuple(r.cond)[: self.n - 1] if self.n > 1 else (), []).append((r.p, r.item))
-        rng, out = np.random.default_rng(seed), []
+        spark = self.dist.cells.sparkSession
+        draws = np.random.default_rng(seed).random(how_many * longest).tolist()
+        cells = once(self.dist.cells.where("p > 0"))
+        first = (None,) * (self.n - 1) if self.n > 1 else (0,)
+        found: dict[tuple[int, tuple], tuple | None] = {}  # (draw, context) -> (symbol,), or None where the context has no symbols
+        grown = {k: ([], first) for k in range(len(draws))}
+        ended: dict[int, tuple[list, int]] = {}  # the sequence that begins at a draw, and the number of its draws
+        while grown:
+            wanted: dict[tuple, list[int]] = {}
+            for k, (seq, context) in list(grown.items()):
+                at = k + len(seq)
+                while len(seq) < longest and (at, context) in found and (got := found[at, context]) is not None and got[0] is not None:
+                    seq.append(got[0])
+                    context, at = (*context[1:], got[0]) if self.n > 1 else context, at + 1
+                grown[k] = (seq, context)
+                if len(seq) == longest or (at, context) in found:
+                    ended[k] = (seq, len(seq) + (len(seq) < longest and found[at, context] is not None))
+                elif at < len(draws):
+                    wanted.setdefault(context, []).append(at)
+                if k in ended or at >= len(draws):
+                    del grown[k]
+            if wanted:
+                found.update(_sampled(spark, cells, {c: sorted(set(ats)) for c, ats in wanted.items()}, draws))
+        out, k = [], 0
         for _ in range(how_many):
-            seq: list = []
-            context = (None,) * (self.n - 1)
-            while len(seq) < longest and (options := table.get(context)):
-                p = np.cumsum([x for x, _ in options])
-                item = options[min(int(np.searchsorted(p, rng.random() * p[-1], "right")), len(options) - 1)][1]
-                if item is None:
-                    break
-                seq.append(item)
-                context = (*context[1:], item) if self.n > 1 else ()
-            out.append(seq)
+            seq, used = ended.get(k, ([], 0))
+            out.append(list(seq))
+            k += used
         return out
 
 
+def _sampled(spark, cells: DataFrame, wanted: dict[tuple, list[int]], draws: list[float]) -> dict[tuple[int, tuple], tuple | None]:
+    """For each context and draw the symbol at which the cumulative probability, from the largest on, passes the draw's share."""
+    contexts = list(wanted)
+    kind = cells.schema["cond"].dataType.simpleString()
+    c = F.broadcast(spark.createDataFrame([(i, x) for i, x in enumerate(contexts)], f"__c int, __cond {kind}"))
+    u = F.broadcast(spark.createDataFrame([(i, k, draws[k]) for i, x in enumerate(contexts) for k in wanted[x]], "__d int, __k int, __u double"))
+    w = Window.partitionBy("__c").orderBy(F.desc("p"), F.col("item").isNotNull(), F.col("item").cast("string"))
+    options = cells.join(c, F.col("cond").eqNullSafe(F.col("__cond"))).withColumn("__hi", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    options = options.select("__c", "item", "__hi", F.lag("__hi", 1, 0.0).over(w).alias("__lo"), F.lead("__hi").over(w).isNull().alias("__last"), F.max("__hi").over(Window.partitionBy("__c")).alias("__all"))
+    share = F.col("__u") * F.col("__all")
+    got = options.join(u, (F.col("__c") == F.col("__d")) & (share >= F.col("__lo")) & ((share < F.col("__hi")) | F.col("__last"))).select("__c", "__k", "item").collect()
+    out: dict[tuple[int, tuple], tuple | None] = {(k, x): None for x, ks in wanted.items() for k in ks}
+    return out | {(r["__k"], contexts[r["__c"]]): (r["item"],) for r in got}
+
+
 def train(seqs: DataFrame, n: int, smooth=passthrough, key: str = "seq_id") -> Model:
     """Counts once, and smooths and divides these counts."""
     c = smooth(CondCounts.plain(once(CondCounts.of(ngrams(seqs, n, True, key), "cond", "item").cells)))
     return Model(n, c, cond_dist(c))
-
-

@@ -6,7 +6,7 @@ import pytest
 
 from compare import assert_same, database
 from loomtext import catalog
-from loomtext.operators import naive_bayes, trees
+from loomtext.operators import naive_bayes, ngram, trees
 from loomtext.sources import corpora
 
 
@@ -56,3 +56,23 @@ def test_parsed_trees_leave_in_bounded_batches(several):
     batches = list(trees._parsed(several)(iter([pa.RecordBatch.from_pydict({"key": list(range(1000)), "text": texts})])))
     assert max(len(b.column("nodes").flatten()) for b in batches) <= trees.MOST_NODES + 201
     assert [k for b in batches for k in b.column("key").to_pylist()] == list(range(1000))
+
+
+def test_generation_gathers_no_cells(spark, collected):
+    rows = [(i, k, f"w{(i * 31 + k * k * 7) % (11 + i % 5)}") for i in range(80) for k in range(1 + i % 9)]
+    m = ngram.train(spark.createDataFrame(rows, "seq_id int, pos int, sym string"), 2)
+    got = m.generate(6, 5, 3)
+    assert max(collected) <= 30
+    table, rng, wanted = {}, np.random.default_rng(3), []
+    for r in sorted(m.dist.cells.collect(), key=lambda r: (-r.p, r.item is not None, str(r.item))):
+        table.setdefault(r.cond[0], []).append((r.p, r.item))
+    for _ in range(6):
+        seq = []
+        while len(seq) < 5:
+            p = np.cumsum([x for x, _ in table[seq[-1] if seq else None]])
+            item = table[seq[-1] if seq else None][int(np.searchsorted(p, rng.random() * p[-1], "right"))][1]
+            if item is None:
+                break
+            seq.append(item)
+        wanted.append(seq)
+    assert got == wanted

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import counts as C
 from ..operators import hmm, tagdict
+from ..operators.stored import once
 from .count_queries import TAGGED_SQL, tagged
 from .keyed_queries import tokens
 from .registry import query, table
@@ -124,7 +125,7 @@ def baseline_tag(spark, sf):
 @query()
 def em_train(spark, sf):
     """Type-supervised: raw events and a dictionary of the 20 most frequent symbols; the tags that the model gives."""
-    t = tagged(spark, sf)
+    t = once(tagged(spark, sf))
     m = hmm.train_type_supervised(t.select("seq_id", "pos", "sym"), tagdict.top_symbols(t, 20), _smooth(), _smooth(), iterations=3)
     return hmm.tag(t.select("seq_id", "pos", "sym"), m)
 
@@ -132,7 +133,7 @@ def em_train(spark, sf):
 @query()
 def em_semisupervised(spark, sf):
     """All events as raw tokens, and the first ten of each user as gold."""
-    t = tagged(spark, sf)
+    t = once(tagged(spark, sf))
     m = hmm.train_type_supervised(t.select("seq_id", "pos", "sym"), tagdict.simple(t), _smooth(), _smooth(), iterations=2, gold=t.where("pos < 10"))
     return hmm.tag(t.select("seq_id", "pos", "sym"), m)
 

@@ -6,7 +6,7 @@ import pytest
 
 from compare import assert_same, database
 from loomtext import catalog
-from loomtext.operators import naive_bayes, ngram, trees
+from loomtext.operators import hmm, naive_bayes, ngram, trees
 from loomtext.sources import corpora
 
 
@@ -76,3 +76,24 @@ def test_generation_gathers_no_cells(spark, collected):
             seq.append(item)
         wanted.append(seq)
     assert got == wanted
+
+
+def test_batches_of_sequences_give_what_each_gives():
+    rng = np.random.default_rng(5)
+    with np.errstate(divide="ignore"):
+        trans = np.log(np.where(rng.random((5, 5)) < 0.2, 0, rng.random((5, 5))))
+        emit = {f"s{i}": np.log(np.where(rng.random(4) < 0.3, 0, rng.random(4))) for i in range(6)}
+    legal = {"s0": np.array([1, 3]), "s1": np.array([2]), "s5": np.array([], int)}
+    m = hmm.Model(list("abcd"), trans, emit, np.log(np.full(4, 0.1)), legal, np.array([0, 1, 2, 3]))
+    seqs = [[f"s{k}" for k in rng.integers(0, 8 if i % 9 == 0 else 5, int(rng.integers(0, 9)))] for i in range(300)]
+    for never_none in (True, False):
+        assert hmm.Batch(m, seqs).decode(never_none) == [m.decode(s, never_none) for s in seqs]
+    b = hmm.Batch(m, [s for s in seqs if s and "s5" not in s])
+    trans, emits, total = b.expect()
+    each = [m.expect(s) for s in seqs if s and "s5" not in s]
+    assert np.allclose(trans, sum(e[0] for e in each)) and total == sum(e[2] for e in each)
+    by = {s: np.zeros(4) for s in b.syms}
+    for _, found, _ in each:
+        for s, o, x in found:
+            by[s][o] += x
+    assert np.allclose(emits, [by[s] for s in b.syms])

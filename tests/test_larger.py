@@ -97,3 +97,10 @@ def test_batches_of_sequences_give_what_each_gives():
         for s, o, x in found:
             by[s][o] += x
     assert np.allclose(emits, [by[s] for s in b.syms])
+
+
+@pytest.mark.parametrize("name", ["perceptron_score", "composite_evaluation", "maxent_classify"])
+def test_words_are_split_once(spark, name):
+    """What is read again and again is stored: the last plan doesn't go back to the texts."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
